@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, url_filter
+from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, language_id, toxicity, url_filter
+from lowstress.llm.sampling import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_on(docs.where(crc_mod("doc_id", 3) != 1))
+    return language_id.identify(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1)
+
+
 def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return bitsliced_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -65,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op5_chat_format": op5_chat_format,
+        "op4_toxicity": op4_toxicity,
+        "op8_language_id": op8_language_id,
         "op6_byte_bpe": op6_byte_bpe,
         "op10_bitsliced_topk": op10_bitsliced_topk,
     }

@@ -17,6 +17,8 @@ _P = 0x9E3779B97F4A7C55 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of the word-like tokens that classifiers read: every ASCII byte that is no letter or digit.
+NON_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _TABLE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE[65:91] = _TABLE[97:123]  # A-Z hash as a-z
 _TABLE[_SPACE] = 0
@@ -60,7 +62,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _windows(raw: np.ndarray, offs: np.ndarray):
+def _windows(raw: np.ndarray, offs: np.ndarray, space: np.ndarray):
     """Byte ranges of about WINDOW that end where a row ends or before a space."""
     p, n = 0, len(raw)
     while p < n:
@@ -68,22 +70,22 @@ def _windows(raw: np.ndarray, offs: np.ndarray):
         if q <= p:  # one long row
             q = min(p + WINDOW, int(offs[np.searchsorted(offs, p, "right")]))
             if q < n:
-                back = np.flatnonzero(_SPACE[raw[p:q]])
+                back = np.flatnonzero(space[raw[p:q]])
                 if len(back) and back[-1] > 0:
                     q = p + int(back[-1])
                 else:
                     end = int(offs[np.searchsorted(offs, p, "right")])
-                    ahead = np.flatnonzero(_SPACE[raw[q:end]])
+                    ahead = np.flatnonzero(space[raw[q:end]])
                     q = q + int(ahead[0]) if len(ahead) else end
         yield p, q
         p = q
 
 
-def token_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_spans(raw: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all words; a word never crosses a row."""
     starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for p, q in _windows(raw, offs):
-        solid = ~_SPACE[raw[p:q]]
+    for p, q in _windows(raw, offs, space):
+        solid = ~space[raw[p:q]]
         cut = np.zeros(q - p + 1, bool)
         cut[0] = cut[-1] = True
         inner = offs[np.searchsorted(offs, p) : np.searchsorted(offs, q, "right")] - p
