@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, language_id, toxicity, url_filter
+from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, interpolated_lm, language_id, toxicity, url_filter
 from lowstress.llm.sampling import crc_mod
 
 
@@ -65,6 +65,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit_on(docs.where(crc_mod("doc_id", 3) != 1))
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op5_chat_format": op5_chat_format,
         "op4_toxicity": op4_toxicity,
+        "op7_interpolated_lm": op7_interpolated_lm,
         "op8_language_id": op8_language_id,
         "op6_byte_bpe": op6_byte_bpe,
         "op10_bitsliced_topk": op10_bitsliced_topk,
