@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, interpolated_lm, language_id, toxicity, url_filter
+from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, interpolated_lm, language_id, ngram_join, toxicity, url_filter
 from lowstress.llm.sampling import crc_mod
 
 
@@ -57,6 +57,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
@@ -83,6 +87,7 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_ngram_join": op3_ngram_join,
         "op5_chat_format": op5_chat_format,
         "op4_toxicity": op4_toxicity,
         "op7_interpolated_lm": op7_interpolated_lm,
