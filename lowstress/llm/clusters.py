@@ -94,23 +94,22 @@ class Forest:
             self.links.append((i, j))
 
 
-def verified_components(members: DataFrame, rows: DataFrame, on: str, link: Callable[[pa.Table, np.ndarray], list[tuple[int, int]]], name: str) -> DataFrame:
+def verified_components(members: DataFrame, loaded: DataFrame, link: Callable[[pa.Table, np.ndarray], list[tuple[int, int]]], name: str) -> DataFrame:
     """(node, component) of the nodes that have at least one verified link.
 
-    ``members``: (node, cluster, ``on``); ``rows``: ``on`` and whatever ``link`` reads. Each candidate
+    ``members``: (node, cluster); ``loaded``: the same rows with what ``link`` reads. Each candidate
     group is given to ``link(table, side)`` whole, or, if it has more than TILE members, as pairs of
     tiles (side 0 and 1: compare across; one tile: all 0, compare within), so that a task never holds
     more than two tiles. ``link`` returns positions of verified pairs that connect what is connected.
     """
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = members.join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    tiled = loaded.join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     # a pair of tiles (x, y) with x <= y; a member of tile t takes part in (t, y) and (x, t)
     unit = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
         lambda o: F.struct(F.least(o, F.col("tile")).alias("x"), F.greatest(o, F.col("tile")).alias("y"), (F.col("tile") > o).cast("int").alias("side")),
     )
-    texts = rows.join(tiled, on)
-    units = texts.withColumn("u", F.explode(unit)).select("node", "cluster", F.col("u.x").alias("x"), F.col("u.y").alias("y"), F.col("u.side").alias("side"), *[c for c in rows.columns if c != on])
+    units = tiled.withColumn("u", F.explode(unit)).select(*loaded.columns, F.col("u.x").alias("x"), F.col("u.y").alias("y"), F.col("u.side").alias("side"))
 
     def check(table: pa.Table) -> pa.Table:
         nodes = table["node"].to_numpy()

@@ -246,7 +246,7 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         pairs = linked_pairs([values[offs[i] : offs[i + 1]] for i in mine], side[mine], num, den)
         return [(int(mine[a]), int(mine[b])) for a, b in pairs]
 
-    groups = verified_components(members, rows, "id", link, "shingle-links")
+    groups = verified_components(members, rows.join(members, "id"), link, "shingle-links")
     best = groups.join(chosen, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = groups.join(best, "component").select("node", "component_id")
     # one row for each node on the right; a node with very many rows is on the left, where it can be split

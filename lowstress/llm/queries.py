@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, interpolated_lm, language_id, ngram_join, toxicity, url_filter
+from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, decontaminate, interpolated_lm, language_id, line_dedup, ngram_join, toxicity, url_filter
 from lowstress.llm.sampling import crc_mod
 
 
@@ -57,6 +57,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -79,6 +83,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return bitsliced_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -87,12 +95,14 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_line_dedup": op2_line_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op5_chat_format": op5_chat_format,
         "op4_toxicity": op4_toxicity,
         "op7_interpolated_lm": op7_interpolated_lm,
         "op8_language_id": op8_language_id,
         "op6_byte_bpe": op6_byte_bpe,
+        "op9_decontaminate": op9_decontaminate,
         "op10_bitsliced_topk": op10_bitsliced_topk,
     }
 
