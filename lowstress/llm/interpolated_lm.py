@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lowstress.llm import text as T
+from lowstress.llm.blocks import by_block, unblock
 from lowstress.llm.sampling import crc_mod
 from lowstress.storage import materialize
 
 #: Context-frequency buckets: powers of two up to this many; bins of a component's log-ratio for the EM statistics.
 BUCKETS, BINS, ROUNDS = 24, 48, 60
 #: Rows of a block; one training text in HELD has its counts deleted while the mixture weights are learned.
-BLOCK_ROWS, HELD = 2048, 10
+BLOCK_ROWS, HELD = 4096, 10
 END = T.mix(np.array([0x656E64], np.uint64))[0]
 START = T.mix(np.array([0x7374617274], np.uint64))[0]
 _TAIL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -43,36 +44,44 @@ def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def pack(sorted_keys: np.ndarray) -> bytes:
-    """Ascending distinct 64-bit keys as bytes: a length byte for each difference, then their low bytes."""
+    """Ascending 64-bit keys as bytes: their differences in as many bytes as the largest needs."""
     if not len(sorted_keys):
         return b""
     d = np.diff(sorted_keys, prepend=np.uint64(0))
-    size = np.maximum(1, np.ceil(np.log2(np.maximum(d.astype(np.float64), 1) * (1 + 1e-9) + 1) / 8).astype(np.int64)).clip(1, 8)
-    body = d.view(np.uint8).reshape(-1, 8)
-    keep = np.arange(8)[None] < size[:, None]
-    return np.int64(len(d)).tobytes() + size.astype(np.uint8).tobytes() + body[keep].tobytes()
+    rest = d[1:]
+    width = max(1, -(-int(rest.max()).bit_length() // 8)) if len(rest) else 1
+    return bytes([width]) + d[:1].tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    size = np.frombuffer(data, np.uint8, n, 8)
-    body = np.zeros((n, 8), np.uint8)
-    body[np.arange(8)[None] < size[:, None]] = np.frombuffer(data, np.uint8, -1, 8 + n)
+    width = data[0]
+    rest = np.frombuffer(data, np.uint8, -1, 9).reshape(-1, width)
+    body = np.zeros((len(rest) + 1, 8), np.uint8)
+    body[0] = np.frombuffer(data, np.uint8, 8, 1)
+    body[1:, :width] = rest
     return np.cumsum(body.view(np.uint64).ravel())
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Counts in the smallest unsigned type that holds them, named in the first byte."""
-    for code, kind in enumerate((np.uint8, np.uint16, np.uint32, np.uint64)):
-        if not len(x) or int(x.max()) <= np.iinfo(kind).max:
-            return bytes([code]) + x.astype(kind).tobytes()
-    raise OverflowError
+    """Counts, mostly 0 to 2: two bits each, and those of 3 or more in full."""
+    small = np.minimum(x, 3).astype(np.uint8)
+    pad = np.zeros(-(-len(x) // 4) * 4, np.uint8)
+    pad[: len(x)] = small
+    quads = pad.reshape(-1, 4)
+    head = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    large = x[x >= 3]
+    kind = np.uint16 if not len(large) or large.max() < 1 << 16 else np.uint64
+    return np.int64(len(x)).tobytes() + bytes([np.dtype(kind).itemsize]) + head.astype(np.uint8).tobytes() + large.astype(kind).tobytes()
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, (np.uint8, np.uint16, np.uint32, np.uint64)[data[0]], -1, 1).astype(np.int64)
+    n, size = int(np.frombuffer(data, np.int64, 1)[0]), data[8]
+    quads = np.frombuffer(data, np.uint8, -(-n // 4), 9)
+    out = np.stack([quads & 3, quads >> 2 & 3, quads >> 4 & 3, quads >> 6], axis=1).ravel()[:n].astype(np.int64)
+    out[out == 3] = np.frombuffer(data, np.uint16 if size == 2 else np.uint64, -1, 9 + len(quads))
+    return out
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -132,9 +141,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("deleted", ~F.col("held_out") & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(HELD)) == 0))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) * 2 + F.col("deleted").cast("int"))
 
+    packed = rows.mapInArrow(by_block, "block long, body binary")
+
     def ask(table: pa.Table) -> pa.Table:
+        block, table = table["block"][0].as_py(), unblock(table)
         tokens, before, offs = token_stream(table["text"])
-        learn = np.repeat(~np.asarray(table["held_out"].combine_chunks().to_numpy(zero_copy_only=False), bool), np.diff(offs))
+        learn = np.repeat(~table["held_out"].to_numpy().astype(bool), np.diff(offs))
         out = []
         for order, keys in ((1, tokens), (2, pair_keys(before, tokens))):
             distinct, inverse = np.unique(keys, return_inverse=True)
@@ -142,12 +154,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cuts = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
-                out.append((b, table["block"][0].as_py(), order, pack(distinct[part]), pack_counts(counts[part])))
+                out.append((b, block, order, pack(distinct[part]), pack_counts(counts[part])))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "n", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         out = []
+        bucket = table["bucket"][0].as_py()
         blk, order = table["block"].to_numpy(), table["n"].to_numpy()
         for n in (1, 2):
             rows_n = np.flatnonzero(order == n)
@@ -160,46 +173,38 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             total = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
             deleted = np.bincount(inverse, np.concatenate(gone), len(distinct)).astype(np.int64)
             if n == 1:
-                out.append((-1, n, int(total.sum()), int((total > 0).sum()), int(deleted.sum()), b"", b"", b""))
+                out.append((-1, n, -1, int(total.sum()), int((total > 0).sum()), int(deleted.sum()), b"", b""))
             at = 0
             for r, k in zip(rows_n, keys, strict=True):
                 own = inverse[at : at + len(k)]
                 at += len(k)
                 odd = blk[r] % 2  # only these blocks need the counts without the deleted texts
-                out.append((int(blk[r]), n, 0, 0, 0, table["keys"][int(r)].as_py(), pack_counts(total[own]), pack_counts((total - deleted)[own]) if odd else b""))
+                out.append((int(blk[r]), n, bucket, 0, 0, 0, pack_counts(total[own]), pack_counts((total - deleted)[own]) if odd else b""))
         cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "n", "tokens", "words", "deleted", "keys", "total", "kept"])
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "n", "bucket", "tokens", "words", "deleted", "total", "kept"])
 
-    asked = rows.groupBy("block").applyInArrow(ask, "bucket int, block long, n int, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "block long, n int, tokens long, words long, deleted long, keys binary, total binary, kept binary")
+    asked = packed.groupBy("block").applyInArrow(ask, "bucket int, block long, n int, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "block long, n int, bucket int, tokens long, words long, deleted long, total binary, kept binary")
     answers = materialize(answers, "ngram-counts")
     told = answers.where("block = -1").agg(F.sum("tokens"), F.sum("words"), F.sum("deleted")).first()
     n_all, v_all, n_deleted = (int(x or 0) for x in told)
-    replies = answers.where("block >= 0").select("block", "n", "keys", "total", "kept")
-
-    def lookup(found: pa.Table, kept: bool):
-        tables = {}
-        names, order = found["kept" if kept else "total"], found["n"].to_numpy()
-        for n in (1, 2):
-            pick = np.flatnonzero(order == n)
-            keys = [unpack(found["keys"][int(r)].as_py()) for r in pick]
-            first = np.argsort([k[0] for k in keys]) if keys else []
-            tables[n] = (
-                np.concatenate([keys[i] for i in first]) if keys else np.zeros(0, np.uint64),
-                np.concatenate([unpack_counts(names[int(pick[i])].as_py()) for i in first]) if keys else np.zeros(0, np.int64),
-            )
-        return lambda n, k: tables[n][1][np.searchsorted(tables[n][0], k)] if len(k) else np.zeros(0, np.int64)
+    replies = answers.where("block >= 0").select("block", "n", "bucket", "total", "kept")
 
     def components(texts: pa.Array, found: pa.Table, kept: bool, n_tokens: int):
-        """Per token: own count, pair estimate, word estimate, context bucket."""
+        """Per token: own count, pair estimate, word estimate, context bucket. Replies are in the order of the block's distinct n-grams."""
         tokens, before, offs = token_stream(texts)
-        count = lookup(found, kept)
+        names, order, bucket = found["kept" if kept else "total"], found["n"].to_numpy(), found["bucket"].to_numpy()
+
+        def count(n: int, keys: np.ndarray) -> np.ndarray:
+            pick = np.flatnonzero(order == n)
+            told = np.concatenate([unpack_counts(names[int(r)].as_py()) for r in pick[np.argsort(bucket[pick])]])
+            return told[np.unique(keys, return_inverse=True)[1]]
+
         own, pairs = count(1, tokens), count(2, pair_keys(before, tokens))
-        ends = count(1, np.array([END], np.uint64))[0] if len(tokens) else 0
         context = np.empty(len(own), np.int64)
         context[1:] = own[:-1]
-        context[offs[:-1]] = ends  # a start precedes as many texts as there are ends
+        context[offs[:-1]] = own[offs[1] - 1]  # a start precedes as many texts as there are ends
         p2 = np.where(context > 0, pairs / np.maximum(context, 1), 0)
         return own, p2, own / max(1, n_tokens), frequency_bucket(context), offs
 
@@ -212,12 +217,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def histogram(key, texts: pa.Table, found: pa.Table) -> pa.Table:
         flat = np.zeros(0, np.int64)
         if len(texts):
+            texts = unblock(texts)
             _, p2, p1, bucket, _ = components(texts["text"], found, True, n_all - n_deleted)
             flat = (bucket * BINS + bins(p2)) * BINS + bins(p1)
         cell, n = np.unique(flat, return_counts=True)
         return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    learn = rows.where("deleted").groupBy("block").cogroup(replies.where("block % 2 = 1").groupBy("block"))
+    learn = rows.where("deleted").mapInArrow(by_block, "block long, body binary").groupBy("block").cogroup(replies.where("block % 2 = 1").groupBy("block"))
     cells = learn.applyInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counted = np.zeros(BUCKETS * BINS * BINS)
     counted[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
@@ -227,6 +233,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def judge(key, texts: pa.Table, found: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table([pa.array([], f.type) for f in result], schema=result)
+        texts = unblock(texts)
         own, p2, p1, bucket, offs = components(texts["text"], found, False, n_all)
         w = weights[bucket]
         p = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * uniform)
@@ -240,6 +247,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql.pandas.types import to_arrow_type
 
     result = pa.schema([("id", to_arrow_type(docs.select(id_col).schema[0].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    met = rows.groupBy("block").cogroup(replies.groupBy("block"))
+    met = packed.groupBy("block").cogroup(replies.groupBy("block"))
     out = met.applyInArrow(judge, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
