@@ -1,2 +1,287 @@
+"""Queries over the projected gaps: refinement, scoring, routing and review."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lowstress import lookups as L
+from lowstress.fixtures import view
+from lowstress.lookups import Thresholds
+from lowstress.operators import refine, review, route, score
+from lowstress.operators import spatial as S
+from lowstress.plans.network_queries import r, roads, vertices, ways
+from lowstress.plans.sqltext import case, hav, lts, sql
+
+T = Thresholds()
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+def gaps(spark, d):
+    return view(spark, d, "fx_gaps")
+
+
+def spines(spark, d):
+    return view(spark, d, "fx_plan").where("pt = 1").select(F.col("feature_ord").alias("ord"), "name", "lat", "lon")
+
+
+_LEN = hav("start_lat", "start_lon", "end_lat", "end_lon")
+_LTS = f"case when road_highway is null then 4 else {lts('road_highway', 'road_maxspeed', 'road_lanes', chr(39) + 'none' + chr(39))} end"
+_CTX = f"""select *, case when s <= 2 and e <= 2 and c <= 2 then 'completes_low_stress' when s <= 2 and e <= 2 and c = 3 then 'reduces_stress' when c = 4 then 'high_stress_barrier' else 'reduces_stress' end as context
+  from (select *, {_LEN} as len_m, (start_lat + end_lat) / 2 as lat, (start_lon + end_lon) / 2 as lon, {_LTS} as c, {case('start_facility', L.ENDPOINT_LTS, '3')} as s, {case('end_facility', L.ENDPOINT_LTS, '3')} as e from fx_gaps)"""
+_SPD = "(case when coalesce(road_maxspeed, 0) = 0 then 50 else road_maxspeed end)"
+_PROXY = case("road_highway", L.AADT_PROXY, "'unknown'")
+_AADT = case(f"({_PROXY})", L.AADT_MIDPOINT, "2500")
+_REC = f"""select *, case when crosses_barrier then 'barrier_crossing' when {_SPD} > 60 or aadt > 8000 then 'grade_separated_path' when {_SPD} >= 50 or aadt >= 3000 then 'protected_cycle_track'
+  when {_SPD} >= 40 or aadt >= 1000 then case when start_facility in ('protected_track', 'shared_path') or end_facility in ('protected_track', 'shared_path') then 'protected_cycle_track' else 'painted_cycle_lane' end
+  else 'shared_roadway' end as recommended from (select *, {_AADT} as aadt from ctx)"""
+_BUILD = f"""select *, least(1::double, greatest(0::double, (0.5 + 0.5 * greatest(0::double, 1 - len_m / 800)) * {case('recommended', L.COMPLEXITY, '0.5::double')} * case when crosses_barrier then 0.3::double else 1::double end
+  * case when road_highway is not null then 1.15::double else 1::double end)) as build_score from rec"""
+_BASE = """select coalesce(max(case when gap_type = 'island' then component_size end), 50) as max_island_size, coalesce(max(case when gap_type = 'detour' and detour_factor <> 0 then detour_factor end), 5.0::double) as max_detour_factor,
+  coalesce(avg(case when gap_type = 'detour' and detour_factor <> 0 then detour_factor end), 2.5::double) as mean_detour_factor,
+  coalesce(max(case when gap_type in ('dangling', 'corridor', 'connector') and len_m <> 0 then len_m end), 600.0::double) as max_short_gap_m, count(*) as total_gaps from ctx"""
+_SHORT = "(0.35::double + 0.65::double * greatest(0::double, 1 - len_m / max_short_gap_m))"
+_CONN = f"""select *, case gap_type when 'island' then least(1::double, component_size / max_island_size::double) when 'detour' then least(1::double, (detour_factor - 2) / 3)
+  else round(least(1::double, case when gap_type = 'corridor' then least(1::double, {_SHORT} + 0.1::double) else {_SHORT} end), 4) end as conn_base,
+  case when separation_ratio is null then 0.5::double when isinf(separation_ratio) then 1::double else least(1::double, greatest(0::double, (separation_ratio - 1) / 3)) end as sep_score from build, base"""
+_DEST = f"""select gap_id, least(1::double, coalesce(sum(case when dist <= 500 then w when dist <= 1000 then w * 0.5 else 0 end), 0::double) / 5) as dest_score from (
+  select g.gap_id, {case('p.type', L.DESTINATION_WEIGHT, '0.3::double')} as w, {hav('g.lat', 'g.lon', 'p.lat', 'p.lon')} as dist from ctx g left join fx_destinations p on p.lat between g.lat - 0.01 and g.lat + 0.01 and p.lon between g.lon - 0.02 and g.lon + 0.02) group by gap_id"""
+_EQ = f"""select gap_id, greatest(0.1::double, (6 - arg_min(quintile, (dist, da_id))) / 5::double) as equity_score from (select g.gap_id, a.da_id, a.quintile, {hav('g.lat', 'g.lon', 'a.lat', 'a.lon')} as dist from ctx g, fx_da a) group by gap_id"""
+_SPINE = f"""select gap_id, case when safe then least(1::double, d * 1.25::double) else d end as spine_score from (select gap_id, safe, greatest(0.1::double, 1 - min(dist) / 2000) as d from (
+  select g.gap_id, g.start_facility in ('protected_track', 'shared_path') or g.end_facility in ('protected_track', 'shared_path') as safe, {hav('g.lat', 'g.lon', 'a.lat', 'a.lon')} as dist from ctx g, (select * from fx_plan where pt = 1) a) group by gap_id, safe)"""
+_COMP = """select *, row_number() over (order by composite desc, ord) as rank, case when composite >= 66 then 'high' when composite >= 33 then 'medium' else 'low' end as band from (select *, round(least(1::double, 0.40::double * (0.55::double * conn_base + 0.20::double * spine_score + 0.25::double * sep_score)
+  + 0.20::double * build_score + 0.20::double * dest_score + 0.15::double * case context when 'completes_low_stress' then 1.0::double when 'reduces_stress' then 0.65::double else 0.30::double end + 0.05::double * equity_score
+  + case when plan_match then 0.05::double else 0 end + case gap_type when 'corridor' then 0.12::double when 'dangling' then case when start_facility = end_facility and start_facility in ('protected_track', 'cycle_lane', 'shared_path') then 0.08::double else 0.04::double end
+    when 'connector' then case when connector_class = 'quick_win' then 0.06::double else 0.02::double end else 0 end) * 100, 1) as composite
+  from conn join dest using (gap_id) join eq using (gap_id) join spine using (gap_id))"""
+_CHAIN = {"ctx": _CTX, "rec": _REC, "build": _BUILD, "base": _BASE, "conn": _CONN, "dest": _DEST, "eq": _EQ, "spine": _SPINE, "comp": _COMP}
+
+
+def gsql(body: str, upto: str, *more: str) -> str:
+    names = list(_CHAIN)[: list(_CHAIN).index(upto) + 1]
+    text = sql("@@", "fx_gaps", "fx_destinations", "fx_da", "fx_plan", *more)
+    return text.replace("\n@@", "".join(f",\n{n} as ({_CHAIN[n]})" for n in names) + "\n" + body)
+
+
+@query("gap_lts_context", gsql("select gap_id, c as corridor_lts, s as endpoint_lts_start, e as endpoint_lts_end, context from ctx", "ctx"))
+def gap_lts_context(spark, d):
+    return score.lts_context(gaps(spark, d)).select("gap_id", "corridor_lts", "endpoint_lts_start", "endpoint_lts_end", "context")
+
+
+@query("facility_recommendation", gsql("select gap_id, recommended from rec", "rec"))
+def facility_recommendation(spark, d):
+    return score.recommend(gaps(spark, d)).select("gap_id", "recommended")
+
+
+@query("buildability", gsql("select gap_id, round(build_score, 6) as build_score from build", "build"))
+def buildability(spark, d):
+    return score.buildability(score.recommend(score.with_length(gaps(spark, d)))).select("gap_id", r(F.col("build_score"), 6).alias("build_score"))
+
+
+@query("network_baseline", gsql("select max_island_size, round(max_detour_factor, 6) as max_detour_factor, round(mean_detour_factor, 6) as mean_detour_factor, round(max_short_gap_m, 3) as max_short_gap_m, total_gaps from base", "base"))
+def network_baseline(spark, d):
+    b = score.baseline(score.with_length(gaps(spark, d)))
+    return b.select("max_island_size", r(F.col("max_detour_factor"), 6).alias("max_detour_factor"), r(F.col("mean_detour_factor"), 6).alias("mean_detour_factor"), r(F.col("max_short_gap_m")).alias("max_short_gap_m"), "total_gaps")
+
+
+@query("connectivity", gsql("select gap_id, round(conn_base, 4) as conn_base, round(sep_score, 6) as sep_score from conn", "conn"))
+def connectivity(spark, d):
+    return score.connectivity(score.with_length(gaps(spark, d))).select("gap_id", r(F.col("conn_base"), 4).alias("conn_base"), r(F.col("sep_score"), 6).alias("sep_score"))
+
+
+@query("destination_score", gsql("select gap_id, round(dest_score, 6) as dest_score from dest", "dest"))
+def destination_score(spark, d):
+    return score.destinations(gaps(spark, d), view(spark, d, "fx_destinations")).select("gap_id", r(F.col("dest_score"), 6).alias("dest_score"))
+
+
+@query("equity_score", gsql("select gap_id, round(equity_score, 6) as equity_score from eq", "eq"))
+def equity_score(spark, d):
+    return score.equity(gaps(spark, d), view(spark, d, "fx_da")).select("gap_id", r(F.col("equity_score"), 6).alias("equity_score"))
+
+
+@query("spine_proximity", gsql("select gap_id, round(spine_score, 6) as spine_score from spine", "spine"))
+def spine_proximity(spark, d):
+    return score.spine_proximity(gaps(spark, d), spines(spark, d)).select("gap_id", r(F.col("spine_score"), 6).alias("spine_score"))
+
+
+def scored(spark, d):
+    return score.score_gaps(gaps(spark, d), view(spark, d, "fx_destinations"), view(spark, d, "fx_da"), spines(spark, d))
+
+
+@query("composite_rank", gsql("select gap_id, composite, rank, band from comp", "comp"))
+def composite_rank(spark, d):
+    return scored(spark, d).select("gap_id", "composite", "rank", "band")
+
+
+@query("priority_bands", gsql("select band, gap_type, count(*) as gaps, count_if(crosses_barrier) as barriers, count_if(plan_match) as planned from comp group by band, gap_type", "comp"))
+def priority_bands(spark, d):
+    return scored(spark, d).groupBy("band", "gap_type").agg(F.count("*").alias("gaps"), F.count_if("crosses_barrier").alias("barriers"), F.count_if("plan_match").alias("planned"))
+
+
+_DISMISSED = "(select gap_id, arg_max(reason, (ts, event_id)) as reason from (select 'GAP-' || cast(substr(gap_id, 5) as int) as gap_id, reason, ts, event_id from fx_decisions) group by gap_id)"
+
+
+def dismissed(spark, d):
+    x = view(spark, d, "fx_decisions")
+    return review.latest_decisions(x.withColumn("gap_id", F.concat(F.lit("GAP-"), F.substring("gap_id", 5, 9).cast("int").cast("string"))))
+
+
+@query("latest_decision", sql("select gap_id, arg_max(reason, (ts, event_id)) as reason from fx_decisions group by gap_id", "fx_decisions"))
+def latest_decision(spark, d):
+    return review.latest_decisions(view(spark, d, "fx_decisions")).select("gap_id", "reason")
+
+
+@query("active_rank", gsql(f"select gap_id, x.reason is not null as dismissed, case when x.reason is null then row_number() over (partition by x.reason is null order by composite desc, ord) end as active_rank from comp left join {_DISMISSED} x using (gap_id)", "comp", "fx_decisions"))
+def active_rank(spark, d):
+    return review.active_rank(scored(spark, d), dismissed(spark, d)).select("gap_id", "dismissed", "active_rank")
+
+
+@query("dismissals_by_reason", sql(f"select reason, count(*) as n, reason in ('Already connected', 'Data error', 'Parallel facility', 'Same corridor (fragmentation)') as false_positive from {_DISMISSED} group by reason", "fx_decisions"))
+def dismissals_by_reason(spark, d):
+    return review.by_reason(dismissed(spark, d))
+
+
+@query("dismissal_metric_dist", gsql(f"select reason, count(*) as n, min(separation_ratio) as low, median(separation_ratio) as mid, max(separation_ratio) as high from {_DISMISSED} join ctx using (gap_id) where separation_ratio is not null and not isinf(separation_ratio) group by reason", "ctx", "fx_decisions"))
+def dismissal_metric_dist(spark, d):
+    return review.metric_distribution(dismissed(spark, d), gaps(spark, d), "separation_ratio")
+
+
+@query("threshold_suggestions", gsql(f"select reason, printf('raise the connected ratio to %.2f', max(separation_ratio) + 0.05::double) as suggestion from {_DISMISSED} join ctx using (gap_id) where reason = 'Already connected' and separation_ratio is not null and not isinf(separation_ratio) group by reason", "ctx", "fx_decisions"))
+def threshold_suggestions(spark, d):
+    return review.suggestions(dismissed(spark, d), gaps(spark, d))
+
+
+@query("master_plan_match", gsql(f"select gap_id, arg_min(name, feature_ord) as plan_name from (select g.gap_id, p.name, p.feature_ord, {hav('g.lat', 'g.lon', 'p.lat', 'p.lon')} as dist from ctx g, fx_plan p) where dist < 200 group by gap_id", "ctx"))
+def master_plan_match(spark, d):
+    return refine.plan_match(gaps(spark, d), view(spark, d, "fx_plan"))
+
+
+# --- gaps and roads ---------------------------------------------------------------------------------
+
+
+def _mid(spark, d):
+    g = refine.with_midpoint(score.with_length(gaps(spark, d)))
+    return g.select("gap_id", "lat", "lon", "len_m")
+
+
+def _road_points(spark, d):
+    return roads(spark, d).select("way_id", "highway", F.col("name").alias("road"), F.col("mid_lat").alias("r_lat"), F.col("mid_lon").alias("r_lon"))
+
+
+_ROADMID = f"(select g.gap_id, g.len_m, x.way_id, x.highway, x.name, {hav('g.lat', 'g.lon', 'x.mid_lat', 'x.mid_lon')} as dist from ctx g join roads x on x.mid_lat between g.lat - 0.006 and g.lat + 0.006 and x.mid_lon between g.lon - 0.01 and g.lon + 0.01)"
+
+
+@query("candidate_roads", gsql(f"select gap_id, way_id, highway, round(dist, 3) as dist, rn from (select *, row_number() over (partition by gap_id order by dist, way_id) as rn from {_ROADMID} where dist <= greatest(100, 0.3 * len_m)) where rn <= 5", "ctx", "roads"))
+def candidate_roads(spark, d):
+    limit = F.greatest(F.lit(T.candidate_buffer), 0.3 * F.col("len_m"))
+    near = S.nearest(_mid(spark, d), _road_points(spark, d), "gap_id", T.gap_max, ["way_id"], k=5, where=F.col("dist") <= limit)
+    return near.select("gap_id", "way_id", "highway", r(F.col("dist")).alias("dist"), "rn")
+
+
+@query("barrier_flag", gsql(f"select gap_id, coalesce(bool_or(dist <= 0.5 * len_m and highway in ('motorway', 'trunk', 'motorway_link', 'trunk_link')), false) as crosses from ctx left join {_ROADMID} using (gap_id) group by gap_id".replace("dist <= 0.5 * len_m", "dist <= 0.5 * ctx.len_m"), "ctx", "roads"))
+def barrier_flag(spark, d):
+    barriers = _road_points(spark, d).where(F.col("highway").isin(*L.MOTOR_ONLY))
+    hit = S.grid_join(_mid(spark, d), barriers, T.gap_max).where(F.col("dist") <= 0.5 * F.col("len_m")).select("gap_id").distinct()
+    return gaps(spark, d).select("gap_id").join(hit.withColumn("h", F.lit(True)), "gap_id", "left").select("gap_id", F.coalesce("h", F.lit(False)).alias("crosses"))
+
+
+@query("street_labels", gsql(f"""select gap_id, coalesce(arg_min(name, (dist, way_id)) filter (where name <> '' and dist <= 150), 'Unnamed ' || arg_min(highway, (dist, way_id)) filter (where dist <= 200), 'Unknown') as street
+  from ctx left join {_ROADMID} using (gap_id) group by gap_id""", "ctx", "roads"))
+def street_labels(spark, d):
+    near = S.grid_join(_mid(spark, d), _road_points(spark, d), 200)
+    order = F.struct("dist", "way_id")
+    best = near.groupBy("gap_id").agg(
+        F.min_by("road", F.when((F.col("road") != "") & (F.col("dist") <= 150), order)).alias("n"), F.max(((F.col("road") != "") & (F.col("dist") <= 150)).cast("int")).alias("has"), F.min_by("highway", order).alias("h")
+    )
+    label = F.coalesce(F.when(F.col("has") == 1, F.col("n")), F.concat(F.lit("Unnamed "), F.col("h")), F.lit("Unknown"))
+    return gaps(spark, d).select("gap_id").join(best, "gap_id", "left").select("gap_id", label.alias("street"))
+
+
+_NODEPAIRS = f"(select g.gap_id, n.node, {hav('g.start_lat', 'g.start_lon', 'n.lat', 'n.lon')} as dist from ctx g join nodes n on n.lat between g.start_lat - 0.001 and g.start_lat + 0.001 and n.lon between g.start_lon - 0.001 and g.start_lon + 0.001)"
+
+
+def _starts(spark, d):
+    return gaps(spark, d).select("gap_id", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"))
+
+
+def _net_nodes(spark, d):
+    from lowstress.operators.network import nodes
+    from lowstress.plans.network_queries import net
+
+    return nodes(net(spark, d)).select("node", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+
+
+@query("cycling_within_35m", gsql(f"select distinct gap_id from {_NODEPAIRS} where dist <= 35", "ctx", "nodes"))
+def cycling_within_35m(spark, d):
+    return S.within(_starts(spark, d), _net_nodes(spark, d), "gap_id", T.corridor_near_cycling)
+
+
+@query("nearest_cycling_node", gsql(f"select gap_id, node, round(dist, 3) as dist from (select *, row_number() over (partition by gap_id order by dist, node) as rn from {_NODEPAIRS} where dist <= 50) where rn = 1", "ctx", "nodes"))
+def nearest_cycling_node(spark, d):
+    return S.nearest(_starts(spark, d), _net_nodes(spark, d), "gap_id", T.endpoint_to_cycling, ["node"]).select("gap_id", "node", r(F.col("dist")).alias("dist"))
+
+
+_SEGD = """sqrt(pow(px - t * bx, 2) + pow(py - t * by_, 2))"""
+
+
+@query(
+    "roundabout_filter",
+    gsql(f"""select gap_id from ctx where gap_id not in (select gap_id from (select *, case when bx * bx + by_ * by_ = 0 then 0 else least(1, greatest(0, (px * bx + py * by_) / (bx * bx + by_ * by_))) end as t from (
+      select gap_id, rad, (g.end_lon - g.start_lon) * 111320 * cos(radians(g.start_lat)) as bx, (g.end_lat - g.start_lat) * 110540 as by_, (c.lon - g.start_lon) * 111320 * cos(radians(g.start_lat)) as px, (c.lat - g.start_lat) * 110540 as py
+      from ctx g, circ c where g.len_m <= 300)) where {_SEGD} <= rad + 25)""".replace("from ctx g, circ c", f"""from ctx g, (select way_id, lat, lon, greatest(12::double, max({hav('lat', 'lon', 'plat', 'plon')})) as rad from (
+      select way_id, avg(lat) over (partition by way_id) as lat, avg(lon) over (partition by way_id) as lon, lat as plat, lon as plon
+      from fx_vertices where way_id in (select way_id from fx_ways where junction = 'roundabout')) group by way_id, lat, lon) c"""), "ctx", "fx_vertices", "fx_ways"),
+)
+def roundabout_filter(spark, d):
+    hits = refine.roundabout_hits(gaps(spark, d), refine.roundabout_circles(ways(spark, d), vertices(spark, d)))
+    return gaps(spark, d).join(hits, "gap_id", "left_anti").select("gap_id")
+
+
+# --- routes: each street stands for the route of a gap ----------------------------------------------
+
+_SEG_REC = f"""case when {_SPD} > 60 or aadt > 8000 then 'grade_separated_path' when {_SPD} >= 50 or aadt >= 3000 then 'protected_cycle_track' when {_SPD} >= 40 or aadt >= 1000 then 'painted_cycle_lane' else 'shared_roadway' end""".replace("road_maxspeed", "maxspeed")
+_FAC = case("cycleway", L.CYCLEWAY_FACILITY, "'none'")
+_SEGROUTE = f"select name as gap_id, length_m, lts, {_SEG_REC} as recommended from (select *, {lts('highway', 'maxspeed', 'lanes', f'({_FAC})')} as lts, {case('aadt_proxy', L.AADT_MIDPOINT, '2500')} as aadt from roads) where name <> ''"
+_ROLL = f"""select *, case when worst_lts <= 2 then 'straightforward' when problem_pct <= 30 then 'moderate' else 'complex' end as complexity from (select gap_id, sum(m) as total_length_m, max(w) as worst_lts, sum(p) as problem_m, round(100 * sum(p) / sum(m), 1) as problem_pct, 100 * sum(p4) / sum(m) as lts4_pct, sum(c) as estimated_cost, arg_max(recommended, (m, recommended)) as dominant_facility
+  from (select gap_id, recommended, sum(length_m) as m, max(lts) as w, sum(case when lts >= 3 then length_m else 0 end) as p, sum(case when lts >= 4 then length_m else 0 end) as p4, sum(length_m * {case('recommended', L.COST_PER_METRE, '500')}) as c from ({_SEGROUTE}) group by gap_id, recommended) group by gap_id)"""
+
+
+def _routes(spark, d):
+    e = route.segment_facility(route.weighted_edges(roads(spark, d))).where("name <> ''").withColumnRenamed("name", "gap_id")
+    return route.roll_up(e)
+
+
+@query("weighted_road_edges", sql(f"select a, b, lts, round(length_m * case lts when 1 then 1.0 when 2 then 1.5 when 3 then 3.0 else 8.0 end, 3) as lts_cost from (select *, {lts('highway', 'maxspeed', 'lanes', f'({_FAC})')} as lts from roads)", "roads"))
+def weighted_road_edges(spark, d):
+    return route.weighted_edges(roads(spark, d)).select("a", "b", "lts", r(F.col("lts_cost")).alias("lts_cost"))
+
+
+@query("route_rollup", sql(f"select gap_id, round(total_length_m, 2) as total_length_m, worst_lts, round(problem_m, 2) as problem_m, problem_pct, round(estimated_cost, 0) as estimated_cost, dominant_facility, complexity from ({_ROLL})", "roads"))
+def route_rollup(spark, d):
+    return _routes(spark, d).select("gap_id", r(F.col("total_length_m"), 2).alias("total_length_m"), "worst_lts", r(F.col("problem_m"), 2).alias("problem_m"), "problem_pct", r(F.col("estimated_cost"), 0).alias("estimated_cost"), "dominant_facility", "complexity")
+
+
+@query("route_quality", sql(f"""select gap_id, round(detour_ratio, 6) as detour_ratio, case when worst_lts = 1 then '' when detour_ratio > 2.5 or lts4_pct > 40 then 'poor' when high <= 5 and detour_ratio <= 1.4 then 'excellent' when high <= 20 and lts4_pct <= 10 then 'good'
+  when lts4_pct <= 25 and detour_ratio <= 2.0 then 'fair' else 'poor' end as quality from (select *, total_length_m / (1000 + 250 * length(gap_id)) as detour_ratio, 100 * problem_m / total_length_m as high from ({_ROLL}))""", "roads"))
+def route_quality(spark, d):
+    x = _routes(spark, d).withColumn("straight_line_m", (1000 + 250 * F.length("gap_id")).cast("double")).withColumn("found", F.col("worst_lts") != 1).withColumn("fallback", F.lit(False))
+    return route.with_quality(x).select("gap_id", r(F.col("detour_ratio"), 6).alias("detour_ratio"), "quality")
+
+
+@query("route_verdict", sql(f"""select gap_id, length_ratio, case when not found then 'incomplete' when s_worst <= 2 then 'direct_is_comfortable' when worst_lts >= 4 then 'no_comfortable_route' when length_ratio <= 1.1 then 'comfort_for_free' else 'detour_buys_comfort' end as verdict from (
+  select *, case when found then round(total_length_m / s_len, 2) end as length_ratio from (select gap_id, total_length_m, worst_lts, length(gap_id) % 3 <> 0 as found, total_length_m - problem_m * 0.5 as s_len, greatest(1, worst_lts - 1) as s_worst from ({_ROLL})))""", "roads"))
+def route_verdict(spark, d):
+    x = _routes(spark, d).withColumn("fallback", F.lit(False))
+    found = F.length("gap_id") % 3 != 0
+    s = x.select("gap_id", F.lit(True).alias("found"), (F.col("total_length_m") - F.col("problem_m") * 0.5).alias("total_length_m"), F.greatest(F.lit(1), F.col("worst_lts") - 1).alias("worst_lts"))
+    return route.compare(x.withColumn("found", found), s)
