@@ -142,7 +142,7 @@ def test_lines_equal_brute_force(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == len(docs)
     for i, t in docs:
-        assert list(got[i].dropped) == sorted(gone.get(i, []))
+        assert (i, list(got[i].dropped)) == (i, sorted(gone.get(i, [])))
         want = t if t is None or not gone.get(i) else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
         assert got[i].text == want and got[i].key == "k"
 
@@ -310,3 +310,13 @@ def test_pipeline_stages_take_effect(spark):
                 assert r.text == "\n".join(x for n, x in enumerate(texts[r.doc_id].split("\n")) if n not in gone.get(r.doc_id, [])) and r.n_chars == len(r.text)
     out = {r.doc_id: r for r in P.STAGES[-1][1](spark, left, sf).collect()}
     assert set(out) == ids[-1] and all(r.n_tokens == len(r.ids) for r in out.values())
+
+
+def test_line_tables_do_not_depend_on_the_batch():
+    import pyarrow as pa
+
+    texts = ["a b c d e f\n" * 3 + "w " * 70_000 + "\nq r s t u v", "g h i j k l " * 20_000, None, "", "no\n\nq r s t u v\n"]
+    rows = list(zip(*line_dedup.line_table(pa.array(texts)), strict=True))
+    assert [(r, n) for r, n, *_ in rows] == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (4, 2)]
+    for i, t in enumerate(texts):
+        assert [r[1:] for r in rows if r[0] == i] == [r[1:] for r in zip(*line_dedup.line_table(pa.array([t], pa.string())), strict=True)]
