@@ -285,3 +285,48 @@ def route_verdict(spark, d):
     found = F.length("gap_id") % 3 != 0
     s = x.select("gap_id", F.lit(True).alias("found"), (F.col("total_length_m") - F.col("problem_m") * 0.5).alias("total_length_m"), F.greatest(F.lit(1), F.col("worst_lts") - 1).alias("worst_lts"))
     return route.compare(x.withColumn("found", found), s)
+
+
+# --- loops and kernels: no single SQL statement says the same; tests hold them against brute force ----
+
+
+@query("dedup")
+def dedup(spark, d):
+    return refine.number_gaps(refine.greedy_dedup(gaps(spark, d))).select("gap_id", "ord", "gap_type", "prio")
+
+
+@query("detour_gaps")
+def detour_gaps(spark, d):
+    from lowstress.operators.separation import detour_gaps as f
+    from lowstress.plans.network_queries import net
+
+    return f(net(spark, d)).select("source", "target", r(F.col("straight_m")).alias("straight_m"), r(F.col("network_m")).alias("network_m"), r(F.col("detour_factor"), 6).alias("detour_factor"))
+
+
+@query("separation")
+def separation(spark, d):
+    from lowstress.operators.separation import separation as f
+    from lowstress.plans.network_queries import net
+
+    return f(gaps(spark, d), net(spark, d)).select("gap_id", r(F.col("network_m")).alias("network_m"), r(F.col("separation_ratio"), 6).alias("separation_ratio"), "keep")
+
+
+@query("corridor_gaps")
+def corridor_gaps(spark, d):
+    from lowstress.operators.corridor import corridor_gaps as f
+
+    return f(roads(spark, d)).select("name", "chain", "hole", "a", "b", r(F.col("length_m")).alias("length_m"))
+
+
+@query("lts_routes")
+def lts_routes(spark, d):
+    from lowstress.operators.separation import route_gaps
+
+    return route_gaps(gaps(spark, d), roads(spark, d)).select("gap_id", "found", "note", r(F.col("total_length_m"), 2).alias("total_length_m"), "worst_lts", "problem_pct", "complexity", "quality")
+
+
+@query("compared_routes")
+def compared_routes(spark, d):
+    from lowstress.operators.separation import compare_strategies
+
+    return compare_strategies(gaps(spark, d), roads(spark, d))
