@@ -330,3 +330,55 @@ def compared_routes(spark, d):
     from lowstress.operators.separation import compare_strategies
 
     return compare_strategies(gaps(spark, d), roads(spark, d))
+
+
+@query("topology_clean")
+def topology_clean(spark, d):
+    from lowstress.operators.clean import clean_topology
+    from lowstress.plans.network_queries import net
+
+    return clean_topology(net(spark, d).drop("source")).select("a", "b", "way_ids", "facility", r(F.col("length_m")).alias("length_m"))
+
+
+@query("betweenness_spines")
+def betweenness_spines(spark, d):
+    from lowstress.operators.clean import dissolve
+    from lowstress.operators.spines import detect_spines
+    from lowstress.plans.network_queries import net
+
+    edges = dissolve(net(spark, d).drop("source"))
+    return detect_spines(edges, roads(spark, d)).select("spine", "name", r(F.col("lat"), 6).alias("lat"), r(F.col("lon"), 6).alias("lon"), r(F.col("total_length_m")).alias("total_length_m"), "facility", "n_nodes")
+
+
+@query("spines_by_name", sql("select spine as name, round(avg(mid_lat), 6) as lat, round(avg(mid_lon), 6) as lon, round(sum(length_m), 3) as total_length_m from (select *, case when lower(name) like '%street 0-1%' then 'STREET 0-1' when lower(name) like '%avenue 0-3%' then 'avenue 0-3' end as spine from roads) where spine is not null group by spine", "roads"))
+def spines_by_name(spark, d):
+    from lowstress.operators.spines import spines_by_name as f
+
+    return f(roads(spark, d), ["STREET 0-1", "avenue 0-3"]).select("name", r(F.col("lat"), 6).alias("lat"), r(F.col("lon"), 6).alias("lon"), r(F.col("total_length_m")).alias("total_length_m"))
+
+
+BOX = (43.0, -80.6, 43.03, -80.55)
+
+
+@query("diagnose_nodes")
+def diagnose_nodes(spark, d):
+    from lowstress.operators.diagnose import nodes_in
+    from lowstress.plans.network_queries import net
+
+    return nodes_in(net(spark, d), BOX).select("node", "degree", "component", "facility", "facilities")
+
+
+@query("diagnose_islands")
+def diagnose_islands(spark, d):
+    from lowstress.operators.diagnose import island_trace
+    from lowstress.plans.network_queries import net
+
+    return island_trace(net(spark, d), BOX).select("component", "size", r(F.col("length_m")).alias("length_m"), "rank", "reason")
+
+
+@query("diagnose_dangling")
+def diagnose_dangling(spark, d):
+    from lowstress.operators.diagnose import dangling_trace
+    from lowstress.plans.network_queries import net
+
+    return dangling_trace(net(spark, d), BOX)
