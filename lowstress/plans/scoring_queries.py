@@ -382,3 +382,27 @@ def diagnose_dangling(spark, d):
     from lowstress.plans.network_queries import net
 
     return dangling_trace(net(spark, d), BOX)
+
+
+@query("gap_geojson", gsql("select gap_id, 0 as part, 'Point' as type, round(lon, 6) as lon from ctx union all select gap_id, 1, 'LineString', round(start_lon, 6) from ctx", "ctx"))
+def gap_geojson(spark, d):
+    from lowstress.sources.sinks import gap_features
+
+    f = gap_features(gaps(spark, d))
+    first = F.when(F.col("part") == 0, F.get_json_object("feature", "$.geometry.coordinates[0]")).otherwise(F.get_json_object("feature", "$.geometry.coordinates[0][0]"))
+    return f.select("gap_id", "part", F.get_json_object("feature", "$.geometry.type").alias("type"), r(first.cast("double"), 6).alias("lon"))
+
+
+@query("union_detectors")
+def union_detectors(spark, d):
+    from lowstress.operators import detect
+    from lowstress.plans.network_queries import net
+    from lowstress.storage import checkpoint
+
+    e = checkpoint(net(spark, d))
+    parts = [("island", 0, detect.island_pairs(e)), ("dangling", 2, detect.dangling_pairs(e)), ("dangling", 4, detect.near_miss(e)), ("connector", 5, detect.connector_pairs(e))]
+    out = [p.select(F.lit(kind).alias("gap_type"), F.lit(ord_).alias("src_ord"), "node", "r_node", r(F.col("dist")).alias("dist")) for kind, ord_, p in parts]
+    all_ = out[0]
+    for p in out[1:]:
+        all_ = all_.unionByName(p)
+    return all_
