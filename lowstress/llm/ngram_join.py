@@ -15,7 +15,7 @@ from lowstress.llm.clusters import KEY_SCHEMA, Forest, candidate_links, packed_k
 from lowstress.storage import materialize
 
 LEAF, FANOUT = 32, 6
-BATCH = 2048
+BATCH = 512
 _PREFIX_KEY = np.array([3], np.uint64)
 _K = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 

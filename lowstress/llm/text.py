@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-WINDOW = 1 << 21
+WINDOW = 1 << 18
 _P = 0x9E3779B97F4A7C55 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
