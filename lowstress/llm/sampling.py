@@ -14,8 +14,13 @@ def crc_mod(col, m: int):
 def per_class_sample(rows: DataFrame, by: list[str], id_col: str, most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``by``: those with the smallest hash of the id.
 
-    The limit is applied per partition before the shuffle, so a class that holds most of the rows
-    costs each task at most ``most`` rows.
+    Classes are counted first; rows whose hash is beyond what about twice ``most`` rows of their class
+    need are left out where they are read, so that what meets to be ranked is bounded whatever the
+    number of rows and partitions. Classes of up to twice ``most`` rows are ranked whole.
     """
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(id_col), F.lit(11)), F.col(id_col))
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_size")).select(*[F.col(c).alias(f"_{c}") for c in by], "_size")
+    same = [rows[c].eqNullSafe(sizes[f"_{c}"]) for c in by]
+    share = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.join(sizes, same).where(share * F.col("_size") <= 2 * most).drop("_size", *[f"_{c}" for c in by])
+    order = Window.partitionBy(*by).orderBy(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)), F.col(id_col))
+    return few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
