@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Classes that a sample covers (the most frequent ones); bounds what is broadcast.
+MOST_CLASSES = 1000
+
+
 def crc_mod(col, m: int):
     """crc32 of a value's text (null: of the empty text), modulo m."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))), F.lit(m))
@@ -19,6 +23,7 @@ def per_class_sample(rows: DataFrame, by: list[str], id_col: str, most: int) ->
     number of rows and partitions. Classes of up to twice ``most`` rows are ranked whole.
     """
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_size")).select(*[F.col(c).alias(f"_{c}") for c in by], "_size")
+    sizes = F.broadcast(sizes.orderBy(F.desc("_size"), *[f"_{c}" for c in by]).limit(MOST_CLASSES))
     same = [rows[c].eqNullSafe(sizes[f"_{c}"]) for c in by]
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     few = rows.join(sizes, same).where(share * F.col("_size") <= 2 * most).drop("_size", *[f"_{c}" for c in by])
