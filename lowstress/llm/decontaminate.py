@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from lowstress.llm import text as T
 
-#: BM25 constants; postings of a block; words of a passage and its step; least share of an item's own score.
+#: BM25 constants; postings of a block; least words of a passage and its step; least share of an item's own score.
 K1, B, BLOCK, PASSAGE, STEP, LEAST = 1.2, 0.75, 16, 160, 80, 0.6
+#: Share of its step that the longest item of an index may have: a copy of it with more words still lies in one passage.
+ROOM = 0.8
 #: Words of an n-gram and least share of the question's and of the answer's n-grams (hundredths).
 NGRAM, COVER = 5, 80
 #: Items of one index: larger benchmarks are cut into shards, so that what travels to tasks is bounded.
@@ -50,6 +52,14 @@ def _half(words: np.ndarray) -> tuple[int, set[int]]:
     return n, grams(words, n)
 
 
+def scale_of(n: int) -> int:
+    """The power of two by which passages grow for items of n words."""
+    scale = 1
+    while n > ROOM * STEP * scale:
+        scale *= 2
+    return scale
+
+
 @dataclass
 class Index:
     """Postings of each word: items in ascending order with weights (share of the item's own score), and block maxima."""
@@ -62,6 +72,7 @@ class Index:
     answer: list[tuple[int, set[int]]]
     need: np.ndarray  # what an item's essential words must add up to, if all others occur
     essential: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # per word: offsets of (item, weight); a table of their low bits
+    scale: int = 1  # passages and steps are this many times PASSAGE and STEP
 
     @staticmethod
     def build(items: list[tuple[int, str]]) -> Index:
@@ -101,7 +112,7 @@ class Index:
         table = np.zeros(1 << 20, bool)
         table[(np.array(names, np.uint64)[sizes > 0] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         essential = (np.concatenate([[0], np.cumsum(sizes)]), np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat]), table)
-        return Index([i for i, _ in items], np.array(names, np.uint64), np.array([max(p[1]) for p in postings]), postings, [_half(q) for q, _ in halves], [_half(a) for _, a in halves], need, essential)
+        return Index([i for i, _ in items], np.array(names, np.uint64), np.array([max(p[1]) for p in postings]), postings, [_half(q) for q, _ in halves], [_half(a) for _, a in halves], need, essential, scale_of(max((b.total() for b in bags), default=0)))
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: every (item, score) with a score of LEAST or more for these distinct words (positions in ``words``)."""
@@ -149,12 +160,12 @@ class Index:
         return found
 
     def passages(self, words: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, first word, end) of overlapping passages of PASSAGE words that cover each text."""
-        n = np.diff(offs)
-        count = np.where(n > 0, 1 + np.maximum(0, -(-(n - PASSAGE) // STEP)), 0)
+        """(row, first word, end) of overlapping passages of PASSAGE (times the scale) words that cover each text."""
+        n, size, step = np.diff(offs), PASSAGE * self.scale, STEP * self.scale
+        count = np.where(n > 0, 1 + np.maximum(0, -(-(n - size) // step)), 0)
         row = np.repeat(np.arange(len(n)), count)
-        start = offs[:-1][row] + T.ramp(count) * STEP
-        return row, start, np.minimum(start + PASSAGE, offs[1:][row])
+        start = offs[:-1][row] + T.ramp(count) * step
+        return row, start, np.minimum(start + size, offs[1:][row])
 
     def promising(self, words: np.ndarray, offs: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Passages whose essential words could bring an item to the threshold, if all its other words occurred.
@@ -162,6 +173,7 @@ class Index:
         Nothing else can be retrieved. Words that are repeated in a passage count again, so this bounds from above.
         """
         ptr, items, weights, table = self.essential
+        size, step = PASSAGE * self.scale, STEP * self.scale
         maybe = np.flatnonzero(table[(words & np.uint64(len(table) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.words, words[maybe]), len(self.words) - 1)
         hit = (self.words[at] == words[maybe]) & (ptr[at + 1] > ptr[at])
@@ -169,15 +181,15 @@ class Index:
         n = ptr[at + 1] - ptr[at]
         entry = np.repeat(ptr[at], n) + T.ramp(n)
         where = np.repeat(where, n)
-        # passage k of a row begins at word k * STEP: a word is in those that begin less than PASSAGE before it
+        # passage k of a row begins at word k * step: a word is in those that begin less than a passage before it
         of_row = np.searchsorted(offs, where, "right") - 1
         first = np.searchsorted(row, of_row)
         last = np.searchsorted(row, of_row, "right") - 1
-        newest = (where - offs[of_row]) // STEP
+        newest = (where - offs[of_row]) // step
         keys, values = [], []
-        for back in range(-(-PASSAGE // STEP)):
+        for back in range(-(-size // step)):
             k = newest - back
-            ok = (k >= 0) & (first + k <= last) & (where - offs[of_row] - k * STEP < PASSAGE)
+            ok = (k >= 0) & (first + k <= last) & (where - offs[of_row] - k * step < size)
             keys.append(((first + k) * len(self.ids) + items[entry])[ok])
             values.append(weights[entry][ok])
         key, value = np.concatenate(keys), np.concatenate(values)
@@ -206,16 +218,19 @@ class Index:
 
 
 def shards(items: DataFrame, id_col: str, text_col: str):
-    """Indexes of the items, each within the shard bounds; items without words are left out."""
-    rows = items.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).orderBy(id_col, text_col)
+    """Indexes of the items, each of one class of lengths and within the shard bounds; items without words are left out."""
+    n = F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+"))
+    kind = F.greatest(F.lit(0), F.ceil(F.log2(n / (ROOM * STEP)) - 1e-9)).cast("int")
+    rows = items.where(F.col(id_col).isNotNull() & (n > 0)).select(kind.alias("_class"), F.col(id_col).cast("long"), F.col(text_col)).orderBy("_class", id_col, text_col)
     held: list[tuple[int, str]] = []
-    chars = 0
-    for i, t in rows.toLocalIterator():
-        if held and (len(held) >= SHARD_ITEMS or chars + len(t) > SHARD_CHARS):
+    chars = last = 0
+    for c, i, t in rows.toLocalIterator():
+        if held and (c != last or len(held) >= SHARD_ITEMS or chars + len(t) > SHARD_CHARS):
             yield Index.build(held)
             held, chars = [], 0
         held.append((i, t))
         chars += len(t)
+        last = c
     if held:
         yield Index.build(held)
 
@@ -225,10 +240,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     Every passage of the whole text queries the index; items whose BM25 score reaches LEAST of their
     score for their own words are retrieved, all of them, and verified: COVER hundredths or more of the
-    question's and of the answer's NGRAM-word runs occur in the passage (which is long enough for items
-    of up to PASSAGE - STEP words; longer items are judged by the passages' best cover, so STEP words at
-    least are seen at once). A map over the documents, without a shuffle; the index is bounded by shards,
-    and a benchmark of many shards costs as many passes.
+    question's and of the answer's NGRAM-word runs occur in the passage. Items are indexed by classes of
+    length, and the passages of each overlap by more than its longest item, so a copy lies whole in one
+    of them wherever it begins. A map over the documents, without a shuffle; the index is bounded by
+    shards, and a benchmark of many shards (or classes: the length in words, by powers of two) costs as
+    many passes.
 
     Rows of one id yield their own rows each; null and empty texts contain nothing; an empty table or
     benchmark gives no rows; other columns are not read.
