@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occur before (alike or nearly) leave the texts; a document all of whose compared lines leave goes with them."""
+    """Lines that occur before (alike or nearly) leave the texts; a document of which only blank lines are left by that goes with them."""
     out = line_dedup.dedup_lines(docs)
-    left = out.where((F.col("n_long") == 0) | (F.size("dropped") < F.col("n_long")))
+    left = out.where((F.size("dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(F.size("dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
