@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -26,3 +29,24 @@ def unblock(table: pa.Table) -> pa.Table:
     """The rows of a block."""
     rows = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in table["body"]])
     return rows.combine_chunks()
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step``, after which the worker, which idles until its next task, gives its free memory back."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
