@@ -6,6 +6,7 @@ folder that every executor sees; a private folder is used only where it is unset
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,10 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nobody holds any more (it does when the driver collects its garbage)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lowstress/{name}-{uuid.uuid4().hex}"
+    release(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
