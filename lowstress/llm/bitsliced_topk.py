@@ -120,6 +120,14 @@ class SlicedBlock:
         return ids[rows][best], scores[best]
 
 
+def exact_top(values: np.ndarray, q: np.ndarray, k: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``SlicedBlock.top``, in whole numbers of any length; scores beyond a long count as the nearest long."""
+    far = np.iinfo(np.int64)
+    scores = [min(max(sum(a * b for a, b in zip(x, q.tolist(), strict=True)), far.min), far.max) for x in values.tolist()]
+    best = sorted((-s, i) for s, i in zip(scores, ids.tolist(), strict=True) if i != own)[:k]
+    return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
+
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """(id, q array<bigint>): floor(scale * x) in doubles; vectors that are null or hold null or non-finite components go."""
     xs = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -139,8 +147,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     (a common one may hold a third of all rows) are spread over blocks by a hash of the id.
 
     A candidate is every row with another id than the query's; repeated ids are separate rows; vectors
-    of other lengths are not comparable and do not meet; empty vectors score 0; components need
-    |floor(scale * x)| < 2**27. Extra columns are not read; no queries or no candidates give no rows.
+    of other lengths are not comparable and do not meet; empty vectors score 0. Blocks whose sums could leave 62 bits are
+    resolved in whole numbers of any length instead of slices; scale * x beyond a long, and scores beyond one, count as the
+    nearest long. Extra columns are not read; no queries or no candidates give no rows.
     """
     rows, asks = quantised(vectors, id_col, vec_col, scale), quantised(queries, id_col, vec_col, scale)
     n_blocks = rows.groupBy(F.size("q").alias("dims")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
@@ -163,9 +172,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                 key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
                 if not index or index[0] != key:
                     ids, vals = unpack(batch.column(3)[i], key[0])
-                    index = (key, ids, SlicedBlock(vals))
+                    most = max(map(abs, (int(vals.min(initial=0)), int(vals.max(initial=0)))))
+                    index = (key, ids, SlicedBlock(vals) if most < 1 << 40 else None, vals, most)
                 q_ids, qs = unpack(batch.column(2)[i], key[0])
-                out = [(np.repeat(a, len(t[0])), *t) for a, q in zip(q_ids, qs, strict=True) for t in [index[2].top(q, k, index[1], a)]]
+                out = []
+                for a, q in zip(q_ids, qs, strict=True):
+                    sums = 2 * index[4] * sum(map(abs, q.tolist()))  # a block's values are shifted to be positive
+                    t = index[2].top(q, k, index[1], a) if index[2] is not None and sums < 1 << 62 else exact_top(index[3], q, k, index[1], a)
+                    out.append((np.repeat(a, len(t[0])), *t))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 

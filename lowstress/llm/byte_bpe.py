@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
+from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,25 +39,39 @@ class Encoder:
         # \s as in the pattern's other engines: the White_Space property, without U+001C to U+001F
         self.match = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_vocabulary(path)[0], special_tokens={})
-        self.encode, self.whole = own.encode_ordinary, lambda text: own.encode_to_numpy(text, disallowed_special=())
-        self.known: dict[str, list[int]] = {}
+        self.known = Known(own.encode_ordinary)
 
     def pieces(self, text: str) -> list[str]:
         return self.match.findall(text)
 
-    def ids(self, pieces: list[str]) -> list[int]:
-        known, out = self.known, []
-        extend = out.extend
-        for p in pieces:
-            got = known.get(p)
-            if got is None:
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
-                got = self.encode(p)
-                if len(p) <= 64:
-                    known[p] = got
-            extend(got)
-        return out
+    def ids(self, pieces: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and how many each piece has."""
+        if len(self.known) > CACHE_PIECES:
+            self.known.forget()
+        codes = np.fromiter(map(self.known.__getitem__, pieces), np.int64)
+        offs, flat = np.frombuffer(self.known.offs, np.int64), np.frombuffer(self.known.flat, np.int32)
+        first = offs[codes]
+        n = offs[codes + 1] - first
+        return flat[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], n
+
+
+class Known(dict):
+    """Numbers of pieces by first use; ``flat[offs[n]:offs[n + 1]]`` are the ids of piece n."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.flat, self.offs = array("i"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        self.flat.extend(self.encode(piece))
+        self.offs.append(len(self.flat))
+        self[piece] = len(self.offs) - 2
+        return len(self.offs) - 2
 
 
 @functools.lru_cache(2)
@@ -95,11 +112,12 @@ def stitch(bounds: list[np.ndarray]) -> list[int] | None:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """(id, n_tokens, ids array<int>) for every row: the ids of the whole text by the ranks in ``path``.
 
-    A text of one chunk needs no stitching and is encoded where it is read. A longer one is cut into overlapping chunks that
-    are dealt out, pre-tokenised and encoded in parallel; per text, chunks then meet and each takes
-    over at the first piece boundary it shares with its predecessor. If two chunks share none (one
-    piece longer than the overlap), that text is encoded whole. Null texts are empty and give no ids;
-    repeated ids stay separate rows; other columns are not read; an empty table gives no rows. The
+    Chunks are pre-tokenised, then their pieces are encoded. A text of one chunk needs no stitching: both happen where it is
+    read. The overlapping chunks of a longer one are dealt out and worked on in parallel; per text, they then meet and
+    each takes over at the first piece boundary it shares with its predecessor. If two chunks share none (one
+    piece longer than the overlap), that text is pre-tokenised whole. Null texts are empty and give no ids;
+    repeated ids stay separate rows (equal rows are encoded once and come out as often as they went in); other columns are not read; an empty table
+    gives no rows. Keys of the shuffle depend on id and text alone, so a recomputed task deals alike. The
     rank file is read from ``path`` on every executor.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -111,20 +129,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = [enc.whole(t) for t in part.column(1).to_pylist()]
-                yield _batch(part.column(0), got)
+                pieces = [enc.pieces(t) for t in part.column(1).to_pylist()]
+                ids, n = enc.ids(chain.from_iterable(pieces))
+                ends = np.cumsum(n)[np.cumsum([len(p) for p in pieces]) - 1] if len(n) else np.zeros(len(pieces), np.int64)
+                ends[: next((i for i, p in enumerate(pieces) if p), len(pieces))] = 0
+                yield _batch(part.column(0), ids, np.append(0, ends))
 
     def cut(batches):
         for batch in batches:
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                text, key = t.as_py(), None
+            for i, key, t in zip(*batch.columns, strict=True):
+                text = t.as_py()
                 spans = chunks_of(len(text), chunk, overlap)
-                import uuid
-
-                key = uuid.uuid4().hex  # rows with one id stay apart
                 for k, (s, e) in enumerate(spans):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i.as_py()], batch.schema[0].type), pa.array([key]), pa.array([k], pa.int32()), pa.array([s], pa.int64()), pa.array([k == len(spans) - 1]), pa.array([text[s:e]])],
+                        [pa.array([i.as_py()], batch.schema[0].type), pa.array([key.as_py()]), pa.array([k], pa.int32()), pa.array([s], pa.int64()), pa.array([k == len(spans) - 1]), pa.array([text[s:e]])],
                         names=["id", "key", "k", "start", "last", "text"],
                     )
 
@@ -133,22 +151,25 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for i, key, k, s, last, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pieces, bounds = split_chunk(enc, t, s, last)
-                got = [enc.ids([p]) for p in pieces]
+                ids, counts = enc.ids(pieces)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([i], batch.schema[0].type), pa.array([key]), pa.array([k], pa.int32()), pa.array([t[: chunk] if not last else t]),
-                        pa.array([bounds.tolist()], pa.list_(pa.int64())), pa.array([[len(g) for g in got]], pa.list_(pa.int32())), pa.array([[x for g in got for x in g]], pa.list_(pa.int32())),
+                        pa.array([bounds.tolist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([ids], pa.list_(pa.int32())),
                     ],
                     names=["id", "key", "k", "text", "bounds", "counts", "ids"],
                 )
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("k")
+        chunk_of = table["k"].to_numpy()
+        times = int((chunk_of == 0).sum())  # equal rows have one key, and each chunk as often as there are rows
+        table = table.take(np.flatnonzero(np.diff(chunk_of, prepend=-1)))
         bounds = [np.asarray(x.values) for x in table["bounds"]]
         takes = stitch(bounds)
         if takes is None:
             enc = encoder(path, pattern)
-            ids = enc.ids(enc.pieces("".join(table["text"].to_pylist())))
+            ids, _ = enc.ids(enc.pieces("".join(table["text"].to_pylist())))
         else:
             ids = []
             for j, b in enumerate(bounds):
@@ -157,30 +178,33 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 until = int(np.searchsorted(b, takes[j + 1])) if j + 1 < len(takes) else len(b) - 1
                 ids.append(np.asarray(table["ids"][j].values)[counts[first] : counts[until]])
             ids = np.concatenate(ids)
-        return pa.Table.from_batches([_batch(table["id"].combine_chunks()[:1], [ids])])
+        return pa.Table.from_batches([_batch(pa.array([table["id"][0].as_py()] * times, table.schema.field("id").type), np.tile(ids, times), np.arange(times + 1) * len(ids))])
 
     one = rows.where(F.length("text") <= chunk).mapInArrow(short, schema)
-    parts = rows.where(F.length("text") > chunk).mapInArrow(cut, f"id {kind}, key string, k int, start long, last boolean, text string")
+    key = F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.xxhash64("text"), F.xxhash64("text", F.lit(1)))
+    parts = rows.where(F.length("text") > chunk).select("id", key.alias("key"), "text").mapInArrow(cut, f"id {kind}, key string, k int, start long, last boolean, text string")
     parts = parts.repartition("key", "k").mapInArrow(split, f"id {kind}, key string, k int, text string, bounds array<long>, counts array<int>, ids array<int>")
     whole = parts.groupBy("key").applyInArrow(join, schema)
     return one.unionByName(whole).withColumnRenamed("id", id_col)
 
 
-def _batch(ids: pa.Array, got: list) -> pa.RecordBatch:
-    n = np.fromiter(map(len, got), np.int64, len(got))
-    flat = np.concatenate([np.asarray(g, np.int32) for g in got]) if got else np.zeros(0, np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([ids, pa.array(n), lists], names=["id", "n_tokens", "ids"])
+def _batch(rows: pa.Array, ids: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([rows, pa.array(np.diff(offs)), lists], names=["id", "n_tokens", "ids"])
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """The input's columns and ``decoded``: the bytes of the ids, concatenated (null ids: null). An id without a rank is an error."""
+    """The input's columns and ``decoded``: the bytes of the ids, concatenated (null ids: null). An id without a rank is an error.
+
+    A column ``decoded`` of the input is replaced; an empty table gives no rows.
+    """
+    encoded = encoded.drop("decoded")
 
     def turn(batches):
         table = _vocabulary(path)[1]
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
-            out = [None if x is None else b"".join(map(table.__getitem__, x)) for part in range(0, batch.num_rows, 256) for x in column.slice(part, 256).to_pylist()]
+            out = [b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"

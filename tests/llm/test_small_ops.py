@@ -128,6 +128,40 @@ def test_sliced_sum_is_exact():
 def test_digest_columns_of_the_bpe_query(spark):
     import duckdb
 
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path(queries.TOKENIZER), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: r for r in queries.op6_byte_bpe(spark, SF).collect()}
     for i, t in duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall():
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        ids = enc.encode_ordinary(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_long_rows_that_repeat_come_out_as_often(spark):
+    import public_tokenizers as P
+
+    path = P.path(queries.TOKENIZER)
+    texts = ["ab cd " * 40, "ab cd " * 40, "ab cd " * 41]
+    df = spark.createDataFrame([(1, t) for t in texts] + [(None, texts[0])], "doc_id long, text string").withColumn("decoded", F.lit("mine"))
+    encoded = byte_bpe.encode(df, path, P.PATTERN, chunk=64, overlap=24)
+    got = sorted((r.doc_id or 0, bytes(r.decoded).decode()) for r in byte_bpe.decode(encoded.withColumn("decoded", F.lit("mine")), path).collect())
+    assert got == sorted([(1, t) for t in texts] + [(0, texts[0])])
+
+
+def test_topk_of_huge_components(spark):
+    rows = [(0, [1e13, 1.0]), (50, [2.0, -1.0]), (1, [3e13, 0.0]), (2, [-1e13, 5.0]), (3, [1e300, 0.0]), (4, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    far = 2**63 - 1
+    whole = {i: [max(-far - 1, min(far, math.floor(256 * x))) for x in v] for i, v in rows}
+    got = {}
+    for r in bitsliced_topk.top_k(df, df.where("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 50):
+        scored = sorted((-max(-far - 1, min(far, sum(a * b for a, b in zip(whole[q], whole[j], strict=True)))), j) for j in whole if j != q)[:5]
+        assert sorted(got[q]) == [(n + 1, j, -s) for n, (s, j) in enumerate(scored)]
