@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lowstress.llm.blocks import lean
+
 #: Characters of a chunk and of its overlap with the next; a match is trusted only MARGIN before a cut.
 CHUNK_CHARS, OVERLAP_CHARS, MARGIN = 32768, 1024, 8
 #: Pieces whose ids a worker remembers at once.
@@ -180,10 +182,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = np.concatenate(ids)
         return pa.Table.from_batches([_batch(pa.array([table["id"][0].as_py()] * times, table.schema.field("id").type), np.tile(ids, times), np.arange(times + 1) * len(ids))])
 
-    one = rows.where(F.length("text") <= chunk).mapInArrow(short, schema)
+    one = rows.where(F.length("text") <= chunk).mapInArrow(lean(short), schema)
     key = F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.xxhash64("text"), F.xxhash64("text", F.lit(1)))
-    parts = rows.where(F.length("text") > chunk).select("id", key.alias("key"), "text").mapInArrow(cut, f"id {kind}, key string, k int, start long, last boolean, text string")
-    parts = parts.repartition("key", "k").mapInArrow(split, f"id {kind}, key string, k int, text string, bounds array<long>, counts array<int>, ids array<int>")
+    parts = rows.where(F.length("text") > chunk).select("id", key.alias("key"), "text").mapInArrow(lean(cut), f"id {kind}, key string, k int, start long, last boolean, text string")
+    parts = parts.repartition("key", "k").mapInArrow(lean(split), f"id {kind}, key string, k int, text string, bounds array<long>, counts array<int>, ids array<int>")
     whole = parts.groupBy("key").applyInArrow(join, schema)
     return one.unionByName(whole).withColumnRenamed("id", id_col)
 
@@ -208,4 +210,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
-    return encoded.mapInArrow(turn, schema)
+    return encoded.mapInArrow(lean(turn), schema)

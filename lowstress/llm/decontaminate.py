@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lowstress.llm.blocks import lean
 from lowstress.llm import text as T
 
 #: BM25 constants; postings of a block; least words of a passage and its step; least share of an item's own score.
@@ -267,7 +268,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                         names=["id", "item_id", "score", "question_share", "answer_share"],
                     )
 
-        one = rows.mapInArrow(look, schema)
+        one = rows.mapInArrow(lean(look), schema)
         out = one if out is None else out.unionByName(one)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)

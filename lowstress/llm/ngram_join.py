@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lowstress.graph.components import connected_components
+from lowstress.llm.blocks import lean
 from lowstress.llm import text as T
 from lowstress.llm.clusters import KEY_SCHEMA, Forest, candidate_links, packed_keys, verified_components
 from lowstress.storage import materialize
@@ -214,7 +215,7 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                 n = np.diff(offs)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(node, mask=n == 0)], names=["id", "n_shingles", "node"])
 
-    named = materialize(rows.mapInArrow(name, "id long, n_shingles long, node long"), "shingle-sets")
+    named = materialize(rows.mapInArrow(lean(name), "id long, n_shingles long, node long"), "shingle-sets")
     buckets = int(min(20_000, max(8, -(-named.count() // 1024))))
 
     def keys(batches):
@@ -234,7 +235,7 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             if found:
                 yield packed_keys(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), buckets)
 
-    candidates = connected_components(candidate_links(rows.mapInArrow(keys, KEY_SCHEMA)))
+    candidates = connected_components(candidate_links(rows.mapInArrow(lean(keys), KEY_SCHEMA)))
     chosen = named.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     members = candidates.withColumnRenamed("component", "cluster").join(chosen, "node")
 

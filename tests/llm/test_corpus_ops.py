@@ -4,9 +4,11 @@ import collections
 import itertools
 import math
 import random
+import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,19 +102,38 @@ def test_join_of_nothing_of_null_ids_and_of_repeated_rows(spark):
 # --- lines
 
 
+LOWER = {**{c: c + 32 for c in range(65, 91)}, **{c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7}}
+
+
+def plain_form(line):
+    return re.sub("[^a-z0-9\\x80-\U0010ffff]+", " ", line.translate(LOWER)).strip()
+
+
+def edits(a, b):
+    """Levenshtein distance, row by row."""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    step = np.arange(len(y) + 1)
+    row = step.copy()
+    for i, c in enumerate(x):
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != c))
+        row = np.minimum.accumulate(np.concatenate([[i + 1], best]) - step) + step
+    return int(row[-1])
+
+
 def brute_lines(docs):
-    occ = [(i, n, line_dedup.normal(x)) for i, t in docs for n, x in enumerate((t or "").split("\n")) if t is not None]
-    occ = [o for o in occ if len(o[2].split()) >= line_dedup.MIN_WORDS]
+    occ = [(i, n, plain_form(x)) for i, t in docs for n, x in enumerate((t or "").split("\n")) if t is not None]
+    occ = [o for o in occ if o[2]]
     distinct = sorted({o[2] for o in occ})
-    import numpy as np
-    import pyarrow as pa
-
-    sig = dict(zip(distinct, line_dedup.line_table(pa.array(distinct))[3].tolist(), strict=True))
-    bits = np.array([sig[x] for x in distinct], np.int64).view(np.uint64)
+    size = np.array([len(x) for x in distinct])
+    code = [np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64) for x in distinct]
+    runs = np.stack([np.bincount((c[:-2] * 7919 + c[1:-1] * 104729 + c[2:]) % 4096, minlength=4096) if len(c) > 2 else np.zeros(4096, np.int64) for c in code]).astype(np.int32)
     linked = []
-    for i in range(len(distinct)):
-        for j in np.flatnonzero(np.bitwise_count(bits[i] ^ bits[:i]) <= line_dedup.MAX_BITS):
-            if line_dedup.similar(distinct[i], distinct[int(j)]):
+    for i in range(1, len(distinct)):
+        most = np.maximum(size[i], size[:i]) // 10
+        near = np.flatnonzero(abs(size[i] - size[:i]) <= most)
+        # an edit changes six counts of runs of three at most, by one
+        for j in near[abs(runs[i] - runs[near]).sum(axis=1) <= 6 * most[near]]:
+            if most[j] and edits(distinct[i], distinct[j]) <= most[j]:
                 linked.append((i, int(j)))
     group = dict(zip(distinct, groups(len(distinct), linked), strict=True))
     first = {}
@@ -155,7 +176,6 @@ def test_lines_of_nothing_and_of_repeated_rows(spark):
 
 
 def test_pigeonhole_finds_every_close_pair():
-    import numpy as np
 
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
@@ -190,7 +210,6 @@ def test_model_counts_base_scores_and_gain(spark):
 
 
 def test_mixture_is_a_distribution():
-    import numpy as np
 
     rng = np.random.default_rng(0)
     t = rng.integers(0, 50, (interpolated_lm.BUCKETS, interpolated_lm.BINS, interpolated_lm.BINS)).astype(float)
@@ -200,7 +219,6 @@ def test_mixture_is_a_distribution():
 
 
 def test_packing_round_trips():
-    import numpy as np
 
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 5, 1000):
@@ -232,7 +250,6 @@ def test_leaks_equal_brute_force_on_whole_items(spark):
 
 
 def test_wand_retrieves_all_above_the_threshold(monkeypatch):
-    import numpy as np
 
     items = duckdb.sql("select item_id, text from '/root/testdata/sf0.01/benchmark.parquet'").fetchall()
     index = decontaminate.Index.build(items)
