@@ -1,7 +1,7 @@
 """Shared storage for intermediate results: the only place where lineage is cut.
 
 Everything is written below ``spark.checkpoint.dir``, which a cluster points at a
-folder that every executor sees; a private folder is used only where it is unset.
+folder that every executor sees; a private folder is used only where it is unset and the master is local.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session (as a URI or path that Spark's writers accept)."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lowstress-")
         spark.conf.set(_KEY, found)
     if not spark.sparkContext.getCheckpointDir():
@@ -38,9 +41,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lowstress/{name}-{uuid.uuid4().hex}"
     release(spark)
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this application has written here, once the results that read them are stored; returns how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint (never a local one: that is lost with its executor)."""
     shared_dir(df.sparkSession)
