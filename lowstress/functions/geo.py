@@ -52,3 +52,23 @@ def segment_cells(alat: Column, alon: Column, blat: Column, blon: Column, size:
 
 def in_bbox(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
     return lat.between(south, north) & lon.between(west, east)
+
+
+def same_place(p: Column, q: Column, tolerance: float = 1e-7) -> Column:
+    return (F.abs(p["lat"] - q["lat"]) < tolerance) & (F.abs(p["lon"] - q["lon"]) < tolerance)
+
+
+def join_polylines(first: Column, second: Column) -> Column:
+    """One line from two that share an end (either may be turned round); where they share none, the second follows the first."""
+    n, m = F.size(first), F.size(second)
+    head, tail = first[0], F.element_at(first, -1)
+    h2, t2 = second[0], F.element_at(second, -1)
+    rest = lambda line: F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0)))
+    joined = (
+        F.when(same_place(tail, h2), F.concat(first, rest(second)))
+        .when(same_place(tail, t2), F.concat(first, rest(F.reverse(second))))
+        .when(same_place(head, t2), F.concat(second, rest(first)))
+        .when(same_place(head, h2), F.concat(F.reverse(second), rest(first)))
+        .otherwise(F.concat(first, second))
+    )
+    return F.when(n == 0, second).when(m == 0, first).otherwise(joined)

@@ -88,3 +88,36 @@ def infer_facility(cycleway: Column) -> Column:
 
 def priority_band(score: Column) -> Column:
     return F.when(score >= 66, "high").when(score >= 33, "medium").otherwise("low")
+
+
+def facility_tags(facility: Column, name: Column) -> Column:
+    """map<string, string>: tags of a way that would be classified as ``facility``; classes that nobody knows count as unknown."""
+    plain = lambda tags: F.create_map(F.lit("name"), name, *[F.lit(x) for kv in tags.items() for x in kv])
+    out = plain(L.FACILITY_TAGS["unknown"])
+    for kind, tags in L.FACILITY_TAGS.items():
+        out = F.when(facility == kind, plain(tags)).otherwise(out)
+    return out
+
+
+def better_facility(a: Column, b: Column) -> Column:
+    """The one of higher rank; the first if both have the same."""
+    return F.when(lookup(b, L.FACILITY_RANK, 0) > lookup(a, L.FACILITY_RANK, 0), b).otherwise(a)
+
+
+def gap_label(start: Column, end: Column, arrow: bool = False) -> Column:
+    """The streets at both ends in one text; one that is missing counts as empty."""
+    return F.concat(F.coalesce(start, F.lit("")), F.lit(" \u2192 " if arrow else " "), F.coalesce(end, F.lit("")))
+
+
+def to_float(text: Column) -> Column:
+    """A number from CSV text; null for empty, infinite or other texts."""
+    v = F.trim(text).try_cast("double")
+    return F.when((F.abs(v) != float("inf")) & ~F.isnan(v), v)
+
+
+def slug(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit(" "), F.lit("_"))
+
+
+def display_date(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm")

@@ -43,6 +43,27 @@ COST_PER_METRE = {"grade_separated_path": 8000, "protected_cycle_track": 2500, "
 MOTOR_ONLY = ("motorway", "trunk", "motorway_link", "trunk_link")
 FALSE_POSITIVE_REASONS = ("Already connected", "Data error", "Parallel facility", "Same corridor (fragmentation)")
 WEIGHTS = {"connectivity": 0.40, "buildability": 0.20, "destination": 0.20, "lts": 0.15, "equity": 0.05}
+#: Facility class -> tags of a way that is classified as it again
+FACILITY_TAGS = {
+    "protected_track": {"highway": "cycleway", "bicycle": "designated", "foot": "no"}, "cycle_lane": {"highway": "secondary", "cycleway": "lane"},
+    "shared_path": {"highway": "path", "bicycle": "designated", "foot": "designated"}, "shared_roadway": {"highway": "residential", "bicycle": "yes"},
+    "signed_route": {"route": "bicycle"}, "unknown": {"highway": "path", "bicycle": "yes"},
+}
+GAP_COLUMNS = (
+    "rank", "gap_id", "gap_type", "connector_class", "from_street", "to_street", "composite_score", "score_connectivity", "score_buildability",
+    "score_destination", "score_lts", "score_equity", "start_lat", "start_lon", "end_lat", "end_lon", "straight_line_m", "detour_factor",
+    "separation_ratio", "current_network_m", "recommended_facility", "lts_achievable", "cost_tier", "otm18_basis", "start_facility", "end_facility",
+    "lts_context", "corridor_lts", "crosses_barrier", "master_plan_match", "plan_bonus_applied", "aadt_note",
+)
+AADT_NOTE = "AADT proxy used \u2014 verify with municipal traffic model"
+FINAL_COLUMNS = (
+    "rank", "gap_id", "gap_type", "from_street", "to_street", "composite_score", "straight_line_m", "recommended_facility", "lts_achievable", "cost_tier", "crosses_barrier",
+)
+ROUTE_COLUMNS = (
+    "gap_id", "gap_type", "strategy", "from_street", "to_street", "route_found", "fallback_route", "total_length_m", "straight_line_m", "detour_ratio", "worst_lts",
+    "lts_problem_length_m", "lts_problem_pct", "upgrade_complexity", "dominant_facility", "estimated_cost_cad", "route_quality", "notes",
+)
+COMPARE_COLUMNS = ("compare_shortest_length_m", "compare_length_ratio", "compare_shortest_worst_lts", "compare_verdict")
 # --------------------------------------------------------------------------------------------------
 
 
@@ -63,6 +84,7 @@ class Thresholds:
     dangling_radius: float = 400
     dangling_cap: int = 500
     same_road: float = 30
+    micro_gap: float = 20
     dedup: float = 300
     endpoint_dedup: float = 150
     connected_ratio: float = 1.4

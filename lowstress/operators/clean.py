@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowstress.functions import geo
+from lowstress.functions.tags import lookup
 from lowstress.graph.components import connected_components
-from lowstress.lookups import Thresholds
+from lowstress.lookups import FACILITY_RANK, Thresholds
 from lowstress.operators.network import _coords, degrees, nodes
 from lowstress.storage import checkpoint
 
 T = Thresholds()
-MAX_ROUNDS = 25
+MAX_ROUNDS = 200
 
 
 def _located(edges: DataFrame) -> DataFrame:
@@ -53,33 +55,89 @@ def snap_dead_ends(edges: DataFrame, tolerance: float = T.edge_snap) -> DataFram
         out = split.withColumn("e", F.explode(parts)).select("e.a", "e.b", "way_id", "facility", "e.length_m")
         best = F.min_by(F.struct("way_id", "facility", "length_m"), F.struct("way_id", "length_m"))
         edges = checkpoint(out.groupBy("a", "b").agg(best.alias("e")).select("a", "b", "e.*"))
-    return edges
+    raise RuntimeError(f"dead ends were still being snapped after {MAX_ROUNDS} rounds")
+
+
+def _chains(e: DataFrame, inner: DataFrame) -> DataFrame:
+    """Edges with g, the chain that they belong to: edges that meet in an inner node are one chain."""
+    comp = connected_components(inner.select(F.col("e1").alias("a"), F.col("e2").alias("b"))).withColumnRenamed("node", "eid").withColumnRenamed("component", "g")
+    return checkpoint(e.join(comp, "eid", "left").withColumn("g", F.coalesce("g", "eid")))
+
+
+def _kept_nodes(chains: DataFrame, inner: DataFrame) -> DataFrame:
+    """Inner nodes that must stay, the smallest of their chain: three of a ring, two of a ring with one outer node, and one of a
+    chain whose outer nodes an edge or a shorter chain joins already."""
+    ends = chains.select("g", F.explode(F.array("a", "b")).alias("node"))
+    outer = ends.join(inner.select("node"), "node", "left_anti").groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k"))
+    size = chains.groupBy("g").agg(F.count("*").alias("size"))
+    spans = size.join(outer, "g", "left")
+    again = F.row_number().over(Window.partitionBy("a", "b").orderBy("size", "g"))
+    twice = spans.where("k = 2 and a <> b").withColumn("again", again).where("again > 1 and size > 1").select("g", F.lit(1).alias("keep"))
+    rings = spans.where("k is null or a = b").select("g", F.when(F.col("k").isNull(), 3).otherwise(2).alias("keep"))
+    inside = ends.join(inner.select("node"), "node", "left_semi").distinct().join(twice.unionByName(rings), "g")
+    rn = F.row_number().over(Window.partitionBy("g").orderBy("node"))
+    return inside.withColumn("rn", rn).where("rn <= keep").select("node")
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """A chain's edges as one: its nodes and the ids of its ways in order (from the smaller outer node), its length."""
+    at: dict[int, list[int]] = {}
+    rows = table.to_pylist()
+    for i, r in enumerate(rows):
+        at.setdefault(r["a"], []).append(i)
+        at.setdefault(r["b"], []).append(i)
+    node = min(n for n, of in at.items() if len(of) == 1)
+    path, ways, seen = [node], [], set()
+    while len(seen) < len(rows):
+        i = next(i for i in at[node] if i not in seen)
+        seen.add(i)
+        node = rows[i]["b"] if rows[i]["a"] == node else rows[i]["a"]
+        path.append(node)
+        if rows[i]["way_id"] not in ways:
+            ways.append(rows[i]["way_id"])
+    kind = table.schema.field("way_id").type
+    return pa.table(
+        [pa.array([path[0]]), pa.array([path[-1]]), pa.array([ways], pa.list_(kind)), pa.array([rows[0]["facility"]]), pa.array([sum(r["length_m"] for r in rows)]), pa.array([path], pa.list_(pa.int64()))],
+        names=["a", "b", "way_ids", "facility", "length_m", "path"],
+    )
 
 
 def dissolve(edges: DataFrame) -> DataFrame:
-    """Chains through nodes of degree 2 with one facility become one edge (lengths added, way ids listed).
+    """Chains through nodes of degree 2 with one facility become one edge: (a, b, way_ids, facility, length_m, path).
 
-    Edges that meet in such a node are one group (connected components over edges). An open group is
-    one edge between its two outer nodes, unless those are equal or already joined by another edge or
-    group of smaller number: then, as in a ring, the group keeps the node where it would close.
+    Lengths are added; way ids and ``path``, all nodes from a to b, stand in their order along the chain. Chains never make a
+    loop or a second edge between two nodes: a ring keeps three nodes, a ring with one outer node two more, and a chain
+    beside an edge (or beside a chain with fewer edges) one, in each case those with the smallest keys.
     """
     e = checkpoint(edges.withColumn("eid", F.xxhash64("a", "b", F.lit(3))))
     ends = e.select("eid", "facility", F.explode(F.array("a", "b")).alias("node"))
     inner = ends.groupBy("node").agg(F.count("*").alias("d"), F.count_distinct("facility").alias("f"), F.min("eid").alias("e1"), F.max("eid").alias("e2")).where("d = 2 and f = 1 and e1 <> e2")
     inner = checkpoint(inner)
-    comp = connected_components(inner.select(F.col("e1").alias("a"), F.col("e2").alias("b"))).withColumnRenamed("node", "eid").withColumnRenamed("component", "g")
-    grouped = checkpoint(e.join(comp, "eid", "left").withColumn("g", F.coalesce("g", "eid")))
-    outer = grouped.select("g", F.explode(F.array("a", "b")).alias("node")).join(inner.select("node"), "node", "left_anti")
-    span = outer.groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k"))
-    good = span.where("k = 2 and a <> b")
-    rn = F.row_number().over(Window.partitionBy("a", "b").orderBy("size", "g"))
-    size = grouped.groupBy("g").agg(F.count("*").alias("size"))
-    take = good.join(size, "g").withColumn("rn", rn).where("rn = 1").select("g", "a", "b")
-    agg = grouped.groupBy("g").agg(F.sum("length_m").alias("length_m"), F.array_sort(F.collect_set("way_id")).alias("way_ids"), F.first("facility").alias("facility"))
-    merged = take.join(agg, "g").select("a", "b", "way_ids", "facility", "length_m")
-    kept = grouped.join(take.select("g"), "g", "left_anti").select("a", "b", F.array("way_id").alias("way_ids"), "facility", "length_m")
-    return merged.unionByName(kept)
+    kept = checkpoint(_kept_nodes(_chains(e, inner), inner))
+    chains = _chains(e, inner.join(kept, "node", "left_anti"))
+    size = chains.groupBy("g").agg(F.count("*").alias("size"))
+    sized = chains.join(size, "g")
+    way = edges.schema["way_id"].dataType.simpleString()
+    merged = sized.where("size > 1").select("g", "a", "b", "way_id", "facility", "length_m").groupBy("g").applyInArrow(lambda key, t: _walk(t), f"a long, b long, way_ids array<{way}>, facility string, length_m double, path array<long>")
+    merged = merged.withColumn("path", F.when(F.col("a") <= F.col("b"), F.col("path")).otherwise(F.reverse("path"))).withColumn("way_ids", F.when(F.col("a") <= F.col("b"), F.col("way_ids")).otherwise(F.reverse("way_ids")))
+    merged = merged.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+    single = sized.where("size = 1").select("a", "b", F.array("way_id").alias("way_ids"), "facility", "length_m", F.array("a", "b").alias("path"))
+    return merged.unionByName(single)
 
 
 def clean_topology(edges: DataFrame, tolerance: float = T.edge_snap) -> DataFrame:
     return dissolve(snap_dead_ends(edges, tolerance))
+
+
+def clean_counts(edges: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """One row: nodes, edges and components before and after cleaning."""
+    from lowstress.operators.network import components
+
+    count = lambda e, suffix: components(e).agg(F.count("*").alias(f"nodes_{suffix}"), F.count_distinct("component").alias(f"components_{suffix}")).crossJoin(e.agg(F.count("*").alias(f"edges_{suffix}")))
+    return count(edges, "before").crossJoin(count(cleaned, "after"))  # one row each
+
+
+def incident_facility(edges: DataFrame) -> DataFrame:
+    """(node, facility): the facility of the highest rank that meets in each node; of equal ranks protected tracks and cycle lanes before shared ones."""
+    both = edges.select(F.explode(F.array("a", "b")).alias("node"), "facility")
+    return both.groupBy("node").agg(F.max_by("facility", F.struct(lookup(F.col("facility"), FACILITY_RANK, 0), F.col("facility") < "q", F.col("facility"))).alias("facility"))

@@ -1,13 +1,18 @@
-"""Detectors of missing links: pairs of nodes of different components that are close but not connected."""
+"""Detectors of missing links: pairs of nodes of different components that are close but not connected.
+
+``prepare`` reads a network once (components, nodes, statistics); every detector takes what it returns, or plain edges.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lowstress.lookups import Thresholds
+from lowstress.lookups import ENDPOINT_PRIORITY, Thresholds
 from lowstress.operators import network as N
-from lowstress.operators.spatial import grid_join
+from lowstress.operators.spatial import grid_join, nearest
 from lowstress.storage import checkpoint
 
 T = Thresholds()
@@ -41,43 +46,120 @@ def _without_roads(pairs: DataFrame, roads: DataFrame | None) -> DataFrame:
     return pairs.join(ends, (F.least("node", "r_node") == F.col("_a")) & (F.greatest("node", "r_node") == F.col("_b")), "left_anti")
 
 
-def dangling_pairs(edges: DataFrame, roads: DataFrame | None = None) -> DataFrame:
-    """Each dead end of a component of some length, and the nearest qualifying node of another one."""
-    edges = checkpoint(edges)  # read by every step below
-    comp = N.components(edges)
-    nodes = labelled_nodes(edges, comp)
-    long = N.component_stats(edges, comp).where(F.col("length_m") >= T.component_min_length).select("component")
-    anchors = nodes.join(N.degrees(edges).where("degree = 1").select("node"), "node", "left_semi").join(long, "component", "left_semi")
-    return _first(_without_roads(_close(nodes, anchors, T.dangling_radius), roads), ["node"], "r_node")
+@dataclass(frozen=True)
+class Network:
+    """What all detectors read: edges, components, nodes with coordinates, component and facility, and (component, size, length_m, main)."""
 
+    edges: DataFrame
+    comp: DataFrame
+    nodes: DataFrame
+    stats: DataFrame
 
-def near_miss(edges: DataFrame) -> DataFrame:
-    """The closest pair of every two components 30 to 300 m apart."""
+
+def prepare(edges: DataFrame | Network) -> Network:
+    if isinstance(edges, Network):
+        return edges
     edges = checkpoint(edges)
-    nodes = labelled_nodes(edges)
-    pairs = grid_join(nodes, _right(nodes), T.near_miss_max, exact=False).where((F.col("dist") >= T.near_miss_min) & (F.col("component") < F.col("r_component")))
-    best = pairs.groupBy(F.col("component").alias("c1"), F.col("r_component").alias("c2")).agg(F.min(F.struct("dist", "node", "r_node")).alias("m"))
+    comp = checkpoint(N.components(edges))
+    nodes = checkpoint(labelled_nodes(edges, comp))
+    size = comp.groupBy("component").agg(F.count("*").alias("size"))
+    length = edges.join(comp, edges.a == comp.node).groupBy("component").agg(F.sum("length_m").alias("length_m"))
+    largest = size.agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("largest"))
+    stats = size.join(length, "component").join(F.broadcast(largest)).withColumn("main", F.col("component") == F.col("largest")).drop("largest")  # one row
+    return Network(edges, comp, nodes, checkpoint(stats))
+
+
+def _long(net: Network) -> DataFrame:
+    return net.stats.where(F.col("length_m") >= T.component_min_length).select("component")
+
+
+def cap_anchors(anchors: DataFrame, stats: DataFrame, cap: int = T.dangling_cap) -> DataFrame:
+    """The anchors of the largest components first, ``cap`` at most; ties by component and node."""
+    return anchors.join(stats.select("component", "size"), "component").orderBy(F.desc("size"), "component", "node").limit(cap).drop("size")
+
+
+def dangling_pairs(edges: DataFrame | Network, roads: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """Each dead end of a component of some length, and the nearest qualifying node of another one that no road edge joins it to."""
+    net = prepare(edges)
+    anchors = net.nodes.join(N.degrees(net.edges).where("degree = 1").select("node"), "node", "left_semi").join(_long(net), "component", "left_semi")
+    anchors = anchors if cap is None else cap_anchors(anchors, net.stats, cap)
+    return _first(_without_roads(_close(net.nodes, anchors, T.dangling_radius), roads), ["node"], "r_node")
+
+
+def mutual_once(pairs: DataFrame) -> DataFrame:
+    """Of two dead ends that found each other, the pair of the smaller one."""
+    turned = pairs.select(F.col("r_node").alias("node"), F.col("node").alias("r_node"))
+    return pairs.join(turned.where("r_node < node"), ["node", "r_node"], "left_anti")
+
+
+def near_miss(edges: DataFrame | Network, least: float = T.near_miss_min) -> DataFrame:
+    """The closest pair of every two components 30 to 300 m apart."""
+    nodes = prepare(edges).nodes
+    pairs = grid_join(nodes, _right(nodes), T.near_miss_max, exact=False).where((F.col("dist") >= least) & (F.col("component") < F.col("r_component")))
+    best = pairs.groupBy(F.col("component").alias("c1"), F.col("r_component").alias("c2")).agg(F.min(F.struct("dist", "node", "r_node", "facility", "r_facility")).alias("m"))
     return best.select("c1", "c2", "m.*")
 
 
-def island_pairs(edges: DataFrame) -> DataFrame:
-    """Each other component of 250 m or more and its closest pair with the largest one."""
-    edges = checkpoint(edges)  # read by every step below
-    comp = N.components(edges)
-    nodes, stats = labelled_nodes(edges, comp), N.component_stats(edges, comp)
-    main = nodes.join(stats.where("rank = 0").select("component"), "component", "left_semi")
-    islands = nodes.join(stats.where((F.col("rank") > 0) & (F.col("length_m") >= T.island_min_length)).select("component", "size"), "component")
-    best = _first(grid_join(islands, _right(main), T.gap_max, exact=False), ["component"], "node", "r_node")
+def closest_to_main(net: Network, islands: DataFrame) -> DataFrame:
+    """The closest pair of each of the components (component, size) with the largest one.
+
+    Looked for in neighbouring cells of 600 m first, whatever the distance; for islands with nothing there, as far as any
+    island's limit reaches (3000 m).
+    """
+    main = _right(net.nodes.join(net.stats.where("main").select("component"), "component", "left_semi"))
+    nodes = net.nodes.join(islands, "component")
+    close = checkpoint(_first(grid_join(nodes, main, T.gap_max, exact=False, cut=False), ["component"], "node", "r_node"))
+    far = _first(grid_join(nodes.join(close.select("component"), "component", "left_anti"), main, 3000), ["component"], "node", "r_node")
+    return close.unionByName(far)
+
+
+def island_pairs(edges: DataFrame | Network) -> DataFrame:
+    """Each other component of 250 m or more and its closest pair with the largest one, within 3000, 1500 or 900 m by its size."""
+    net = prepare(edges)
+    best = closest_to_main(net, net.stats.where((~F.col("main")) & (F.col("length_m") >= T.island_min_length)).select("component", "size"))
     limit = F.when(F.col("size") >= 10, 3000).when(F.col("size") >= 5, 1500).otherwise(900)
     return best.where((F.col("dist") <= limit) & (F.col("facility") != "unknown") & (F.col("r_facility") != "unknown"))
 
 
-def connector_pairs(edges: DataFrame, roads: DataFrame | None = None) -> DataFrame:
-    """Facility termini and the nearest qualifying node of another component, by class."""
-    edges = checkpoint(edges)  # read by every step below
-    comp = N.components(edges)
-    nodes = labelled_nodes(edges, comp)
-    long = N.component_stats(edges, comp).where(F.col("length_m") >= T.component_min_length).select("component")
-    anchors = nodes.join(N.facility_termini(edges).select("node"), "node", "left_semi").join(long, "component", "left_semi")
-    best = _first(_without_roads(_close(nodes, anchors, T.connector_max), roads), ["node"], "r_node")
+def by_anchor(islands: DataFrame) -> DataFrame:
+    """One gap for each node of the largest component: the shortest, with the sizes of all its islands added."""
+    total = F.sum("size").over(Window.partitionBy("r_node"))
+    rn = F.row_number().over(Window.partitionBy("r_node").orderBy("dist", "component"))
+    return islands.withColumn("total", total).withColumn("rn", rn).where("rn = 1").drop("rn", "size").withColumnRenamed("total", "size")
+
+
+def connector_pairs(edges: DataFrame | Network, roads: DataFrame | None = None) -> DataFrame:
+    """Facility termini and the nearest qualifying node of another component that no road edge joins them to, by class."""
+    net = prepare(edges)
+    anchors = net.nodes.join(N.facility_termini(net.edges).select("node"), "node", "left_semi").join(_long(net), "component", "left_semi")
+    best = _first(_without_roads(_close(net.nodes, anchors, T.connector_max), roads), ["node"], "r_node")
     return best.withColumn("connector_class", F.when(F.col("dist") <= T.connector_quick, "quick_win").otherwise("network_link"))
+
+
+def pairs_as_gaps(pairs: DataFrame, kind: str, src: int) -> DataFrame:
+    """Node pairs (node, r_node, facility, r_facility and what a detector adds) in the columns that all gaps have."""
+    extra = lambda c, k: (F.col(c) if c in pairs.columns else F.lit(None)).cast(k).alias(c if c != "size" else "component_size")
+    (la, lo), (lb, lb2) = N._coords(F.col("node")), N._coords(F.col("r_node"))
+    return pairs.select(
+        F.xxhash64(F.lit(src), "node", "r_node").alias("ord"), F.lit(kind).alias("gap_type"), F.lit(src).alias("src_ord"),
+        la.alias("start_lat"), lo.alias("start_lon"), lb.alias("end_lat"), lb2.alias("end_lon"), F.col("facility").alias("start_facility"), F.col("r_facility").alias("end_facility"),
+        extra("size", "long"), extra("detour_factor", "double"), extra("connector_class", "string"), extra("straight_line_m", "double"), extra("crosses_barrier", "boolean"),
+    )
+
+
+def corridor_ends(holes: DataFrame, net: Network) -> DataFrame:
+    """Corridor holes (a, b, length_m) both of whose ends have a node of a qualifying facility within 35 m, as pairs with those facilities."""
+    out = holes.withColumnRenamed("a", "node").withColumnRenamed("b", "r_node").withColumnRenamed("length_m", "straight_line_m").withColumn("crosses_barrier", F.lit(False))
+    right = net.nodes.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("node").alias("near"), F.col("facility").alias("f"))
+    for end, name in (("node", "facility"), ("r_node", "r_facility")):
+        lat, lon = N._coords(F.col(end))
+        points = out.select(end).distinct().select(end, lat.alias("lat"), lon.alias("lon"))
+        best = nearest(points, right, end, T.corridor_near_cycling, ["near"]).select(end, F.col("f").alias(name))
+        out = out.join(best.where(F.col(name).isin(*ENDPOINT_PRIORITY)), end)
+    return out
+
+
+def detour_ends(detours: DataFrame, net: Network) -> DataFrame:
+    """Detours (source, target, straight_m, detour_factor) between nodes of known facilities, as pairs."""
+    f = lambda end, name: net.nodes.where("facility <> 'unknown'").select(F.col("node").alias(end), F.col("facility").alias(name))
+    return detours.join(f("source", "facility"), "source").join(f("target", "r_facility"), "target").withColumnRenamed("source", "node").withColumnRenamed("target", "r_node").withColumnRenamed("straight_m", "dist")

@@ -2,36 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowstress.functions import geo
 from lowstress.lookups import Thresholds
 from lowstress.operators import network as N
-from lowstress.operators.detect import _right, labelled_nodes
+from lowstress.operators.detect import Network, _right, closest_to_main, prepare
 from lowstress.operators.spatial import grid_join
 
 T = Thresholds()
 
 
-def nodes_in(edges: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+Box = tuple[float, float, float, float]
+
+
+def nodes_in(edges: DataFrame | Network, box: Box) -> DataFrame:
     """(node, lat, lon, degree, component, facility, facilities) inside the box."""
-    kinds = edges.select(F.explode(F.array("a", "b")).alias("node"), "facility").groupBy("node").agg(F.count("*").alias("degree"), F.array_sort(F.collect_set("facility")).alias("facilities"))
-    return labelled_nodes(edges).where(geo.in_bbox(F.col("lat"), F.col("lon"), *box)).join(kinds, "node")
+    net = prepare(edges)
+    kinds = net.edges.select(F.explode(F.array("a", "b")).alias("node"), "facility").groupBy("node").agg(F.count("*").alias("degree"), F.array_sort(F.collect_set("facility")).alias("facilities"))
+    return net.nodes.where(geo.in_bbox(F.col("lat"), F.col("lon"), *box)).join(kinds, "node")
+
+
+def nodes_near(edges: DataFrame | Network, box: Box, k: int = 10) -> DataFrame:
+    """The nodes inside the box with dist null; if there are none, the ``k`` nearest to its middle."""
+    net = prepare(edges)
+    inside = nodes_in(net, box).select("node", "lat", "lon", "component", "facility", F.lit(None).cast("double").alias("dist"))
+    if not inside.isEmpty():
+        return inside
+    middle = F.lit((box[0] + box[2]) / 2), F.lit((box[1] + box[3]) / 2)
+    away = net.nodes.withColumn("dist", geo.haversine(F.col("lat"), F.col("lon"), *middle))
+    return away.orderBy("dist", "node").limit(k).select("node", "lat", "lon", "component", "facility", "dist")
+
+
+def build_counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """(step, nodes, edges) of the networks of each step of the build, in order."""
+    out = None
+    for i, (name, e) in enumerate(parts.items()):
+        one = e.select(F.explode(F.array("a", "b")).alias("n")).agg(F.count_distinct("n").alias("nodes"), (F.count("*") / 2).cast("long").alias("edges"))
+        one = one.select(F.lit(i).alias("step_no"), F.lit(name).alias("step"), "nodes", "edges")
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy("step_no")
+
+
+def island_trace(edges: DataFrame | Network, box: Box) -> DataFrame:
+    """(component, size, length_m, dist, reason) of the components that touch the box: why each is, or is not, an island gap."""
+    net = prepare(edges)
+    touched = nodes_in(net, box).select("component").distinct()
+    stats = net.stats.join(touched, "component", "left_semi")
+    best = closest_to_main(net, stats.where("not main").select("component", "size")).select("component", "dist", "facility", "r_facility")
+    limit = F.when(F.col("size") >= 10, 3000).when(F.col("size") >= 5, 1500).otherwise(900)
+    reason = (
+        F.when(F.col("main"), "largest component").when(F.col("length_m") < T.island_min_length, "too short").when(F.col("dist").isNull(), "nothing within 3000 m")
+        .when(F.col("dist") > limit, "too far").when((F.col("facility") == "unknown") | (F.col("r_facility") == "unknown"), "facility unknown").otherwise("candidate")
+    )
+    return stats.join(best, "component", "left").select("component", "size", "length_m", "dist", reason.alias("reason"))
+
+
+def near_miss_trace(edges: DataFrame | Network, box: Box, least: float = 20, most: int | None = None) -> DataFrame:
+    """(node, r_node, component, r_component, facility, r_facility, dist, status) of node pairs ``least`` to 300 m apart, one of which is inside the box.
+
+    Nearest first; ``most`` keeps that many for a report.
+    """
+    net = prepare(edges)
+    inside = net.nodes.where(geo.in_bbox(F.col("lat"), F.col("lon"), *box) & (F.col("facility") != "unknown"))
+    pairs = grid_join(inside, _right(net.nodes), T.near_miss_max).where((F.col("dist") >= least) & (F.col("component") != F.col("r_component")))
+    seen = F.row_number().over(Window.partitionBy(F.least("node", "r_node"), F.greatest("node", "r_node")).orderBy("node"))
+    pairs = pairs.withColumn("seen", seen).where("seen = 1")
+    status = F.when((F.col("facility") != "unknown") & (F.col("r_facility") != "unknown"), "would create a gap").otherwise("filtered by facility")
+    out = pairs.select("node", "r_node", "component", "r_component", "facility", "r_facility", "dist", status.alias("status"))
+    return out if most is None else out.orderBy("dist", "node", "r_node").limit(most)
 
 
-def island_trace(edges: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """(component, size, length_m, rank, reason) of the components that touch the box."""
-    comp = N.components(edges)
-    touched = nodes_in(edges, box).select("component").distinct()
-    stats = N.component_stats(edges, comp).join(touched, "component", "left_semi")
-    return stats.withColumn("reason", F.when(F.col("rank") == 0, "largest component").when(F.col("length_m") < T.island_min_length, "too short").otherwise("candidate"))
+def summary(edges: DataFrame | Network, box: Box) -> DataFrame:
+    """One row: nodes, edges, components, main_nodes, short_islands, dangling_in_box, near_miss_in_box."""
+    net = prepare(edges)
+    c = net.stats.agg(
+        F.sum("size").alias("nodes"), F.count("*").alias("components"), F.max(F.when(F.col("main"), F.col("size"))).alias("main_nodes"),
+        F.count_if(~F.col("main") & (F.col("length_m") < T.island_min_length)).alias("short_islands"),
+    )
+    ends = N.degrees(net.edges).where("degree = 1").join(net.nodes, "node").where(geo.in_bbox(F.col("lat"), F.col("lon"), *box)).agg(F.count("*").alias("dangling_in_box"))
+    near = near_miss_trace(net, box).agg(F.count("*").alias("near_miss_in_box"))
+    return c.crossJoin(net.edges.agg(F.count("*").alias("edges"))).crossJoin(ends).crossJoin(near)  # one row each
 
 
 def dangling_trace(edges: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """(node, checked, same_component, not_qualifying, candidates) of the dead ends inside the box."""
-    nodes = labelled_nodes(edges)
-    ends = nodes.join(N.degrees(edges).where("degree = 1").select("node"), "node", "left_semi").where(geo.in_bbox(F.col("lat"), F.col("lon"), *box))
+    net = prepare(edges)
+    nodes = net.nodes
+    ends = nodes.join(N.degrees(net.edges).where("degree = 1").select("node"), "node", "left_semi").where(geo.in_bbox(F.col("lat"), F.col("lon"), *box))
     near = grid_join(ends, _right(nodes), T.dangling_radius, exact=False).where("node <> r_node")
     same, bad = F.col("component") == F.col("r_component"), F.col("r_facility") == "unknown"
     return near.groupBy("node").agg(

@@ -131,3 +131,9 @@ def facility_termini(edges: DataFrame) -> DataFrame:
         F.count("*").alias("degree"), F.count_if(ok).alias("qualifying"), F.count_distinct(F.when(ok, F.col("facility"))).alias("kinds")
     )
     return agg.where("qualifying > 0 and (degree = 1 or (qualifying = 1 and degree >= 2) or kinds >= 2)")
+
+
+def component_bounds(edges: DataFrame, comp: DataFrame) -> DataFrame:
+    """(component, south, west, north, east, lat, lon): the box of each component's nodes and their mean."""
+    both = nodes(edges).join(comp, "node").groupBy("component")
+    return both.agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lowstress import lookups as L
 from lowstress.functions import geo, tags
 from lowstress.lookups import Thresholds
-from lowstress.operators.spatial import grid_join
+from lowstress.operators.ranking import ranked
+from lowstress.operators.spatial import grid_join, grid_join_limit
 from lowstress.storage import checkpoint
 
 T = Thresholds()
@@ -39,7 +40,11 @@ def roundabout_hits(gaps: DataFrame, circles: DataFrame) -> DataFrame:
     reach = T.roundabout_max_gap / 2 + T.roundabout_margin + 500
     wide = circles.where(F.col("radius") > 500).select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "radius")
     near = grid_join(g, c, reach).where(hit).select("gap_id")
-    return near.unionByName(g.join(wide, hit).select("gap_id")).distinct()
+    if wide.isEmpty():
+        return near.distinct()
+    # a circle of over 500 m is no roundabout that anyone built; those that data hold anyway meet gaps by classes of radius
+    far = grid_join_limit(wide.withColumnRenamed("r_lat", "lat").withColumnRenamed("r_lon", "lon"), g.withColumnRenamed("lat", "r_lat").withColumnRenamed("lon", "r_lon"), F.col("radius") + reach, (2_000, 20_000, 200_000))
+    return near.unionByName(far.withColumnRenamed("lat", "c_lat").withColumnRenamed("lon", "c_lon").withColumnRenamed("r_lat", "m_lat").withColumnRenamed("r_lon", "m_lon").withColumnRenamed("c_lat", "r_lat").withColumnRenamed("c_lon", "r_lon").where(hit).select("gap_id")).distinct()
 
 
 def plan_match(gaps: DataFrame, plan: DataFrame) -> DataFrame:
@@ -52,32 +57,35 @@ def plan_match(gaps: DataFrame, plan: DataFrame) -> DataFrame:
 
 def dedup_order(gaps: DataFrame) -> DataFrame:
     """Greedy order: type priority, detour factor and length, all descending; then ``ord``."""
-    w = Window.orderBy(F.desc(tags.lookup(F.col("gap_type"), L.GAP_PRIORITY, 0)), F.desc(F.coalesce("detour_factor", F.lit(0.0))), F.desc("len_m"), F.asc("ord"))
-    return gaps.withColumn("prio", F.row_number().over(w))
+    return ranked(gaps, "prio", F.desc(tags.lookup(F.col("gap_type"), L.GAP_PRIORITY, 0)), F.desc(F.coalesce("detour_factor", F.lit(0.0))), F.desc("len_m"), F.asc("ord"))
 
 
-def conflicts(gaps: DataFrame, separation: float) -> DataFrame:
-    """(hi, lo): gaps (with prio) whose midpoints are closer than ``separation`` or that have ends within 150 m."""
-    mids = with_midpoint(gaps).select("prio", "lat", "lon")
-    ends = gaps.select("prio", F.explode(F.array(*[F.struct(F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")) for e in ("start", "end")])).alias("p")).select("prio", "p.*")
+def conflicts(gaps: DataFrame, separation: Column | float, within: str | None = None) -> DataFrame:
+    """(hi, lo): gaps (with prio) whose midpoints are closer than ``separation`` or that have ends within 150 m; only of one ``within``, if given."""
+    group = F.col(within) if within else F.lit(0)
+    own = F.lit(float(separation)) if isinstance(separation, (int, float)) else separation
+    gaps = gaps.withColumn("_g", group).withColumn("_s", own)
+    widest = float(separation) if isinstance(separation, (int, float)) else float(T.dedup)
+    mids = with_midpoint(gaps).select("prio", "_g", "_s", "lat", "lon")
+    ends = gaps.select("prio", "_g", F.lit(float(T.endpoint_dedup)).alias("_s"), F.explode(F.array(*[F.struct(F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")) for e in ("start", "end")])).alias("p")).select("prio", "_g", "_s", "p.*")
     out = None
-    for points, radius in ((mids, separation), (ends, T.endpoint_dedup)):
-        right = points.select(F.col("prio").alias("lo"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-        pairs = grid_join(points.withColumnRenamed("prio", "hi"), right, radius).where((F.col("dist") < radius) & (F.col("hi") < F.col("lo"))).select("hi", "lo")
+    for points, radius in ((mids, widest), (ends, T.endpoint_dedup)):
+        right = points.select(F.col("prio").alias("lo"), F.col("_g").alias("_h"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+        pairs = grid_join(points.withColumnRenamed("prio", "hi"), right, radius).where((F.col("dist") < F.col("_s")) & (F.col("hi") < F.col("lo")) & (F.col("_g") == F.col("_h"))).select("hi", "lo")
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct()
 
 
-def greedy_dedup(gaps: DataFrame, separation: float = T.dedup) -> DataFrame:
-    """What a greedy pass in priority order keeps, found in rounds.
+def greedy_dedup(gaps: DataFrame, separation: Column | float = T.dedup, within: str | None = None) -> DataFrame:
+    """What a greedy pass in priority order keeps (one pass for each value of ``within``, if given), found in rounds.
 
     A gap without undecided better neighbours stays; its neighbours go; repeat. That is the sequential
     result, whatever the number of partitions. Gaps without coordinates are left out.
     """
     g = checkpoint(dedup_order(gaps.where("start_lat is not null and end_lat is not null").withColumn("len_m", gap_length())))
-    pairs = checkpoint(conflicts(g, separation))
+    pairs = checkpoint(conflicts(g, separation, within))
     open_, kept = g.select("prio"), None
-    for _ in range(1000):
+    while True:  # each round decides one gap at least
         better = pairs.select(F.col("lo").alias("prio")).distinct()
         stay = checkpoint(open_.join(better, "prio", "left_anti"))
         kept = stay if kept is None else kept.unionByName(stay)
@@ -90,4 +98,27 @@ def greedy_dedup(gaps: DataFrame, separation: float = T.dedup) -> DataFrame:
 
 
 def number_gaps(gaps: DataFrame) -> DataFrame:
-    return gaps.withColumn("gap_id", F.format_string("GAP-%03d", F.row_number().over(Window.orderBy("prio"))))
+    return ranked(gaps, "_n", F.asc("prio")).withColumn("gap_id", F.format_string("GAP-%03d", F.col("_n"))).drop("_n")
+
+
+def cross_method_dedup(gaps: DataFrame, buffer: float = T.dedup) -> DataFrame:
+    """The greedy pass over the gaps of all detectors together."""
+    return greedy_dedup(gaps, buffer)
+
+
+def without_covered(gaps: DataFrame, existing: DataFrame, radius: float = T.near_miss_existing) -> DataFrame:
+    """Gaps whose midpoint is not closer than ``radius`` to the midpoint of an existing gap."""
+    mids = with_midpoint(existing).select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    hit = grid_join(with_midpoint(gaps).select("ord", "lat", "lon"), mids, radius).where(F.col("dist") < radius).select("ord").distinct()
+    return gaps.join(hit, "ord", "left_anti")
+
+
+def same_road_duplicates(labelled: DataFrame, lateral: float = 25.0) -> DataFrame:
+    """Gaps without those whose ends lie on one named street less than ``lateral`` metres apart; without coordinates they stay."""
+    same = (F.col("from_street") != "") & (F.col("from_street") == F.col("to_street")) & (gap_length() < lateral)
+    return labelled.where(~F.coalesce(same, F.lit(False)))
+
+
+def is_micro_gap(length: Column) -> Column:
+    """Opposite sides of one road: nothing longer than 20 m is suppressed, whatever the names."""
+    return length <= T.micro_gap

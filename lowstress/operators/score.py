@@ -96,8 +96,11 @@ def destinations(gaps: DataFrame, places: DataFrame) -> DataFrame:
     return gaps.select("gap_id").join(total, "gap_id", "left").select("gap_id", F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0)) / 5.0).alias("dest_score"))
 
 
-def nearest_point(gaps: DataFrame, points: DataFrame, value: str, radii: tuple[float, ...] = (3_000, 30_000, 300_000)) -> DataFrame:
-    """(gap_id, value, dist) of the nearest point, however far: rings of growing radius, each only for what is left."""
+def nearest_point(gaps: DataFrame, points: DataFrame, value: str, radii: tuple[float, ...] = (3_000, 30_000, 300_000, 3_000_000, 21_000_000)) -> DataFrame:
+    """(gap_id, value, dist) of the nearest point, however far: rings of growing radius, each only for what is left.
+
+    The last ring spans the globe; it and the one before serve gaps without a point in 300 km, a handful in any real data.
+    """
     left, found = with_midpoint(gaps).select("gap_id", "lat", "lon"), None
     p = points.select(F.col(value).alias("v"), F.col("ord").alias("o"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     for radius in radii:
@@ -110,7 +113,7 @@ def nearest_point(gaps: DataFrame, points: DataFrame, value: str, radii: tuple[f
 def equity(gaps: DataFrame, areas: DataFrame) -> DataFrame:
     """(gap_id, equity_score): from the income quintile of the nearest area; 0.5 without areas."""
     near = nearest_point(gaps, areas.withColumnRenamed("da_id", "ord"), "quintile")
-    return gaps.select("gap_id").join(near, "gap_id", "left").select("gap_id", F.coalesce(F.greatest(F.lit(0.1), (6 - F.col("quintile")) / 5.0), F.lit(0.5)).alias("equity_score"))
+    return gaps.select("gap_id").join(near, "gap_id", "left").select("gap_id", F.when(F.col("quintile").isNull(), 0.5).otherwise(F.greatest(F.lit(0.1), (6 - F.col("quintile")) / 5.0)).alias("equity_score"))
 
 
 def spine_proximity(gaps: DataFrame, spines: DataFrame) -> DataFrame:

@@ -17,12 +17,15 @@ T = Thresholds()
 
 
 def sample_nodes(nodes: DataFrame, wanted: int = T.detour_sample, cell_m: float = 1000.0) -> DataFrame:
-    """A sample spread over the area: about ``wanted`` nodes, at least one of every cell, by a hash of the node."""
+    """A sample spread over the area, by a hash of the node: the same number from every cell (one at least), then others up to ``wanted``."""
     size = cell_m / geo.DEGREE_M
-    cells = nodes.withColumn("r", geo.cell(F.col("lat"), size)).withColumn("c", geo.cell(F.col("lon"), size))
+    cells = nodes.withColumn("r", geo.cell(F.col("lat"), size)).withColumn("c", geo.cell(F.col("lon"), size)).withColumn("h", F.md5(F.col("node").cast("string")))
     n = cells.select("r", "c").distinct().agg(F.greatest(F.lit(1), F.floor(F.lit(wanted) / F.count("*"))).alias("each"))
-    rn = F.row_number().over(Window.partitionBy("r", "c").orderBy(F.md5(F.col("node").cast("string")), "node"))
-    return cells.withColumn("rn", rn).join(F.broadcast(n)).where(F.col("rn") <= F.col("each")).select("node", "lat", "lon")  # one number
+    rn = F.row_number().over(Window.partitionBy("r", "c").orderBy("h", "node"))
+    dealt = checkpoint(cells.withColumn("rn", rn).join(F.broadcast(n)).select("node", "lat", "lon", "h", (F.col("rn") <= F.col("each")).alias("taken")))  # one number
+    missing = wanted - dealt.where("taken").count()
+    spare = dealt.where("not taken").orderBy("h", "node").limit(max(0, missing))
+    return dealt.where("taken").unionByName(spare).select("node", "lat", "lon")
 
 
 def detour_gaps(edges: DataFrame) -> DataFrame:

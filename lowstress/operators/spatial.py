@@ -12,36 +12,55 @@ from pyspark.sql import functions as F
 
 from lowstress.functions.geo import DEGREE_M, cell, haversine
 
-#: Latitude up to which the cells of exact joins are wide enough.
-MAX_LATITUDE = 70.0
+def _height(radius: float, exact: bool) -> float:
+    """Degrees of latitude of a cell."""
+    return radius / DEGREE_M * (1.01 if exact else 1)
 
 
-def _sizes(radius: float, exact: bool) -> tuple[float, float]:
-    import math
+def _width(row: Column, height: float, exact: bool) -> Column:
+    """Degrees of longitude of the cells of a row: exact joins widen them with the latitude, up to one cell around a pole."""
+    if not exact:
+        return F.lit(height)
+    shrink = F.cos(F.radians(F.least(F.lit(90.0), (F.abs(row) + 2) * height)))
+    return F.when(shrink < 0.001, F.lit(1000.0)).otherwise(F.lit(height) / F.greatest(shrink, F.lit(0.001)))
 
-    lat = radius / DEGREE_M * (1.01 if exact else 1)
-    return lat, lat / math.cos(math.radians(MAX_LATITUDE)) if exact else lat
 
+def _around(lat: Column, lon: Column, height: float, exact: bool) -> Column:
+    rows = [cell(lat, height) + i for i in (-1, 0, 1)]
+    return F.array(*[F.struct(r.alias("r"), (cell(lon, _width(r, height, exact)) + j).alias("c")) for r in rows for j in (-1, 0, 1)])
 
-def _around(lat: Column, lon: Column, sizes: tuple[float, float]) -> Column:
-    r, c = cell(lat, sizes[0]), cell(lon, sizes[1])
-    return F.array(*[F.struct((r + i).alias("r"), (c + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
-
-def grid_join(left: DataFrame, right: DataFrame, radius: float, exact: bool = True, how: str = "inner", least: float | None = None) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, radius: float, exact: bool = True, how: str = "inner", least: float | None = None, cut: bool = True) -> DataFrame:
     """Pairs of rows (lat, lon on the left; r_lat, r_lon on the right) within ``radius``, with ``dist``.
 
-    ``exact``: cells only prune. Otherwise cells are squares in degrees and being in neighbouring cells
-    is part of the condition (pairs further apart east to west than one cell are left out).
+    ``exact``: cells only prune (at any latitude; a pair across the antimeridian is not seen). Otherwise cells are squares in
+    degrees and being in neighbouring cells is part of the condition (pairs further apart east to west than one cell are
+    left out); without ``cut`` it is the whole condition, whatever the distance.
     """
-    sizes = _sizes(radius, exact)
-    l_cells = left.withColumn("_k", F.explode(_around(F.col("lat"), F.col("lon"), sizes))).select("*", "_k.r", "_k.c").drop("_k")
-    r_cells = right.withColumn("r", cell(F.col("r_lat"), sizes[0])).withColumn("c", cell(F.col("r_lon"), sizes[1]))
+    height = _height(radius, exact)
+    l_cells = left.withColumn("_k", F.explode(_around(F.col("lat"), F.col("lon"), height, exact))).select("*", "_k.r", "_k.c").drop("_k")
+    r_row = cell(F.col("r_lat"), height)
+    r_cells = right.withColumn("r", r_row).withColumn("c", cell(F.col("r_lon"), _width(r_row, height, exact)))
     pairs = l_cells.join(r_cells, ["r", "c"]).drop("r", "c").withColumn("dist", haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
-    pairs = pairs.where(F.col("dist") <= radius)
+    pairs = pairs.where(F.col("dist") <= radius) if cut else pairs
     return pairs if least is None else pairs.where(F.col("dist") > least)
 
 
+def grid_join_limit(left: DataFrame, right: DataFrame, limit: Column, classes: tuple[float, ...] = (100, 400, 1600)) -> DataFrame:
+    """Pairs within a distance that each left row sets itself: one exact join for each class of limits, so that few long ones do not widen the cells of all.
+
+    Limits beyond the largest class are an error where they occur.
+    """
+    out, low = None, 0.0
+    left = left.withColumn("_limit", limit)
+    for high in classes:
+        bound = F.when(F.col("_limit") > classes[-1], F.raise_error(F.lit("a limit is beyond the classes"))).otherwise(F.col("_limit"))
+        part = left.where((bound > low) & (F.col("_limit") <= high)) if low else left.where(bound <= high)
+        pairs = grid_join(part, right, high).where(F.col("dist") <= F.col("_limit"))
+        out, low = pairs if out is None else out.unionByName(pairs), high
+    return out.drop("_limit")
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, radius: float, order: list[str], exact: bool = True, k: int = 1, least: float | None = None, where: Column | None = None) -> DataFrame:
     """The k nearest right rows of each left row within ``radius``; ties by ``order``. Adds ``dist`` and ``rn``."""
     pairs = grid_join(left, right, radius, exact, least=least)

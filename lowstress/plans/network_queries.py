@@ -267,20 +267,21 @@ def _pairs_sql(radius: float, least: str, cond: str) -> str:
       on q.r = p.r + p.dr and abs(p.c - q.c) <= 1 and {cond} where {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')} between {least} and {radius})"""
 
 
-def _with(body: str) -> str:
-    text = sql("@@", "cc", "ends", "nodes")
+def _with(body: str, *more: str) -> str:
+    text = sql("@@", "cc", "ends", "nodes", *more)
     return text.replace("\n@@", f",\nef as {_EF},\ncn as {_CN},\nstats as {_STATS}\n{body}")
 
 
 @query(
     "dangling_gaps_raw",
     _with(f"""select node, r_node, facility, r_facility, round(dist, 3) as dist from (select *, row_number() over (partition by node order by dist, r_node) as rn from {_pairs_sql(400, '30.0000001', 'p.component <> q.component')}
-      where r_facility <> 'unknown' and node in (select node from ends group by node having count(*) = 1) and component in (select component from stats where length_m >= 50)) where rn = 1"""),
+      where r_facility <> 'unknown' and node in (select node from ends group by node having count(*) = 1) and component in (select component from stats where length_m >= 50)
+      and not exists (select 1 from roads where roads.a = least(node, r_node) and roads.b = greatest(node, r_node))) where rn = 1""", "roads"),
 )
 def dangling_gaps_raw(spark, d):
     from lowstress.operators.detect import dangling_pairs
 
-    return dangling_pairs(net(spark, d)).select("node", "r_node", "facility", "r_facility", r(F.col("dist")).alias("dist"))
+    return dangling_pairs(net(spark, d), roads(spark, d)).select("node", "r_node", "facility", "r_facility", r(F.col("dist")).alias("dist"))
 
 
 @query(
@@ -294,30 +295,121 @@ def near_miss_pairs(spark, d):
     return near_miss(net(spark, d)).select("c1", "c2", "node", "r_node", r(F.col("dist")).alias("dist"))
 
 
-@query(
-    "island_gaps",
-    _with(f"""select * from (select component, size, node, r_node, round(dist, 3) as dist from (
-      select component, s.size, node, r_node, dist, facility, r_facility, row_number() over (partition by component order by dist, node, r_node) as rn from {_pairs_sql(600, '0', 'p.component <> q.component')} x join stats s using (component)
-      join stats m on m.component = x.r_component and m.rank = 0 where s.rank > 0 and s.length_m >= 250)
-      where rn = 1 and dist <= case when size >= 10 then 3000 when size >= 5 then 1500 else 900 end and facility <> 'unknown' and r_facility <> 'unknown')"""),
-)
+_ISLANDS = f"""isl as (select n.*, s.size from cn n join stats s using (component) where s.rank > 0 and s.length_m >= 250),
+mainn as (select n.node, n.lat, n.lon, n.facility from cn n join stats s using (component) where s.rank = 0),
+ipairs as (select i.component, i.size, i.node, m.node as r_node, i.facility, m.facility as r_facility, {hav('i.lat', 'i.lon', 'm.lat', 'm.lon')} as dist,
+  abs({cell('i.lat', 600 / 111000)} - {cell('m.lat', 600 / 111000)}) <= 1 and abs({cell('i.lon', 600 / 111000)} - {cell('m.lon', 600 / 111000)}) <= 1 as close
+  from isl i join mainn m on m.lat between i.lat - 0.04 and i.lat + 0.04),
+ibest as (select *, row_number() over (partition by component order by close desc, dist, node, r_node) as rn from ipairs where close or dist <= 3000),
+islands as (select component, size, node, r_node, dist from ibest where rn = 1 and dist <= case when size >= 10 then 3000 when size >= 5 then 1500 else 900 end and facility <> 'unknown' and r_facility <> 'unknown')"""
+
+
+def _islands(body: str) -> str:
+    return _with("@body").replace("\n@body", f",\n{_ISLANDS}\n{body}")
+
+
+@query("island_gaps", _islands("select component, size, node, r_node, round(dist, 3) as dist from islands"))
 def island_gaps(spark, d):
     from lowstress.operators.detect import island_pairs
 
     return island_pairs(net(spark, d)).select("component", "size", "node", "r_node", r(F.col("dist")).alias("dist"))
 
 
+@query("islands_by_anchor", _islands("select r_node, arg_min(component, (dist, component)) as component, cast(sum(size) as bigint) as size, round(min(dist), 3) as dist from islands group by r_node"))
+def islands_by_anchor(spark, d):
+    from lowstress.operators.detect import by_anchor, island_pairs
+
+    return by_anchor(island_pairs(net(spark, d))).select("r_node", "component", F.col("size").cast("long").alias("size"), r(F.col("dist")).alias("dist"))
+
+
 @query(
     "connector_gaps",
     _with(f"""select node, r_node, round(dist, 3) as dist, case when dist <= 150 then 'quick_win' else 'network_link' end as connector_class from (select *, row_number() over (partition by node order by dist, r_node) as rn
       from {_pairs_sql(500, '30.0000001', 'p.component <> q.component')} where r_facility <> 'unknown' and component in (select component from stats where length_m >= 50)
       and node in (select node from (select node, count(*) as degree, count_if(q) as qualifying, count(distinct case when q then facility end) as kinds
-        from (select *, facility in ('protected_track', 'shared_path', 'cycle_lane') as q from ends) group by node) where qualifying > 0 and (degree = 1 or (qualifying = 1 and degree >= 2) or kinds >= 2))) where rn = 1"""),
+        from (select *, facility in ('protected_track', 'shared_path', 'cycle_lane') as q from ends) group by node) where qualifying > 0 and (degree = 1 or (qualifying = 1 and degree >= 2) or kinds >= 2))
+      and not exists (select 1 from roads where roads.a = least(node, r_node) and roads.b = greatest(node, r_node))) where rn = 1""", "roads"),
 )
 def connector_gaps(spark, d):
     from lowstress.operators.detect import connector_pairs
 
-    return connector_pairs(net(spark, d)).select("node", "r_node", r(F.col("dist")).alias("dist"), "connector_class")
+    return connector_pairs(net(spark, d), roads(spark, d)).select("node", "r_node", r(F.col("dist")).alias("dist"), "connector_class")
+
+
+@query(
+    "dangling_capped",
+    _with("""select node, component from (select node, component, row_number() over (order by size desc, component, node) as rn from cn join stats using (component) where node in (select node from ends group by node having count(*) = 1)) where rn <= 500"""),
+)
+def dangling_capped(spark, d):
+    """The 500 dead ends of the largest components: the cap is the feature."""
+    from lowstress.operators.detect import cap_anchors, prepare
+
+    p = prepare(net(spark, d))
+    ends = p.nodes.join(N.degrees(p.edges).where("degree = 1").select("node"), "node", "left_semi")
+    return cap_anchors(ends, p.stats).select("node", "component")
+
+
+@query("mutual_dangling", _with(f"""select x.node, x.r_node, round(x.dist, 3) as dist from d500 x where not exists (select 1 from d500 y where y.node = x.r_node and y.r_node = x.node and y.node < x.node)""").replace("\nselect x.node", f""",
+d500 as (select node, r_node, dist from (select *, row_number() over (partition by node order by dist, r_node) as rn from {_pairs_sql(400, '30.0000001', 'p.component <> q.component')}
+  where r_facility <> 'unknown' and node in (select node from ends group by node having count(*) = 1) and component in (select component from stats where length_m >= 50)) where rn = 1)\nselect x.node"""))
+def mutual_dangling(spark, d):
+    from lowstress.operators.detect import dangling_pairs, mutual_once
+
+    return mutual_once(dangling_pairs(net(spark, d))).select("node", "r_node", r(F.col("dist")).alias("dist"))
+
+
+@query("component_bounds", _with("select component, round(min(lat), 6) as south, round(min(lon), 6) as west, round(max(lat), 6) as north, round(max(lon), 6) as east, round(avg(lat), 10) as lat, round(avg(lon), 10) as lon from cn group by component"))
+def component_bounds(spark, d):
+    e = net(spark, d)
+    out = N.component_bounds(e, N.components(e))
+    return out.select("component", *[r(F.col(c), 6).alias(c) for c in ("south", "west", "north", "east")], r(F.col("lat"), 10).alias("lat"), r(F.col("lon"), 10).alias("lon"))
+
+
+@query(
+    "incident_facility",
+    sql("""select node, case max(case facility when 'protected_track' then 31 when 'shared_path' then 30 when 'cycle_lane' then 20 when 'shared_roadway' then 10 when 'signed_route' then 10 else 0 end)
+      when 31 then 'protected_track' when 30 then 'shared_path' when 20 then 'cycle_lane' end as facility from ends group by node""", "ends"),
+)
+def incident_facility(spark, d):
+    from lowstress.operators.clean import incident_facility as f
+
+    return f(net(spark, d))
+
+
+@query(
+    "facility_tags",
+    sql(f"""select way_id, case f when 'protected_track' then 'cycleway' when 'cycle_lane' then 'secondary' when 'shared_path' then 'path' when 'shared_roadway' then 'residential' when 'signed_route' then null else 'path' end as highway,
+      case f when 'protected_track' then 'designated' when 'shared_path' then 'designated' when 'shared_roadway' then 'yes' when 'unknown' then 'yes' end as bicycle, name
+      from (select *, {FACILITY} as f from fx_ways)""", "fx_ways"),
+)
+def facility_tags(spark, d):
+    m = tags.facility_tags(F.col("facility"), F.col("name"))
+    return N.with_facility(ways(spark, d)).withColumn("m", m).select("way_id", F.col("m")["highway"].alias("highway"), F.col("m")["bicycle"].alias("bicycle"), F.col("m")["name"].alias("name"))
+
+
+@query(
+    "sql_functions",
+    sql(f"""select way_id, {FACILITY} as facility, {SPEED} as speed, {LANES} as lanes, {case('highway', L.AADT_PROXY, "'unknown'")} as aadt, {lts('highway', SPEED, LANES, FACILITY)} as stress, round({hav('lat0', 'lon0', 'lat1', 'lon1')}, 3) as length_m from fx_ways""", "fx_ways"),
+)
+def sql_functions(spark, d):
+    """The scalar functions through SQL text (temporary functions of the session)."""
+    from lowstress.functions.sqlfunctions import register
+
+    register(spark)
+    return spark.sql(
+        """select way_id, facility_class(highway, cycleway, bicycle, segregated) as facility, speed_kmh(maxspeed) as speed, lane_count(lanes) as lanes, aadt_proxy(highway) as aadt,
+        segment_stress(highway, speed_kmh(maxspeed), lane_count(lanes), facility_class(highway, cycleway, bicycle, segregated)) as stress, round(haversine_m(lat0, lon0, lat1, lon1), 3) as length_m from {w}""",
+        w=ways(spark, d),
+    )
+
+
+@query("display_layer", sql("select way_id, highway, cycleway from fx_ways where highway in ('cycleway', 'path') or cycleway in ('track', 'lane', 'opposite_lane')", "fx_ways"))
+def display_layer(spark, d):
+    from lowstress.sources.sinks import display_ways
+
+    w = ways(spark, d).select("way_id", "highway", "cycleway")
+    cycling = F.col("highway").isin("cycleway", "path")
+    return display_ways(w.where(cycling), w.where(~cycling))
 
 
 __all__ = ["DataFrame", "ORACLES", "QUERIES", "S", "SparkSession"]

@@ -181,30 +181,116 @@ def _road_points(spark, d):
 _ROADMID = f"(select g.gap_id, g.len_m, x.way_id, x.highway, x.name, {hav('g.lat', 'g.lon', 'x.mid_lat', 'x.mid_lon')} as dist from ctx g join roads x on x.mid_lat between g.lat - 0.006 and g.lat + 0.006 and x.mid_lon between g.lon - 0.01 and g.lon + 0.01)"
 
 
+_PX, _PY = "((plon - x.lon1) * 111320.0::double * cos(radians(x.lat1)))", "((plat - x.lat1) * 110540.0::double)"
+_BX, _BY = "((x.lon2 - x.lon1) * 111320.0::double * cos(radians(x.lat1)))", "((x.lat2 - x.lat1) * 110540.0::double)"
+_TT = f"(case when {_BX} * {_BX} + {_BY} * {_BY} = 0 then 0::double else least(1::double, greatest(0::double, ({_PX} * {_BX} + {_PY} * {_BY}) / ({_BX} * {_BX} + {_BY} * {_BY}))) end)"
+_SEGMENT = f"sqrt(pow({_PX} - {_TT} * {_BX}, 2) + pow({_PY} - {_TT} * {_BY}, 2))"
+
+
 @query("candidate_roads", gsql(f"select gap_id, way_id, highway, round(dist, 3) as dist, rn from (select *, row_number() over (partition by gap_id order by dist, way_id) as rn from {_ROADMID} where dist <= greatest(100, 0.3 * len_m)) where rn <= 5", "ctx", "roads"))
 def candidate_roads(spark, d):
-    limit = F.greatest(F.lit(T.candidate_buffer), 0.3 * F.col("len_m"))
-    near = S.nearest(_mid(spark, d), _road_points(spark, d), "gap_id", T.gap_max, ["way_id"], k=5, where=F.col("dist") <= limit)
-    return near.select("gap_id", "way_id", "highway", r(F.col("dist")).alias("dist"), "rn")
+    from lowstress.operators.attach import candidate_roads as f
+
+    return f(gaps(spark, d), roads(spark, d), "gap_id").select("gap_id", "way_id", "highway", r(F.col("dist")).alias("dist"), "rn")
 
 
 @query("barrier_flag", gsql(f"select gap_id, coalesce(bool_or(dist <= 0.5 * len_m and highway in ('motorway', 'trunk', 'motorway_link', 'trunk_link')), false) as crosses from ctx left join {_ROADMID} using (gap_id) group by gap_id".replace("dist <= 0.5 * len_m", "dist <= 0.5 * ctx.len_m"), "ctx", "roads"))
 def barrier_flag(spark, d):
-    barriers = _road_points(spark, d).where(F.col("highway").isin(*L.MOTOR_ONLY))
-    hit = S.grid_join(_mid(spark, d), barriers, T.gap_max).where(F.col("dist") <= 0.5 * F.col("len_m")).select("gap_id").distinct()
+    from lowstress.operators.attach import barriers
+
+    hit = barriers(gaps(spark, d), roads(spark, d), "gap_id")
     return gaps(spark, d).select("gap_id").join(hit.withColumn("h", F.lit(True)), "gap_id", "left").select("gap_id", F.coalesce("h", F.lit(False)).alias("crosses"))
 
 
-@query("street_labels", gsql(f"""select gap_id, coalesce(arg_min(name, (dist, way_id)) filter (where name <> '' and dist <= 150), 'Unnamed ' || arg_min(highway, (dist, way_id)) filter (where dist <= 200), 'Unknown') as street
-  from ctx left join {_ROADMID} using (gap_id) group by gap_id""", "ctx", "roads"))
+def _label_sql(e: str) -> str:
+    near = f"(select g.gap_id, x.way_id, x.highway, x.name, {hav(f'g.{e}_lat', f'g.{e}_lon', 'x.mid_lat', 'x.mid_lon')} as dist from ctx g join roads x on x.mid_lat between g.{e}_lat - 0.003 and g.{e}_lat + 0.003 and x.mid_lon between g.{e}_lon - 0.005 and g.{e}_lon + 0.005)"
+    return f"""(select gap_id, coalesce(arg_min(name, (dist, way_id)) filter (where name <> '' and dist <= 150), 'Unnamed ' || arg_min(highway, (dist, way_id)) filter (where dist <= 200), 'Unknown') as {e}
+      from ctx left join {near} using (gap_id) group by gap_id)"""
+
+
+@query("street_labels", gsql(f"select gap_id, s.\"start\" as from_street, e.\"end\" as to_street, s.\"start\" || ' \u2192 ' || e.\"end\" as label from {_label_sql('start').replace('as start', 'as ' + chr(34) + 'start' + chr(34))} s join {_label_sql('end').replace('as end', 'as ' + chr(34) + 'end' + chr(34))} e using (gap_id)", "ctx", "roads"))
 def street_labels(spark, d):
-    near = S.grid_join(_mid(spark, d), _road_points(spark, d), 200)
-    order = F.struct("dist", "way_id")
-    best = near.groupBy("gap_id").agg(
-        F.min_by("road", F.when((F.col("road") != "") & (F.col("dist") <= 150), order)).alias("n"), F.max(((F.col("road") != "") & (F.col("dist") <= 150)).cast("int")).alias("has"), F.min_by("highway", order).alias("h")
-    )
-    label = F.coalesce(F.when(F.col("has") == 1, F.col("n")), F.concat(F.lit("Unnamed "), F.col("h")), F.lit("Unknown"))
-    return gaps(spark, d).select("gap_id").join(best, "gap_id", "left").select("gap_id", label.alias("street"))
+    from lowstress.functions.tags import gap_label
+    from lowstress.operators.attach import end_labels
+
+    out = end_labels(gaps(spark, d), roads(spark, d), "gap_id")
+    return out.withColumn("label", gap_label(F.col("from_street"), F.col("to_street"), arrow=True))
+
+
+@query("follows_road", gsql(f"""select gap_id, count(distinct i) >= 3.5 as buildable from (select *, start_lat + (end_lat - start_lat) * i / 6.0::double as plat, start_lon + (end_lon - start_lon) * i / 6.0::double as plon from (select *, unnest(range(0, 7)) as i from ctx)) p
+  left join roads x on greatest(x.lat1, x.lat2) >= plat - 0.0005 and least(x.lat1, x.lat2) <= plat + 0.0005 and greatest(x.lon1, x.lon2) >= plon - 0.0005 and least(x.lon1, x.lon2) <= plon + 0.0005
+    and {_SEGMENT} <= 25 group by gap_id having count(x.a) > 0""".replace("count(distinct i) >= 3.5", "count(distinct case when x.a is not null then i end) >= 3.5"), "ctx", "roads"))
+def follows_road(spark, d):
+    from lowstress.operators.attach import follows_road as f
+
+    g = gaps(spark, d)
+    some = f(g, roads(spark, d), "gap_id", least=1 / 7).select("gap_id")
+    yes = f(g, roads(spark, d), "gap_id").withColumn("y", F.lit(True))
+    return some.join(yes, "gap_id", "left").select("gap_id", F.coalesce("y", F.lit(False)).alias("buildable"))
+
+
+@query("nearest_named_road", gsql(f"select gap_id, way_id, round(dist, 3) as dist from (select gap_id, way_id, dist, row_number() over (partition by gap_id order by dist, way_id) as rn from {_ROADMID.replace('0.006', '0.03').replace('0.01)', '0.04)').replace('- 0.01 ', '- 0.04 ')} where name <> '') where rn = 1", "ctx", "roads"))
+def nearest_named_road(spark, d):
+    from lowstress.operators.attach import nearest_named_road as f
+
+    near = f(_mid(spark, d), roads(spark, d), "gap_id")
+    first = S.nearest(_mid(spark, d).join(near.select("gap_id"), "gap_id", "left_semi"), _road_points(spark, d).where("road <> ''"), "gap_id", 2500, ["way_id"])
+    return near.join(first.select("gap_id", "way_id"), "gap_id").select("gap_id", "way_id", r(F.col("dist")).alias("dist"))
+
+
+@query("uncovered_gaps", gsql(f"""select gap_id from ctx g where gap_type = 'dangling' and not exists (select 1 from ctx e where e.gap_type <> 'dangling'
+  and e.lat between g.lat - 0.002 and g.lat + 0.002 and {hav('g.lat', 'g.lon', 'e.lat', 'e.lon')} < 200)""", "ctx"))
+def uncovered_gaps(spark, d):
+    g = gaps(spark, d)
+    return refine.without_covered(g.where("gap_type = 'dangling'"), g.where("gap_type <> 'dangling'")).select("gap_id")
+
+
+def _ranked(spark, d):
+    return review.active_rank(scored(spark, d), dismissed(spark, d))
+
+
+@query("review_stats", gsql(f"select count_if(x.reason is null) as active, count_if(x.reason is not null) as dismissed, count_if(x.reason is null and composite >= 66) as high, count_if(x.reason is null and composite >= 33 and composite < 66) as medium from comp left join {_DISMISSED} x using (gap_id)", "comp", "fx_decisions"))
+def review_stats(spark, d):
+    return review.review_stats(_ranked(spark, d))
+
+
+@query("review_filters", gsql(f"""select f as filter, gap_id from (select gap_id, gap_type, x.reason is not null as off, composite from comp left join {_DISMISSED} x using (gap_id)), (select unnest(['all', 'active', 'dismissed', 'high', 'island', 'corridor']) as f)
+  where f = 'all' or (f = 'active' and not off) or (f = 'dismissed' and off) or (f = 'high' and not off and composite >= 66) or gap_type = f""", "comp", "fx_decisions"))
+def review_filters(spark, d):
+    from lowstress.storage import checkpoint
+
+    g, out = checkpoint(_ranked(spark, d).select("gap_id", "gap_type", "dismissed", "composite")), None
+    for f in ("all", "active", "dismissed", "high", "island", "corridor"):
+        one = review.filtered(g, f).select(F.lit(f).alias("filter"), "gap_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("final_table", gsql(f"""select gap_id, gap_type, cast(row_number() over (order by composite desc, ord) as int) as rank, composite as composite_score, round(len_m, 3) as straight_line_m, recommended as recommended_facility, crosses_barrier
+  from comp left join {_DISMISSED} x using (gap_id) where x.reason is null""", "comp", "fx_decisions"))
+def final_table(spark, d):
+    from lowstress.sources.sinks import final_table as f
+
+    return f(_ranked(spark, d)).select("gap_id", "gap_type", F.col("rank").cast("int").alias("rank"), "composite_score", r(F.col("straight_line_m")).alias("straight_line_m"), "recommended_facility", "crosses_barrier")
+
+
+@query("gap_table", gsql("""select gap_id, rank, composite as composite_score, round(conn_base, 4) as score_connectivity, round(build_score, 6) as score_buildability, coalesce(connector_class, '') as connector_class, '' as from_street,
+  context as lts_context, c as corridor_lts, plan_match as master_plan_match, 'AADT proxy used \u2014 verify with municipal traffic model' as aadt_note from comp""", "comp"))
+def gap_table(spark, d):
+    from lowstress.sources.sinks import gap_table as f
+
+    out = f(scored(spark, d))
+    assert len(out.columns) == 32
+    return out.select("gap_id", "rank", "composite_score", r(F.col("score_connectivity"), 4).alias("score_connectivity"), r(F.col("score_buildability"), 6).alias("score_buildability"), "connector_class", "from_street", "lts_context", "corridor_lts", "master_plan_match", "aadt_note")
+
+
+@query("dismissal_advice", gsql(f"""select reason, n, case reason when 'Already connected' then coalesce(printf('raise the connected ratio to %.2f', ratio + 0.05::double), 'no values of these gaps')
+  when 'Same corridor (fragmentation)' then coalesce(printf('raise the edge snap to %.0f m', least(span, 30::double)), 'no values of these gaps')
+  when 'Data error' then 'check the source data' else 'raise the distance between parallel gaps' end as suggestion
+  from (select reason, count(*) as n, max(case when not isinf(separation_ratio) then separation_ratio end) as ratio, max(len_m) as span from {_DISMISSED} left join ctx using (gap_id)
+    where reason in ('Already connected', 'Data error', 'Parallel facility', 'Same corridor (fragmentation)') group by reason)""", "ctx", "fx_decisions"))
+def dismissal_advice(spark, d):
+    return review.advice(dismissed(spark, d), score.with_length(gaps(spark, d)))
 
 
 _NODEPAIRS = f"(select g.gap_id, n.node, {hav('g.start_lat', 'g.start_lon', 'n.lat', 'n.lon')} as dist from ctx g join nodes n on n.lat between g.start_lat - 0.001 and g.start_lat + 0.001 and n.lon between g.start_lon - 0.001 and g.start_lon + 0.001)"
@@ -287,7 +373,7 @@ def route_verdict(spark, d):
     return route.compare(x.withColumn("found", found), s)
 
 
-# --- loops and kernels: no single SQL statement says the same; tests hold them against brute force ----
+# --- loops and kernels: no single SQL statement says the same; tests/test_operators.py and tests/test_paths.py hold them against brute force on small inputs ----
 
 
 @query("dedup")
@@ -373,7 +459,7 @@ def diagnose_islands(spark, d):
     from lowstress.operators.diagnose import island_trace
     from lowstress.plans.network_queries import net
 
-    return island_trace(net(spark, d), BOX).select("component", "size", r(F.col("length_m")).alias("length_m"), "rank", "reason")
+    return island_trace(net(spark, d), BOX).select("component", "size", r(F.col("length_m")).alias("length_m"), r(F.col("dist")).alias("dist"), "reason")
 
 
 @query("diagnose_dangling")
@@ -395,14 +481,52 @@ def gap_geojson(spark, d):
 
 @query("union_detectors")
 def union_detectors(spark, d):
-    from lowstress.operators import detect
+    """All detectors on the plain network, without deduplication: components are computed once."""
+    from lowstress.operators import corridor, detect
+    from lowstress.operators import separation as sep
     from lowstress.plans.network_queries import net
-    from lowstress.storage import checkpoint
 
-    e = checkpoint(net(spark, d))
-    parts = [("island", 0, detect.island_pairs(e)), ("dangling", 2, detect.dangling_pairs(e)), ("dangling", 4, detect.near_miss(e)), ("connector", 5, detect.connector_pairs(e))]
-    out = [p.select(F.lit(kind).alias("gap_type"), F.lit(ord_).alias("src_ord"), "node", "r_node", r(F.col("dist")).alias("dist")) for kind, ord_, p in parts]
-    all_ = out[0]
-    for p in out[1:]:
-        all_ = all_.unionByName(p)
-    return all_
+    n, x = detect.prepare(net(spark, d)), roads(spark, d)
+    parts = [
+        ("island", 0, detect.by_anchor(detect.island_pairs(n))), ("detour", 1, detect.detour_ends(sep.detour_gaps(n.edges), n)), ("dangling", 2, detect.mutual_once(detect.dangling_pairs(n, x))),
+        ("corridor", 3, detect.corridor_ends(corridor.corridor_gaps(x), n)), ("dangling", 4, detect.near_miss(n)), ("connector", 5, detect.mutual_once(detect.connector_pairs(n, x))),
+    ]
+    out = None
+    for kind, src, pairs in parts:
+        one = detect.pairs_as_gaps(pairs, kind, src).select("gap_type", "src_ord", "start_lat", "start_lon", "end_lat", "end_lon", "start_facility", "end_facility")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("gap_analysis")
+def gap_analysis(spark, d):
+    """From ways to ranked gaps: snapped and cleaned network, all detectors, refinement, scores."""
+    from lowstress.plans.analysis import gap_analysis as f
+
+    found = f(ways(spark, d), vertices(spark, d), view(spark, d, "fx_destinations"), view(spark, d, "fx_da"), spines(spark, d), view(spark, d, "fx_plan"))
+    return found.select("gap_id", "gap_type", "src_ord", "composite", "rank", "band", "from_street", "to_street", "crosses_barrier", "recommended", r(F.col("len_m")).alias("len_m"))
+
+
+@query("diagnose_near_misses")
+def diagnose_near_misses(spark, d):
+    from lowstress.operators.diagnose import near_miss_trace
+    from lowstress.plans.network_queries import net
+
+    return near_miss_trace(net(spark, d), BOX).select("node", "r_node", "component", "r_component", "status", r(F.col("dist")).alias("dist"))
+
+
+@query("diagnose_summary")
+def diagnose_summary(spark, d):
+    from lowstress.operators.diagnose import summary
+    from lowstress.plans.network_queries import net
+
+    return summary(net(spark, d), BOX)
+
+
+@query("build_counts")
+def build_counts(spark, d):
+    from lowstress.operators import network as N
+    from lowstress.operators.diagnose import build_counts as f
+
+    w, v = ways(spark, d), vertices(spark, d)
+    return f({"cycling": N.cycling_edges(w, v), "road attributes": N.road_attribute_edges(w, v), "merged": N.merged_edges(N.cycling_edges(w, v), N.road_attribute_edges(w, v)), "roads": N.road_edges(w, v)})

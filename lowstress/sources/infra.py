@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lowstress.functions import geo, tags
 from lowstress.sources.field_map import FieldMap
+from lowstress.sources.readers import exists
 
 FEATURES = "features array<struct<properties map<string,string>, geometry struct<type string, coordinates string>>>"
 PARTS = "array<array<struct<lat: double, lon: double>>>"
@@ -66,6 +68,9 @@ def parse_dbf(data: bytes) -> list[dict[str, str]]:
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     """As read_geojson(), from x.shp with x.dbf beside it; files are read by Spark, each in one task."""
     base = path.removesuffix(".shp")
+    told = projection(spark, f"{base}.prj")
+    if told == "projected":
+        warnings.warn(f"{base}.prj names a projected system: give source_crs in the field map", stacklevel=2)
     files = spark.read.format("binaryFile").load([f"{base}.shp", f"{base}.dbf"]).select(F.lit(1).alias("one"), F.lower(F.element_at(F.split("path", r"\."), -1)).alias("kind"), "content")
 
     def read(table: pa.Table) -> pa.Table:
@@ -84,6 +89,14 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy("one").applyInArrow(read, f"ord int, properties map<string,string>, geometry_type string, parts {PARTS}")
 
 
+def projection(spark: SparkSession, path: str) -> str | None:
+    """geographic or projected, as a .prj file says; None without one."""
+    if not exists(spark, path):
+        return None
+    text = spark.read.text(path, wholetext=True).first()[0].lstrip().upper()
+    return "projected" if text.startswith(("PROJCS", "PROJCRS")) else "geographic"
+
+
 def to_ways(features: DataFrame, fields: FieldMap) -> tuple[DataFrame, DataFrame]:
     """(ways, statistics): kept parts as (way_id, ord, part, name, facility, coords, length_m), and one row of counts."""
     value = lambda name: F.coalesce(F.try_element_at("properties", F.lit(name)), F.lit("")) if name else F.lit("")
@@ -104,6 +117,8 @@ def to_ways(features: DataFrame, fields: FieldMap) -> tuple[DataFrame, DataFrame
 def read_infra(spark: SparkSession, path: str, fields: FieldMap | None = None) -> tuple[DataFrame, DataFrame]:
     """Ways and statistics of a GeoJSON (.geojson, .json) or Shapefile (.shp); coordinates must be degrees."""
     fields = fields or FieldMap()
+    if path.endswith((".geojson", ".json", ".shp")) and not exists(spark, path):
+        raise FileNotFoundError(path)
     if path.endswith((".geojson", ".json")):
         features = read_geojson(spark, path)
     elif path.endswith(".shp"):

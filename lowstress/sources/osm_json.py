@@ -18,10 +18,12 @@ REGIONS = {
 TYPE_KEYS = ("amenity", "public_transport", "railway", "shop", "landuse", "leisure")
 
 
-def region_box(name: str) -> tuple[float, float, float, float]:
-    if name not in REGIONS:
+def region_box(name: str, lookup=None) -> tuple[float, float, float, float]:
+    """The box of a known region, else what ``lookup(name)`` finds (a geocoder's answer, or None); ValueError if nobody knows it."""
+    found = REGIONS.get(name) or (lookup(name) if lookup else None)
+    if not found:
         raise ValueError(f"unknown region {name!r}: pass a bounding box")
-    return REGIONS[name]
+    return tuple(found)
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -60,6 +62,21 @@ def vertices(w: DataFrame) -> DataFrame:
     return w.select("way_id", F.posexplode("coords").alias("seq", "p")).select("way_id", F.col("seq").cast("long"), "p.lat", "p.lon")
 
 
+#: Fixed values: (element type, key, pattern found in the value) of places that create trips.
+PLACES = (
+    ("node", "amenity", "school|university|college|library|community_centre|hospital|clinic"), ("node", "public_transport", "station|stop_position"),
+    ("node", "railway", "station|halt|tram_stop"), ("node", "shop", "^supermarket$"), ("way", "landuse", "commercial|industrial|retail|office"), ("way", "leisure", "^park$"),
+)
+
+
+def select_destinations(elements: DataFrame) -> DataFrame:
+    """The elements that are places people travel to."""
+    rule = F.lit(False)
+    for kind, key, pattern in PLACES:
+        rule = rule | ((F.col("type") == kind) & _tag(key).rlike(pattern))
+    return elements.where(F.col("tags").isNotNull()).where(rule)
+
+
 def destinations(elements: DataFrame) -> DataFrame:
     """(lat, lon, type, name): nodes where they are, ways at the mean of their vertices."""
     n = F.size("geometry")

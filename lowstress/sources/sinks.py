@@ -5,9 +5,12 @@ from __future__ import annotations
 import html
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lowstress import lookups as L
+
 
 def _point(lat: Column, lon: Column) -> Column:
     return F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
@@ -32,10 +35,23 @@ def way_features(ways: DataFrame, *names: str) -> DataFrame:
     return ways.select(F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), F.struct(*names).alias("properties"))).alias("feature"))
 
 
-def write_geojson(features: DataFrame, path: str) -> None:
-    """One FeatureCollection per file part; parts are written where they are made (one, if the result is small)."""
-    joined = features.select("feature").agg(F.array_join(F.collect_list("feature"), ",").alias("f"))
-    joined.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("value")).write.text(path)
+def write_geojson(features: DataFrame, path: str, files: int = 1) -> None:
+    """One FeatureCollection in each of ``files`` files; a task passes features on as they come and holds none of them."""
+
+    def collection(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([HEAD])], names=["value"])
+        first = True
+        for batch in batches:
+            lines = [x if first and i == 0 else "," + x for i, x in enumerate(batch.column(0).to_pylist())]
+            first = first and not lines
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines)], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]}"])], names=["value"])
+
+    features.select("feature").repartition(files).mapInArrow(collection, "value string").write.text(path)
+
+
+HEAD = '{"type":"FeatureCollection","features":['
 
 
 def write_geojson_lines(features: DataFrame, path: str) -> None:
@@ -44,7 +60,120 @@ def write_geojson_lines(features: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str, order: str = "rank") -> None:
-    rows.orderBy(order).coalesce(1).write.csv(path, header=True)
+    """CSV files in the order of ``order`` (a range sort: the files' names follow it); one file for few rows."""
+    rows.orderBy(order).write.csv(path, header=True)
+
+
+def _pick(rows: DataFrame, columns: tuple[str, ...], names: dict[str, str], fixed: dict[str, Column]) -> DataFrame:
+    """The columns in the given order, from those of other names or as null text where the rows have none."""
+    have = set(rows.columns)
+    value = lambda c: fixed[c] if c in fixed else F.col(c) if c in have else F.col(names[c]) if names.get(c) in have else F.lit(None).cast("string")
+    return rows.select(*[value(c).alias(c) for c in columns])
+
+
+SCORES = {
+    "composite_score": "composite", "score_connectivity": "conn_base", "score_buildability": "build_score", "score_destination": "dest_score", "score_lts": "lts_score",
+    "score_equity": "equity_score", "straight_line_m": "len_m", "recommended_facility": "recommended", "lts_context": "context", "master_plan_match": "plan_match",
+}
+
+
+def gap_table(scored: DataFrame) -> DataFrame:
+    """The gap table: 32 columns in a fixed order, the note on traffic volumes in each row; missing labels are empty."""
+    rows = _pick(scored, L.GAP_COLUMNS, SCORES, {"aadt_note": F.lit(L.AADT_NOTE)})
+    return rows.fillna("", subset=["connector_class", "from_street", "to_street"])
+
+
+def final_table(scored: DataFrame) -> DataFrame:
+    """Reviewed gaps: what is active, by active rank, in 11 columns."""
+    active = scored.where("not dismissed").drop("rank").withColumnRenamed("active_rank", "rank")
+    return _pick(active, L.FINAL_COLUMNS, SCORES, {})
+
+
+def final_features(scored: DataFrame) -> DataFrame:
+    """The features of active gaps (points with their active rank, and lines)."""
+    return gap_features(scored.where("not dismissed"))
+
+
+def route_table(routes: DataFrame) -> DataFrame:
+    """The routes' summary rows; the columns of a comparison only if there is one."""
+    columns = L.ROUTE_COLUMNS + tuple(c for c in L.COMPARE_COLUMNS if c in routes.columns)
+    rows = _pick(routes, columns, {"route_found": "found", "fallback_route": "fallback", "estimated_cost_cad": "cost"}, {})
+    kinds = dict(rows.dtypes)
+    for c, d in (("total_length_m", 1), ("straight_line_m", 1), ("detour_ratio", 2), ("lts_problem_length_m", 1)):
+        rows = rows.withColumn(c, F.round(c, d)) if kinds[c] == "double" else rows
+    return rows.withColumn("notes", F.array_join("notes", "; ")) if kinds["notes"].startswith("array") else rows
+
+
+def route_features(points: DataFrame, routes: DataFrame) -> DataFrame:
+    """(feature): the gaps' points as they came, then a line for each route that was found.
+
+    ``routes`` has ``parts``, array<array<struct<lat, lon>>>: one part is a LineString, several a MultiLineString.
+    """
+    coords = F.transform("parts", lambda p: F.transform(p, lambda q: F.array(q["lon"], q["lat"])))
+    names = [c for c in routes.columns if c != "parts"]
+    feature = lambda kind, c: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), c.alias("coordinates")).alias("geometry"), F.struct(*names).alias("properties")))
+    lines = routes.where("found").select(F.when(F.size("parts") == 1, feature("LineString", coords[0])).otherwise(feature("MultiLineString", coords)).alias("feature"))
+    return points.select("feature").unionByName(lines)
+
+
+def destination_features(places: DataFrame, *names: str) -> DataFrame:
+    return places.select(F.to_json(F.struct(F.lit("Feature").alias("type"), _point(F.col("lat"), F.col("lon")).alias("geometry"), F.struct(*names).alias("properties"))).alias("feature"))
+
+
+def display_ways(cycling: DataFrame, roads: DataFrame, extra: tuple[str, ...] = ("track", "lane", "opposite_lane")) -> DataFrame:
+    """The ways of the display layer: all cycling ways, and roads whose cycleway tag says that there is a facility."""
+    return cycling.unionByName(roads.where(F.col("cycleway").isin(*extra)), allowMissingColumns=True)
+
+
+def embed(data: object) -> str:
+    """JSON for a script element: markup and line separators are escaped."""
+    text = json.dumps(data, default=str, ensure_ascii=False)
+    for c in "<>&\u2028\u2029":
+        text = text.replace(c, f"\\u{ord(c):04x}")
+    return text
+
+
+#: Rows that a stand-alone page holds; a page of more is refused, since no browser shows it.
+PAGE_ROWS = 20_000
+
+
+def _page_rows(rows: DataFrame, order: str) -> list[dict]:
+    found = [r.asDict(recursive=True) for r in rows.orderBy(order).limit(PAGE_ROWS + 1).collect()]
+    if len(found) > PAGE_ROWS:
+        raise ValueError(f"a page holds {PAGE_ROWS} rows; write GeoJSON for more, or filter first")
+    return found
+
+
+def map_page(rows: DataFrame, title: str, order: str = "rank", counts: dict[str, int] | None = None) -> str:
+    """A stand-alone map: lines drawn to scale as SVG (no tiles, no network), a card for each row beside it.
+
+    Rows need start_lat, start_lon, end_lat, end_lon; all their columns are on the card. ``counts`` are shown on top.
+    """
+    data = embed(_page_rows(rows, order))
+    head = " · ".join(f"{html.escape(str(k))}: {v}" for k, v in (counts or {}).items())
+    return f"""<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(title)}</title>
+<style>body{{display:flex;margin:0;font:14px sans-serif}}#side{{width:22em;height:100vh;overflow:auto}}#map{{flex:1;height:100vh}}.card{{padding:.5em;border-bottom:1px solid #ccc}}.on{{background:#ffd}}</style></head>
+<body><div id="side"><h1>{html.escape(title)}</h1><p>{head}</p></div><svg id="map"></svg><script>
+const rows = {data}.filter(r => r.start_lat != null && r.end_lat != null), svg = document.getElementById("map"), side = document.getElementById("side");
+const lat = rows.flatMap(r => [r.start_lat, r.end_lat]), lon = rows.flatMap(r => [r.start_lon, r.end_lon]);
+const least = v => v.reduce((a, b) => Math.min(a, b), Infinity), most = v => v.reduce((a, b) => Math.max(a, b), -Infinity);
+const k = Math.cos((least(lat) + most(lat)) / 2 * Math.PI / 180), x = v => (v - least(lon)) * k, y = v => most(lat) - v;
+svg.setAttribute("viewBox", [-0.002, -0.002, x(most(lon)) + 0.004, y(least(lat)) + 0.004].join(" "));
+rows.forEach((r, i) => {{
+  const l = document.createElementNS("http://www.w3.org/2000/svg", "line"), c = document.createElement("div"); c.className = "card";
+  for (const [n, v] of [["x1", x(r.start_lon)], ["y1", y(r.start_lat)], ["x2", x(r.end_lon)], ["y2", y(r.end_lat)], ["stroke", {{high: "#c00", medium: "#e80"}}[r.band] || "#06c"], ["stroke-width", 3], ["vector-effect", "non-scaling-stroke"]]) l.setAttribute(n, v);
+  for (const [n, v] of Object.entries(r)) {{ const p = document.createElement("div"); p.textContent = n + ": " + v; c.append(p); }}
+  const mark = () => {{ document.querySelectorAll(".on").forEach(e => e.classList.remove("on")); c.classList.add("on"); c.scrollIntoView(); }};
+  l.onclick = mark; c.onclick = mark; svg.append(l); side.append(c);
+}});
+</script></body></html>"""
+
+
+def routes_page(routes: DataFrame, title: str) -> str:
+    """The map of found routes, with the number of each quality and the total cost."""
+    got = routes.where("found").groupBy("route_quality").agg(F.count("*").alias("n"), F.sum("cost").alias("cost")).orderBy("route_quality").collect()
+    counts = {r["route_quality"]: r["n"] for r in got} | {"total cost": round(sum(r["cost"] or 0 for r in got))}
+    return map_page(routes.where("found"), title, "gap_id", counts)
 
 
 def dismissed_sidecar(decisions: DataFrame) -> DataFrame:
@@ -53,20 +182,35 @@ def dismissed_sidecar(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
 
 
-def review_page(gaps: DataFrame, region: str, most: int = 5000) -> str:
-    """A stand-alone HTML page of at most ``most`` best gaps; data and names are escaped for script and markup."""
-    rows = [r.asDict() for r in gaps.orderBy("rank").limit(most).collect()]
-    data = json.dumps(rows, default=str)
-    for c, e in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
-        data = data.replace(c, e)
+def review_page(gaps: DataFrame, region: str, dismissed: dict[str, str] | None = None) -> str:
+    """The review page: filters, statistics, dismiss and restore with a reason, live ranks and the three exports, kept in the browser.
+
+    ``dismissed`` (gap_id: reason) is taken over where the browser has no decision of its own.
+    """
+    data, before, slug = embed(_page_rows(gaps, "rank")), embed(dismissed or {}), embed(region.lower().replace(" ", "_"))
+    columns = embed(list(L.FINAL_COLUMNS))
     return f"""<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{html.escape(region)}</title></head>
-<body><h1>{html.escape(region)}</h1><p id="n"></p><table id="t"></table><script>
-const gaps = {data}; const off = JSON.parse(localStorage.getItem("off") || "{{}}");
+<body><h1>{html.escape(region)}</h1><p id="n"></p><p id="f"></p><table id="t"></table><script>
+const gaps = {data}, before = {before}, slug = {slug}, columns = {columns}; const off = JSON.parse(localStorage.getItem("off-" + slug) || "{{}}"); let filter = "all";
+for (const [id, reason] of Object.entries(before)) if (!(id in off)) off[id] = {{reason: reason, timestamp: ""}};
+const out = g => off[g.gap_id] && off[g.gap_id].reason !== undefined, score = g => g.composite_score ?? g.composite;
+const live = () => gaps.filter(g => !out(g));
+function save(name, text, type) {{ const a = document.createElement("a"); a.href = URL.createObjectURL(new Blob([text], {{type: type}})); a.download = name; a.click(); }}
+const feature = (g, kind, c) => ({{type: "Feature", geometry: {{type: kind, coordinates: c}}, properties: g}});
+const exports_ = {{
+  GeoJSON: () => save(`gaps_finalised_${{slug}}.geojson`, JSON.stringify({{type: "FeatureCollection", features: live().map(g => feature(g, "Point", [(g.start_lon + g.end_lon) / 2, (g.start_lat + g.end_lat) / 2])).concat(live().map(g => feature(g, "LineString", [[g.start_lon, g.start_lat], [g.end_lon, g.end_lat]])))}}), "application/json"),
+  CSV: () => save(`gaps_finalised_${{slug}}.csv`, [columns.join(",")].concat(live().map((g, i) => columns.map(c => c === "rank" ? i + 1 : JSON.stringify(g[c] ?? "")).join(","))).join("\\n"), "text/csv"),
+  dismissed: () => save(`dismissed_${{slug}}.json`, JSON.stringify(Object.fromEntries(Object.entries(off).filter(e => e[1].reason !== undefined))), "application/json")
+}};
+function button(text, act) {{ const b = document.createElement("button"); b.textContent = text; b.onclick = act; return b; }}
 function show() {{
-  const live = gaps.filter(g => !off[g.gap_id]); document.getElementById("n").textContent = live.length + " of " + gaps.length;
-  const t = document.getElementById("t"); t.replaceChildren();
-  gaps.forEach(g => {{ const r = t.insertRow(); [live.indexOf(g) + 1 || "", g.gap_id, g.gap_type, g.composite, g.band].forEach(v => r.insertCell().textContent = v);
-    const b = document.createElement("button"); b.textContent = off[g.gap_id] ? "restore" : "dismiss";
-    b.onclick = () => {{ if (off[g.gap_id]) delete off[g.gap_id]; else off[g.gap_id] = 1; localStorage.setItem("off", JSON.stringify(off)); show(); }}; r.insertCell().append(b); }});
+  const active = live(), t = document.getElementById("t"); t.replaceChildren(); localStorage.setItem("off-" + slug, JSON.stringify(off));
+  document.getElementById("n").textContent = `active ${{active.length}}, dismissed ${{gaps.length - active.length}}, high ${{active.filter(g => score(g) >= 66).length}}, medium ${{active.filter(g => score(g) >= 33 && score(g) < 66).length}}`;
+  const fits = g => filter === "all" || (filter === "active" ? !out(g) : filter === "dismissed" ? out(g) : filter === "high" ? !out(g) && score(g) >= 66 : g.gap_type === filter);
+  gaps.filter(fits).sort((a, b) => out(a) - out(b) || a.rank - b.rank).forEach(g => {{ const r = t.insertRow();
+    [active.indexOf(g) + 1 || "", g.gap_id, g.gap_type, score(g), g.band].forEach(v => r.insertCell().textContent = v);
+    r.insertCell().append(button(out(g) ? "restore" : "dismiss", () => {{ if (out(g)) off[g.gap_id] = {{}}; else off[g.gap_id] = {{reason: prompt("reason") || "", timestamp: new Date().toISOString()}}; show(); }})); }});
 }}
+const bar = document.getElementById("f"); ["all", "active", "dismissed", "high", "island", "detour", "dangling", "corridor", "connector"].forEach(f => bar.append(button(f, () => {{ filter = f; show(); }})));
+Object.entries(exports_).forEach(([n, f]) => bar.append(button("export " + n, f)));
 show();</script></body></html>"""
