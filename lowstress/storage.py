@@ -37,7 +37,7 @@ def release(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000):
+def small_batches(spark: SparkSession, rows: int = 1000):
     """Within this, batches that go to Python workers have at most so many rows (texts may be long)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -72,4 +72,5 @@ def sweep(spark: SparkSession) -> int:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint (never a local one: that is lost with its executor)."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
