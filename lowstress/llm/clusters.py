@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lowstress.graph.components import connected_components
+from lowstress.llm.blocks import trim
 from lowstress.llm.interpolated_lm import bucket_of, pack, unpack
 from lowstress.storage import materialize
 
@@ -75,6 +76,8 @@ def candidate_links(packed: DataFrame, near: Callable[[np.ndarray], np.ndarray]
                 hub[s : s + n] = nodes[s : s + n][near(nodes[s : s + n])]
         real = hub != nodes
         edges = np.unique(np.stack([np.minimum(hub, nodes)[real], np.maximum(hub, nodes)[real]], axis=1), axis=0)
+        del keys, hub, order
+        trim()
         return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
     return packed.groupBy("bucket").applyInArrow(links, "a long, b long").distinct()
@@ -114,6 +117,8 @@ def verified_components(members: DataFrame, loaded: DataFrame, link: Callable[[p
     def check(table: pa.Table) -> pa.Table:
         nodes = table["node"].to_numpy()
         pairs = np.array(link(table, table["side"].to_numpy()), np.int64).reshape(-1, 2)
+        if len(table) > 256:
+            trim()
         return pa.table({"a": pa.array(nodes[pairs[:, 0]]), "b": pa.array(nodes[pairs[:, 1]])})
 
     links = materialize(units.groupBy("cluster", "x", "y").applyInArrow(check, "a long, b long"), name)
