@@ -22,7 +22,7 @@ from lowstress.storage import materialize
 
 KEY_SCHEMA = "bucket int, keys binary, at binary, nodes binary"
 #: Members of a candidate group that one task compares; larger groups are cut into tiles of this size.
-TILE = 8192
+TILE = 4096
 
 
 def packed_keys(keys: np.ndarray, nodes: np.ndarray, buckets: int) -> pa.RecordBatch:

@@ -240,11 +240,14 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     members = candidates.withColumnRenamed("component", "cluster").join(chosen, "node")
 
     def link(table: pa.Table, side: np.ndarray) -> list[tuple[int, int]]:
-        values, offs, node = _sets(table["text"].combine_chunks() if len(table) else pa.array([], pa.string()), k)
+        column = table["text"].combine_chunks() if len(table) else pa.array([], pa.string())
+        parts = [_sets(column.slice(at, BATCH), k) for at in range(0, max(1, len(column)), BATCH)]
+        sets = [v[s:e] for v, o, _ in parts for s, e in zip(o[:-1], o[1:], strict=True)]
+        node = np.concatenate([n for *_, n in parts])
         # several rows may have a chosen id; those with another text are not the chosen ones
         mine = np.flatnonzero(node == table["node"].to_numpy())
         mine = mine[np.unique(node[mine], return_index=True)[1]]
-        pairs = linked_pairs([values[offs[i] : offs[i + 1]] for i in mine], side[mine], num, den)
+        pairs = linked_pairs([sets[i] for i in mine], side[mine], num, den)
         return [(int(mine[a]), int(mine[b])) for a, b in pairs]
 
     groups = verified_components(members, rows.join(members, "id"), link, "shingle-links")
