@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, decontaminate, interpolated_lm, language_id, line_dedup, ngram_join, toxicity, url_filter
+from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, decontaminate, importance, interpolated_lm, language_id, line_dedup, ngram_join, toxicity, url_filter
 from lowstress.llm.sampling import crc_mod
 
 
@@ -92,6 +92,10 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(25, 100), seed=7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op9_decontaminate": op9_decontaminate,
         "op10_bitsliced_topk": op10_bitsliced_topk,
+        "op13_importance_resample": op13_importance_resample,
     }
 
 
@@ -156,5 +161,42 @@ _TOPK_SQL = """
     select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5"""
 
 
+#: CRC-32 by its byte table, one feature at a time; every distinct feature is hashed once.
+_RESAMPLE_SQL = """
+    with texts as (
+      select 0 as side, row_number() over () as r, doc_id, text from documents
+      union all select 1, row_number() over (), null, text from benchmark),
+    words as (
+      select side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts),
+    runs as (
+      select side, r, unnest(w) as f from words
+      union all select side, r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from words where len(w) > 1),
+    counted as (select side, r, f, count(*) as n from runs group by all),
+    byte_table as (
+      select list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) order by i) as tab from range(256) t(i)),
+    hashed as (
+      select f, xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+        list_transform(range(0, length(x), 2), lambda i: 16 * (strpos('0123456789ABCDEF', x[i + 1]) - 1) + strpos('0123456789ABCDEF', x[i + 2]) - 1)),
+        lambda s, b: xor(s >> 8, tab[(xor(s, b) & 255) + 1]))) % 10000 as bucket
+      from (select distinct f, hex(encode(f)) as x from counted), byte_table),
+    by_bucket as (
+      select bucket, coalesce(sum(n) filter (where side = 0), 0)::double as s, coalesce(sum(n) filter (where side = 1), 0)::double as t
+      from counted join hashed using (f) group by bucket),
+    total as (select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from by_bucket),
+    gains as (select bucket, floor(1000 * ln(((t + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000))))::bigint as gain from by_bucket, total),
+    weights as (
+      select r, sum(n)::bigint as n_features, floor(sum(n * gain) / sum(n)::double)::bigint as weight
+      from counted join hashed using (f) join gains using (bucket) where side = 0 group by r),
+    scored as (
+      select r, doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((cast(concat('0x', substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8)) as bigint) + 0.5::double) / 4294967296)))::bigint as score
+      from words left join weights using (r) where side = 0),
+    ranked as (
+      select r, row_number() over (order by score desc, doc_id nulls last, weight desc, n_features desc) as k from scored where n_words >= 20)
+    select doc_id, n_features, weight, score, case when k <= (select count(*) * 25 // 100 from ranked) then k end as rank
+    from scored left join ranked using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_sql(), "op5_chat_format": _chat_sql(), "op10_bitsliced_topk": _TOPK_SQL}
+    return {"op1_url_filter": _url_sql(), "op5_chat_format": _chat_sql(), "op10_bitsliced_topk": _TOPK_SQL, "op13_importance_resample": _RESAMPLE_SQL}
