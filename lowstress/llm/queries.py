@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, decontaminate, importance, interpolated_lm, language_id, line_dedup, ngram_join, toxicity, url_filter
+from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, decontaminate, divergence, importance, interpolated_lm, language_id, line_dedup, ngram_join, toxicity, url_filter
 from lowstress.llm.sampling import crc_mod
 
 
@@ -92,6 +92,10 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(25, 100), seed=7)
 
@@ -108,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op9_decontaminate": op9_decontaminate,
         "op10_bitsliced_topk": op10_bitsliced_topk,
+        "op12_source_divergence": op12_source_divergence,
         "op13_importance_resample": op13_importance_resample,
     }
 
@@ -161,6 +166,32 @@ _TOPK_SQL = """
     select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5"""
 
 
+_DIVERGENCE_SQL = """
+    with docs as (
+      select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+    in_docs as (select r, lang, source, term, count(*) as n from (select r, lang, source, unnest(w) as term from docs) group by all),
+    kept as (select lang, term, sum(n)::hugeint as n from in_docs group by lang, term having count(*) >= 10),
+    in_groups as (select lang, source, term, sum(n)::hugeint as n from in_docs join (select lang, term from kept) using (lang, term) group by all),
+    groups as (select distinct lang, source from docs),
+    v as (select lang, count(term)::hugeint as v, coalesce(sum(n), 0)::hugeint as total from (select distinct lang from docs) left join kept using (lang) group by lang),
+    totals as (select lang, source, coalesce(sum(n), 0)::hugeint as total from groups left join in_groups using (lang, source) group by all),
+    shares as (
+      select g.lang, g.source, k.term, coalesce(i.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(i.n, 0) + 2) // (t.total + 2 * v.v) as p,
+        1 + 1000000000::hugeint * (k.n + 2) // (v.total + 2 * v.v) as q
+      from groups g join kept k using (lang) join v using (lang) join totals t using (lang, source) left join in_groups i on i.lang = g.lang and i.source = g.source and i.term = k.term),
+    pairs as (
+      select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+      from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    every_pair as (
+      select a.lang, a.source, b.source as item, coalesce(p.value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+      left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+    terms as (select lang, source, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from shares where n > 0 and p > q),
+    found as (select lang, source, 'pair' as part, item, value from every_pair union all select lang, source, 'term', item, value from terms),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
+    select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 10"""
+
+
 #: CRC-32 by its byte table, one feature at a time; every distinct feature is hashed once.
 _RESAMPLE_SQL = """
     with texts as (
@@ -199,4 +230,4 @@ _RESAMPLE_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_sql(), "op5_chat_format": _chat_sql(), "op10_bitsliced_topk": _TOPK_SQL, "op13_importance_resample": _RESAMPLE_SQL}
+    return {"op1_url_filter": _url_sql(), "op5_chat_format": _chat_sql(), "op10_bitsliced_topk": _TOPK_SQL, "op12_source_divergence": _DIVERGENCE_SQL, "op13_importance_resample": _RESAMPLE_SQL}
