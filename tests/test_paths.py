@@ -81,3 +81,21 @@ def test_dedup_rounds_equal_the_greedy_pass(spark):
         if not clash:
             greedy.append((g.gap_id, mid, ends))
     assert kept == {g for g, _, _ in greedy} and 1 < len(kept) < len(rows)
+
+
+def test_components_by_rounds_equal_those_of_one_task(spark):
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)]  # many groups
+    edges += [(1000, 1001 + i) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(120)] + [(2120, 1300)]  # a hub at the end of a chain
+    edges += [(3000 + i, 3001 + i) for i in range(0, 100, 2)] + [(5, 5), (None, 7), (9, None)] + [(-4, 2), (2, -4)]
+    want = {}
+    for x, y in edges:
+        if x is not None and y is not None and x != y:
+            old, new = sorted((want.setdefault(x, {x}), want.setdefault(y, {y})), key=len)
+            if old is not new:
+                new |= old
+                want.update(dict.fromkeys(old, new))
+    want = {v: min(g) for v, g in want.items()}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for one_task in (1 << 20, 100, 0):
+        assert {r.node: r.component for r in connected_components(df, one_task=one_task).collect()} == want
