@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, decontaminate, divergence, importance, interpolated_lm, language_id, line_dedup, ngram_join, toxicity, url_filter
+from lowstress.llm import bitsliced_topk, byte_bpe, chat_format, cross_polytope, decontaminate, divergence, importance, interpolated_lm, language_id, line_dedup, ngram_join, toxicity, url_filter
 from lowstress.llm.sampling import crc_mod
 
 
@@ -92,6 +92,10 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_groups(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op9_decontaminate": op9_decontaminate,
         "op10_bitsliced_topk": op10_bitsliced_topk,
+        "op11_cross_polytope": op11_cross_polytope,
         "op12_source_divergence": op12_source_divergence,
         "op13_importance_resample": op13_importance_resample,
     }
@@ -166,6 +171,22 @@ _TOPK_SQL = """
     select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5"""
 
 
+_NEAR_SQL = """
+    with recursive v as (
+      select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+    good as (
+      select vec_id, e, sqrt(list_dot_product(e, e)) as size from v
+      where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+    links as (
+      select a.vec_id as a, b.vec_id as b from good a join good b
+      on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9::double),
+    reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on l.a = r.b),
+    least as (select a, min(b) as component_id from reach group by a),
+    degree as (select a, count(*) as n from links group by a)
+    select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+    from v join least on least.a = vec_id left join degree on degree.a = vec_id"""
+
+
 _DIVERGENCE_SQL = """
     with docs as (
       select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
@@ -230,4 +251,4 @@ _RESAMPLE_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_sql(), "op5_chat_format": _chat_sql(), "op10_bitsliced_topk": _TOPK_SQL, "op12_source_divergence": _DIVERGENCE_SQL, "op13_importance_resample": _RESAMPLE_SQL}
+    return {"op1_url_filter": _url_sql(), "op5_chat_format": _chat_sql(), "op10_bitsliced_topk": _TOPK_SQL, "op11_cross_polytope": _NEAR_SQL, "op12_source_divergence": _DIVERGENCE_SQL, "op13_importance_resample": _RESAMPLE_SQL}
