@@ -106,9 +106,9 @@ def _emit(lang: str, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> pa.Tab
     return pa.table([pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(values, pa.int64())], names=["lang", "a", "b", "value"])
 
 
-def _blocks(gid: np.ndarray, p0: np.ndarray, x: int, y: int):
+def _blocks(gid: np.ndarray, p0: np.ndarray, x: int, y: int, size: int):
     """For each group of block x: its position, and the positions of the groups that it is compared with (of block y; after it, if x is y)."""
-    block = gid // TILE_GROUPS
+    block = gid // size
     other = np.flatnonzero(block == y)
     for i in np.flatnonzero(block == x):
         js = other[gid[other] > gid[i]]
@@ -116,8 +116,8 @@ def _blocks(gid: np.ndarray, p0: np.ndarray, x: int, y: int):
             yield i, js, _f(p0[i], p0[js])
 
 
-def dense_tile(key, table):
-    """Corrections of the heavy terms of one tile. Rows: a group's base share (tid -1) or its share of a term."""
+def dense_tile(key, table, size=TILE_GROUPS):
+    """Corrections of the heavy terms of one tile of ``size`` groups a side. Rows: a group's base share (tid -1) or its share of a term."""
     lang, _, x, y = (k.as_py() for k in key)
     gid, tid, p = (table[c].to_numpy() for c in ("gid", "tid", "p"))
     base = tid < 0
@@ -127,12 +127,12 @@ def dense_tile(key, table):
     shares = np.repeat(p0[:, None], len(terms), axis=1)
     shares[np.searchsorted(groups, gid[~base]), column] = p[~base]
     out = [(np.zeros(0, np.int64),) * 3]
-    for i, js, f0 in _blocks(groups, p0, x, y):
+    for i, js, f0 in _blocks(groups, p0, x, y, size):
         out.append((np.repeat(groups[i], len(js)), groups[js], (_f(shares[i], shares[js]) - f0[:, None]).sum(axis=1)))
     return _emit(lang, *(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
-def single_tile(key, table):
+def single_tile(key, table, size=TILE_GROUPS):
     """What light postings add against groups that lack the term, by share and how often it occurs (k); part 0 adds the base sum over all v terms."""
     lang, x, y, part = (k.as_py() for k in key)
     gid, p, k, v = (table[c].to_numpy() for c in ("gid", "p", "k", "v"))
@@ -149,7 +149,7 @@ def single_tile(key, table):
         return int(((_f(own[i][0], p0[j]) - f0) * own[i][1]).sum())
 
     out = [(np.zeros(0, np.int64),) * 3]
-    for i, js, f0 in _blocks(groups, p0, x, y):
+    for i, js, f0 in _blocks(groups, p0, x, y, size):
         sums = np.array([against(i, j, f) + against(j, i, f) for j, f in zip(js, f0, strict=True)], np.int64)
         out.append((np.repeat(groups[i], len(js)), groups[js], sums + (n_terms[i] * f0 if part == 0 else 0)))
     return _emit(lang, *(np.concatenate(c) for c in zip(*out, strict=True)))
@@ -179,7 +179,7 @@ def _posting_pairs(batches):
             yield from _emit(lang, *_pair_sums(a[of], b[of], values[of])).to_batches()
 
 
-def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 10, top_terms: int = 10, heavy: int = HEAVY, parts: int = 16) -> DataFrame:
+def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 10, top_terms: int = 10, heavy: int = HEAVY, parts: int = 16, tile: tuple[int, int] = (TILE_GROUPS, TILE_TERMS)) -> DataFrame:
     """(lang, source, part, item, value, rank): what sets a source apart, ranked from 1 for each group and part.
 
     Part ``pair``: every other source of the language, with the divergence of the two over all kept terms (0 without
@@ -190,9 +190,10 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     of its documents or more. Null texts, languages and sources count as empty ones; a repeated row is a document of
     its own; a group without terms has base shares only; an only source has no pairs; an empty table gives no rows.
     Extra columns are not read. Texts are read once; from then on there is a row for a term and group at most. A
-    hot source costs nothing extra after its texts are counted; a language's terms and groups are dealt in tiles, and
-    ``parts`` deals the light terms' shares further.
+    hot source costs nothing extra after its texts are counted; a language's terms and groups are dealt in tiles (``tile``:
+    groups a side, terms), and ``parts`` deals the light terms' shares further.
     """
+    tile_groups, tile_terms = tile
     counts = materialize(term_counts(docs, lang_col, source_col, text_col), "divergence-counts")
     by_term = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("df").alias("df"), F.count("*").alias("n_groups")).where(F.col("df") >= least_docs)
     vocab = materialize(by_term.drop("df").withColumn("tid", F.monotonically_increasing_id()), "divergence-terms")
@@ -202,29 +203,29 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     names = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source")))).distinct()
     v = F.coalesce("v", F.lit(0))
     groups = names.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select(
-        "lang", "source", v.alias("v"), F.coalesce("total", F.lit(0)).alias("total"), "total_lang", F.ceil(F.coalesce("n_heavy", F.lit(0)) / TILE_TERMS).alias("term_blocks"),
+        "lang", "source", v.alias("v"), F.coalesce("total", F.lit(0)).alias("total"), "total_lang", F.ceil(F.coalesce("n_heavy", F.lit(0)) / tile_terms).alias("term_blocks"),
         (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("gid"), F.count("*").over(Window.partitionBy("lang")).alias("n"),
     )
     base = F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("v"))).otherwise(1)
-    groups = materialize(groups.select("lang", "source", "gid", "v", "total", "total_lang", "term_blocks", base.alias("p0"), F.ceil(F.col("n") / TILE_GROUPS).alias("group_blocks")), "divergence-groups")
+    groups = materialize(groups.select("lang", "source", "gid", "v", "total", "total_lang", "term_blocks", base.alias("p0"), F.ceil(F.col("n") / tile_groups).alias("group_blocks")), "divergence-groups")
     p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("n_lang"), F.col("total_lang"), F.col("v"))
     shares = materialize(kept.join(groups, ["lang", "source"]).select("lang", "source", "gid", "term", "tid", "n_groups", "p0", p.alias("p"), q.alias("q"), "group_blocks", "term_blocks"), "divergence-shares")
 
     # every row of a group goes to the tiles of its block with every other block
-    own = F.floor(F.col("gid") / TILE_GROUPS)
+    own = F.floor(F.col("gid") / tile_groups)
     unit = F.transform(F.sequence(F.lit(0).cast("long"), F.col("group_blocks") - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y")))
     numbered = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     at = lambda df: df.withColumn("u", F.explode(unit)).withColumns({"x": F.col("u.x"), "y": F.col("u.y")})
 
     dense_rows = at(shares.where(F.col("n_groups") > heavy)).select("lang", F.pmod(F.xxhash64("tid"), "term_blocks").alias("tb"), "x", "y", "gid", "tid", "p")
     dense_base = at(groups.where("term_blocks > 0").withColumn("tb", numbered(F.col("term_blocks")))).select("lang", "tb", "x", "y", "gid", F.lit(-1).cast("long").alias("tid"), F.col("p0").alias("p"))
-    dense = dense_rows.unionByName(dense_base).groupBy("lang", "tb", "x", "y").applyInArrow(dense_tile, _SUMS)
+    dense = dense_rows.unionByName(dense_base).groupBy("lang", "tb", "x", "y").applyInArrow(lambda key, table: dense_tile(key, table, tile_groups), _SUMS)
 
     light = shares.where(F.col("n_groups") <= heavy)
     by_share = light.groupBy("lang", "gid", "group_blocks", "p").agg(F.count("*").alias("k"))
     single_rows = at(by_share).select("lang", "x", "y", F.pmod(F.xxhash64("p"), F.lit(parts)).alias("part"), "gid", "p", "k", F.lit(0).cast("long").alias("v"))
     single_base = at(groups.withColumn("part", numbered(F.lit(parts).cast("long")))).select("lang", "x", "y", "part", "gid", F.col("p0").alias("p"), F.lit(0).cast("long").alias("k"), "v")
-    single = single_rows.unionByName(single_base).groupBy("lang", "x", "y", "part").applyInArrow(single_tile, _SUMS)
+    single = single_rows.unionByName(single_base).groupBy("lang", "x", "y", "part").applyInArrow(lambda key, table: single_tile(key, table, tile_groups), _SUMS)
 
     postings = light.groupBy("lang", "tid").agg(F.sort_array(F.collect_list(F.struct("gid", "p", "p0"))).alias("postings")).where(F.size("postings") > 1)
     sparse = postings.select("lang", "postings").mapInArrow(lean(_posting_pairs), _SUMS)
