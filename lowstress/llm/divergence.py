@@ -30,7 +30,7 @@ WHOLE = 1_000_000_000
 #: Terms in more groups of their language than this are heavy.
 HEAVY = 8
 #: Groups and terms of a dense tile.
-TILE_GROUPS, TILE_TERMS = 64, 4096
+TILE_GROUPS, TILE_TERMS = 64, 512
 #: Bytes of text whose words are held as arrays at once.
 SLICE = 1 << 22
 #: Separators of terms: every ASCII byte that is no letter.
