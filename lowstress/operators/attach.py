@@ -12,6 +12,7 @@ from lowstress import lookups as L
 from lowstress.functions import geo
 from lowstress.lookups import Thresholds
 from lowstress.operators.refine import gap_length, with_midpoint
+from lowstress.operators.pyramid import nearest_anywhere
 from lowstress.operators.spatial import grid_join, grid_join_limit
 
 T = Thresholds()
@@ -53,14 +54,9 @@ def end_labels(gaps: DataFrame, roads: DataFrame, key: str = "ord") -> DataFrame
     return out.select(key, F.coalesce("f", F.lit("Unknown")).alias("from_street"), F.coalesce("t", F.lit("Unknown")).alias("to_street"))
 
 
-def nearest_named_road(points: DataFrame, roads: DataFrame, key: str, radii: tuple[float, ...] = (150, 1_500, 15_000, 150_000)) -> DataFrame:
-    """(key, road, dist): the nearest road with a name, looked for in growing rings of up to 150 km."""
-    named, left, found = _road_points(roads.where("name <> ''")), points.select(key, "lat", "lon"), None
-    for radius in radii:
-        best = grid_join(left, named, radius).groupBy(key).agg(F.min(F.struct("dist", "way_id", "road")).alias("m")).select(key, "m.road", "m.dist")
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best, key, "left_anti")
-    return found
+def nearest_named_road(points: DataFrame, roads: DataFrame, key: str) -> DataFrame:
+    """(key, way_id, road, dist): the nearest road with a name, however far."""
+    return nearest_anywhere(points.select(key, "lat", "lon"), _road_points(roads.where("name <> ''")), key, ["way_id"], ["road"])
 
 
 def follows_road(gaps: DataFrame, roads: DataFrame, key: str = "ord", tolerance: float = T.connector_tolerance, samples: int = T.connector_samples, least: float = 0.5) -> DataFrame:

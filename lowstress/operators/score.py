@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lowstress import lookups as L
 from lowstress.functions import geo, tags
 from lowstress.lookups import Thresholds
+from lowstress.operators.pyramid import nearest_anywhere
 from lowstress.operators.refine import with_midpoint
 from lowstress.operators.spatial import grid_join
 
@@ -96,18 +97,10 @@ def destinations(gaps: DataFrame, places: DataFrame) -> DataFrame:
     return gaps.select("gap_id").join(total, "gap_id", "left").select("gap_id", F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0)) / 5.0).alias("dest_score"))
 
 
-def nearest_point(gaps: DataFrame, points: DataFrame, value: str, radii: tuple[float, ...] = (3_000, 30_000, 300_000, 3_000_000, 21_000_000)) -> DataFrame:
-    """(gap_id, value, dist) of the nearest point, however far: rings of growing radius, each only for what is left.
-
-    The last ring spans the globe; it and the one before serve gaps without a point in 300 km, a handful in any real data.
-    """
-    left, found = with_midpoint(gaps).select("gap_id", "lat", "lon"), None
-    p = points.select(F.col(value).alias("v"), F.col("ord").alias("o"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    for radius in radii:
-        best = grid_join(left, p, radius).groupBy("gap_id").agg(F.min(F.struct("dist", "o", "v")).alias("m")).select("gap_id", F.col("m.v").alias(value), F.col("m.dist").alias("dist"))
-        found = best if found is None else found.unionByName(best)
-        left = left.join(best, "gap_id", "left_anti")
-    return found
+def nearest_point(gaps: DataFrame, points: DataFrame, value: str) -> DataFrame:
+    """(gap_id, value, dist) of the point nearest to each gap's midpoint, however far; ties by ``ord``."""
+    p = points.select("ord", value, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    return nearest_anywhere(with_midpoint(gaps).select("gap_id", "lat", "lon"), p, "gap_id", ["ord"], [value]).select("gap_id", value, "dist")
 
 
 def equity(gaps: DataFrame, areas: DataFrame) -> DataFrame:

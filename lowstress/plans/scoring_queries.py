@@ -233,9 +233,7 @@ def follows_road(spark, d):
 def nearest_named_road(spark, d):
     from lowstress.operators.attach import nearest_named_road as f
 
-    near = f(_mid(spark, d), roads(spark, d), "gap_id")
-    first = S.nearest(_mid(spark, d).join(near.select("gap_id"), "gap_id", "left_semi"), _road_points(spark, d).where("road <> ''"), "gap_id", 2500, ["way_id"])
-    return near.join(first.select("gap_id", "way_id"), "gap_id").select("gap_id", "way_id", r(F.col("dist")).alias("dist"))
+    return f(_mid(spark, d), roads(spark, d), "gap_id").select("gap_id", "way_id", r(F.col("dist")).alias("dist"))
 
 
 @query("uncovered_gaps", gsql(f"""select gap_id from ctx g where gap_type = 'dangling' and not exists (select 1 from ctx e where e.gap_type <> 'dangling'
