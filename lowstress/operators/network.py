@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lowstress import lookups as L
 from lowstress.functions import geo, tags
 from lowstress.graph.components import connected_components
+from lowstress.operators.ranking import ranked
 from lowstress.operators.spatial import grid_join
 
 ROADS = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "service")
@@ -109,8 +110,7 @@ def component_stats(edges: DataFrame, comp: DataFrame) -> DataFrame:
     size = comp.groupBy("component").agg(F.count("*").alias("size"))
     length = edges.join(comp, edges.a == comp.node).groupBy("component").agg(F.sum("length_m").alias("length_m"))
     out = size.join(length, "component")
-    # one row per component: the ranking window is global by nature, so it sees three numbers a row
-    return out.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1).cast("long"))
+    return ranked(out, "rank", F.desc("size"), "component").withColumn("rank", F.col("rank") - 1)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lowstress import lookups as L
 from lowstress.functions import geo, tags
+from lowstress.graph.cells import CELL_NODES, curve
+from lowstress.graph.greedy import ONE_TASK, greedily_dropped
 from lowstress.lookups import Thresholds
 from lowstress.operators.ranking import ranked
 from lowstress.operators.spatial import grid_join, grid_join_limit
@@ -76,25 +78,18 @@ def conflicts(gaps: DataFrame, separation: Column | float, within: str | None =
     return out.distinct()
 
 
-def greedy_dedup(gaps: DataFrame, separation: Column | float = T.dedup, within: str | None = None) -> DataFrame:
-    """What a greedy pass in priority order keeps (one pass for each value of ``within``, if given), found in rounds.
+def greedy_dedup(gaps: DataFrame, separation: Column | float = T.dedup, within: str | None = None, tile: int = CELL_NODES, one_task: int = ONE_TASK) -> DataFrame:
+    """What a greedy pass in priority order keeps (one pass for each value of ``within``, if given).
 
-    A gap without undecided better neighbours stays; its neighbours go; repeat. That is the sequential
-    result, whatever the number of partitions. Gaps without coordinates are left out.
+    Conflicts are settled tile by tile, ``tile`` gaps that lie near each other in one (see ``graph.greedy``). That is the
+    sequential result, whatever the number of partitions. Gaps without coordinates are left out.
     """
     g = checkpoint(dedup_order(gaps.where("start_lat is not null and end_lat is not null").withColumn("len_m", gap_length())))
     pairs = checkpoint(conflicts(g, separation, within))
-    open_, kept = g.select("prio"), None
-    while True:  # each round decides one gap at least
-        better = pairs.select(F.col("lo").alias("prio")).distinct()
-        stay = checkpoint(open_.join(better, "prio", "left_anti"))
-        kept = stay if kept is None else kept.unionByName(stay)
-        go = pairs.join(stay.withColumnRenamed("prio", "hi"), "hi", "left_semi").select(F.col("lo").alias("prio")).distinct()
-        open_ = checkpoint(open_.join(stay, "prio", "left_anti").join(go, "prio", "left_anti"))
-        if open_.isEmpty():
-            break
-        pairs = checkpoint(pairs.join(open_.withColumnRenamed("prio", "hi"), "hi", "left_semi").join(open_.withColumnRenamed("prio", "lo"), "lo", "left_semi"))
-    return g.join(kept, "prio", "left_semi") if kept is not None else g
+    some = pairs.select(F.explode(F.array("hi", "lo")).alias("prio")).distinct()
+    placed = with_midpoint(g.join(some, "prio", "left_semi")).select(F.col("prio").alias("node"), curve(geo.node_key(F.col("lat"), F.col("lon"))).alias("z"))
+    tiles = ranked(placed, "n", "z", "node").select("node", F.floor((F.col("n") - 1) / tile).cast("long").alias("tile"))
+    return g.join(greedily_dropped(pairs, tiles, one_task).withColumnRenamed("node", "prio"), "prio", "left_anti")
 
 
 def number_gaps(gaps: DataFrame) -> DataFrame:

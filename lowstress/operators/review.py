@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lowstress.lookups import FALSE_POSITIVE_REASONS, GAP_PRIORITY
+from lowstress.operators.ranking import ranked
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
@@ -16,8 +17,8 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
 def active_rank(scored: DataFrame, dismissed: DataFrame) -> DataFrame:
     """Adds dismissed and active_rank: the rank among gaps that are not dismissed, null for those that are."""
     out = scored.join(dismissed.select("gap_id", F.lit(True).alias("d")).distinct(), "gap_id", "left").withColumn("dismissed", F.coalesce("d", F.lit(False))).drop("d")
-    rank = F.row_number().over(Window.partitionBy("dismissed").orderBy(F.desc("composite"), "ord"))
-    return out.withColumn("active_rank", F.when(~F.col("dismissed"), rank))
+    # active ones come first, so their places are their ranks
+    return ranked(out, "active_rank", "dismissed", F.desc("composite"), "ord").withColumn("active_rank", F.when(~F.col("dismissed"), F.col("active_rank").cast("int")))
 
 
 def by_reason(dismissed: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lowstress import lookups as L
 from lowstress.functions import geo, tags
 from lowstress.lookups import Thresholds
 from lowstress.operators.pyramid import nearest_anywhere
+from lowstress.operators.ranking import ranked
 from lowstress.operators.refine import with_midpoint
 from lowstress.operators.spatial import grid_join
 
@@ -131,7 +132,7 @@ def composite(gaps: DataFrame) -> DataFrame:
         .otherwise(0.0)
     )
     out = gaps.withColumn("composite", F.round(F.least(F.lit(1.0), raw + plan + more) * 100, 1))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("composite"), "ord"))).withColumn("band", tags.priority_band(F.col("composite")))
+    return ranked(out.withColumn("band", tags.priority_band(F.col("composite"))), "rank", F.desc("composite"), "ord").withColumn("rank", F.col("rank").cast("int"))
 
 
 def score_gaps(gaps: DataFrame, places: DataFrame, areas: DataFrame, spines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from lowstress.graph.components import connected_components
+from lowstress.graph.greedy import greedily_dropped
 from lowstress.graph.paths import betweenness, shortest_paths
 from lowstress.lookups import Thresholds
 from lowstress.operators import refine
@@ -69,6 +70,7 @@ def test_dedup_rounds_equal_the_greedy_pass(spark):
 
     gaps = view(spark, "/root/testdata/sf0.001", "fx_gaps")
     kept = {r.gap_id for r in refine.greedy_dedup(gaps).collect()}
+    assert kept == {r.gap_id for r in refine.greedy_dedup(gaps, tile=40, one_task=10).collect()}
     rows = refine.dedup_order(gaps.withColumn("len_m", refine.gap_length())).orderBy("prio").collect()
     import math
 
@@ -103,3 +105,18 @@ def test_components_by_rounds_equal_those_of_one_task(spark):
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
     for one_task in (1 << 20, 100, 0):
         assert {r.node: r.component for r in connected_components(df, one_task=one_task).collect()} == want
+
+
+def test_greedy_pass_over_tiles_of_any_size(spark):
+    rnd = random.Random(9)
+    n = 120
+    pairs = {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(260)} | {(i, i + 1) for i in range(n, n + 60)}  # the chain decides one after another
+    gone = set()
+    for lo in range(n + 61):
+        if any(b == lo and a not in gone for a, b in pairs):
+            gone.add(lo)
+    df = spark.createDataFrame(sorted(pairs), "hi long, lo long").repartition(4)
+    for size, one_task in ((10**6, 1 << 20), (25, 0), (1, 40), (10**6, 0)):
+        tiles = spark.createDataFrame([(i, i // size if i >= n else i % (n // min(n, size))) for i in range(n + 61)], "node long, tile long")
+        assert {r.node for r in greedily_dropped(df, tiles, one_task).collect()} == gone
+    assert greedily_dropped(df.limit(0), tiles).count() == 0
