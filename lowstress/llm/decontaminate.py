@@ -65,7 +65,7 @@ def scale_of(n: int) -> int:
 class Index:
     """Postings of each word: items in ascending order with weights (share of the item's own score), and block maxima."""
 
-    ids: list[int]
+    ids: list[int | None]
     words: np.ndarray  # sorted word hashes
     best: np.ndarray  # largest weight of each
     postings: list[tuple[list[int], list[float], list[float]]]
@@ -204,7 +204,7 @@ class Index:
         row, start, end = self.passages(words, offs)
         if not len(row) or not len(self.words):
             return []
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        best: dict[tuple[int, bool, int], tuple[float, float, float]] = {}
         for p in self.promising(words, offs, row):
             part = slice(start[p], end[p])
             own = np.unique(words[part])
@@ -213,17 +213,17 @@ class Index:
                 share = lambda half: len(half[1] & grams(words[part], half[0])) / len(half[1]) if half[1] else 1.0  # noqa: E731, B023
                 q, a = share(self.question[item]), share(self.answer[item])
                 if min(q, a) * 100 >= COVER:
-                    pair = (int(row[p]), self.ids[item])
+                    pair = (int(row[p]), self.ids[item] is None, self.ids[item] or 0)
                     best[pair] = max(best.get(pair, (0.0, 0.0, 0.0)), (score, q, a))
-        return [(r, i, *x) for (r, i), x in sorted(best.items())]
+        return [(r, None if nameless else i, *x) for (r, nameless, i), x in sorted(best.items())]
 
 
 def shards(items: DataFrame, id_col: str, text_col: str):
     """Indexes of the items, each of one class of lengths and within the shard bounds; items without words are left out."""
     n = F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+"))
     kind = F.greatest(F.lit(0), F.ceil(F.log2(n / (ROOM * STEP)) - 1e-9)).cast("int")
-    rows = items.where(F.col(id_col).isNotNull() & (n > 0)).select(kind.alias("_class"), F.col(id_col).cast("long"), F.col(text_col)).orderBy("_class", id_col, text_col)
-    held: list[tuple[int, str]] = []
+    rows = items.where(n > 0).select(kind.alias("_class"), F.col(id_col).cast("long"), F.col(text_col)).orderBy("_class", id_col, text_col)
+    held: list[tuple[int | None, str]] = []
     chars = last = 0
     for c, i, t in rows.toLocalIterator():
         if held and (c != last or len(held) >= SHARD_ITEMS or chars + len(t) > SHARD_CHARS):
@@ -247,8 +247,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     shards, and a benchmark of many shards (or classes: the length in words, by powers of two) costs as
     many passes.
 
-    Rows of one id yield their own rows each; null and empty texts contain nothing; an empty table or
-    benchmark gives no rows; other columns are not read.
+    Before a passage queries the index, an exact bound (``Index.promising``: the items' essential words) leaves out
+    those that can reach no item's threshold. Rows of one id yield their own rows each; null and empty texts
+    contain nothing; items without an id count like others and are reported together with a null item_id; an
+    empty table or benchmark gives no rows; other columns are not read.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -15,6 +15,8 @@ from lowstress.llm.sampling import per_class_sample
 SPACE, SIZES, LANDMARKS, RIDGE, SHARP = 1 << 14, (1, 2, 3), 240, 1e-2, 6.0
 #: Bounds of the fitting sample: documents per language, and the length of those it may hold.
 SAMPLE_PER_LANG, SAMPLE_CHARS, SAMPLE_LANGS = 400, 20_000, 200
+#: Documents of the whole sample; the driver holds SPACE floats for each (260 MB).
+SAMPLE_TOTAL = 4000
 UNDETERMINED = "und"
 _PIECE = 1 << 20
 
@@ -73,10 +75,13 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most SAMPLE_PER_LANG documents of each of the SAMPLE_LANGS most frequent languages."""
+    """Fit on at most SAMPLE_PER_LANG documents of each of the SAMPLE_LANGS most frequent languages, and SAMPLE_TOTAL in all.
+
+    Rarer languages are not learned; of equally frequent ones the first by name are.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
-    sample = per_class_sample(rows, ["lang"], "id", SAMPLE_PER_LANG).orderBy("lang", "id").limit(SAMPLE_PER_LANG * SAMPLE_LANGS).toPandas()
+    sample = per_class_sample(rows, ["lang"], "id", SAMPLE_PER_LANG, SAMPLE_LANGS, SAMPLE_TOTAL).orderBy("lang", "id").toPandas()
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
