@@ -143,7 +143,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, weight: str = "length_m",
     stops when no label is left that could shorten a path. That is exact; rounds grow with the cells that a path
     crosses. A label remembers where it entered and left cells; the nodes between are filled in at the end.
 
-    Pairs of different components have no row, and only components that hold a pair are read. Equal ends have a
+    Edges without a (finite) weight are not used. Pairs of different components have no row, and only components that hold a pair are read. Equal ends have a
     path of one node and cost 0. Of several shortest paths the one that ties settle (smaller nodes) is returned.
     """
     spark = edges.sparkSession
@@ -152,7 +152,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, weight: str = "length_m",
     p = checkpoint(p.select("pair_id", "source", "target", "component"))
     inside = comp.join(p.select("component").distinct(), "component", "left_semi")
     cells = checkpoint(bounded_cells(inside, cell_nodes))
-    e = edges.select("a", "b", F.col(weight).cast("double").alias("w")).where("a <> b")
+    e = edges.select("a", "b", F.col(weight).cast("double").alias("w")).where((F.col("a") != F.col("b")) & (F.col("w") < float("inf")))
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"), "w"))
     at = lambda end: cells.select(F.col("node").alias(end), F.col("cell").alias(f"{end}_cell"))
     links = both.join(at("u"), "u").join(at("v"), "v").groupBy(F.col("u_cell").alias("cell")).agg(F.collect_list(F.struct("u", "v", "v_cell", "w")).alias("links"))

@@ -31,23 +31,34 @@ def lts_context(gaps: DataFrame) -> DataFrame:
     return out.withColumn("lts_score", tags.lookup(F.col("context"), L.CONTEXT_SCORE, 0.5))
 
 
-def facility_choice(barrier: Column, speed: Column, aadt: Column, start: Column, end: Column) -> Column:
-    """The recommended facility type from a road's speed and volume and the facilities at both ends."""
+def facility_case(barrier: Column, speed: Column, aadt: Column, start: Column, end: Column) -> Column:
+    """The case (a key of ``BASIS``) that a road's speed and volume and the facilities at both ends make."""
     guarded = start.isin("protected_track", "shared_path") | end.isin("protected_track", "shared_path")
     return (
         F.when(barrier, "barrier_crossing")
         .when((speed > 60) | (aadt > 8000), "grade_separated_path")
         .when((speed >= 50) | (aadt >= 3000), "protected_cycle_track")
-        .when((speed >= 40) | (aadt >= 1000), F.when(F.coalesce(guarded, F.lit(False)), "protected_cycle_track").otherwise("painted_cycle_lane"))
+        .when((speed >= 40) | (aadt >= 1000), F.when(F.coalesce(guarded, F.lit(False)), "protected_by_ends").otherwise("painted_cycle_lane"))
         .otherwise("shared_roadway")
     )
 
 
+def facility_choice(barrier: Column, speed: Column, aadt: Column, start: Column, end: Column) -> Column:
+    """The recommended facility type."""
+    case = facility_case(barrier, speed, aadt, start, end)
+    return F.when(case == "protected_by_ends", "protected_cycle_track").otherwise(case)
+
+
 def recommend(gaps: DataFrame) -> DataFrame:
+    """Adds recommended (the type), facility_short, lts_achievable, cost_tier and otm18_basis."""
     speed = F.when(F.coalesce("road_maxspeed", F.lit(0)) == 0, 50).otherwise(F.col("road_maxspeed"))
     proxy = F.when(F.col("road_highway").isNull(), "unknown").otherwise(tags.aadt_proxy(F.col("road_highway")))
     aadt = tags.lookup(proxy, L.AADT_MIDPOINT, L.AADT_DEFAULT)
-    return gaps.withColumn("recommended", facility_choice(F.col("crosses_barrier"), speed, aadt, F.col("start_facility"), F.col("end_facility")))
+    case = facility_case(F.col("crosses_barrier"), speed, aadt, F.col("start_facility"), F.col("end_facility"))
+    out = gaps.withColumn("_case", case)
+    out = out.withColumns({"otm18_basis": tags.lookup(F.col("_case"), L.BASIS, ""), "recommended": F.when(F.col("_case") == "protected_by_ends", "protected_cycle_track").otherwise(F.col("_case"))}).drop("_case")
+    kind = F.col("recommended")
+    return out.withColumns({"facility_short": tags.lookup(kind, L.FACILITY_SHORT, ""), "lts_achievable": tags.lookup(kind, L.LTS_ACHIEVABLE, 2), "cost_tier": tags.lookup(kind, L.COST_TIER, "unknown")})
 
 
 def with_length(gaps: DataFrame) -> DataFrame:
@@ -121,8 +132,8 @@ def spine_proximity(gaps: DataFrame, spines: DataFrame) -> DataFrame:
 
 def composite(gaps: DataFrame) -> DataFrame:
     """Adds composite (0 to 100) and rank. Needs all partial scores."""
-    conn = 0.55 * F.col("conn_base") + 0.20 * F.col("spine_score") + 0.25 * F.col("sep_score")
-    raw = L.WEIGHTS["connectivity"] * conn + L.WEIGHTS["buildability"] * F.col("build_score") + L.WEIGHTS["destination"] * F.col("dest_score") + L.WEIGHTS["lts"] * F.col("lts_score") + L.WEIGHTS["equity"] * F.col("equity_score")
+    gaps = gaps.withColumn("conn_score", 0.55 * F.col("conn_base") + 0.20 * F.col("spine_score") + 0.25 * F.col("sep_score"))
+    raw = L.WEIGHTS["connectivity"] * F.col("conn_score") + L.WEIGHTS["buildability"] * F.col("build_score") + L.WEIGHTS["destination"] * F.col("dest_score") + L.WEIGHTS["lts"] * F.col("lts_score") + L.WEIGHTS["equity"] * F.col("equity_score")
     plan = F.when(F.col("plan_match"), 0.05).otherwise(0.0)
     same = (F.col("start_facility") == F.col("end_facility")) & F.col("start_facility").isin("protected_track", "cycle_lane", "shared_path")
     more = (

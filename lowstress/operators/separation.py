@@ -1,4 +1,4 @@
-"""Operators that need network distances: detours, separation of gap ends, routes over the road network."""
+"""Operators that need distances along the cycling network: detours, separation of gap ends."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from lowstress.functions import geo
 from lowstress.graph.paths import shortest_paths
 from lowstress.lookups import Thresholds
 from lowstress.operators import network as N
-from lowstress.operators.route import compare, roll_up, segment_facility, weighted_edges, with_quality
 from lowstress.operators.spatial import grid_join, nearest
 from lowstress.storage import checkpoint
 
@@ -65,35 +64,3 @@ def separation(gaps: DataFrame, edges: DataFrame) -> DataFrame:
     out = out.withColumn("separation_ratio", ratio)
     keep = ~((F.col("separation_ratio") <= T.connected_ratio) & (F.col("straight_m") <= T.connected_length))
     return out.select("gap_id", "network_m", "separation_ratio", keep.alias("keep"))
-
-
-def route_gaps(gaps: DataFrame, roads: DataFrame, weight: str = "lts_cost", strategy: str = "lts") -> DataFrame:
-    """One row per gap: found, note, length, stress, cost and quality of its route over the road network.
-
-    Ends snap to road nodes within 300 m, else 1500 m. ``weight`` is lts_cost (comfort) or length_m.
-    """
-    if strategy not in ("lts", "shortest"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    roads = checkpoint(segment_facility(weighted_edges(roads)))
-    n = N.nodes(roads).select("node", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    snapped = gaps.select("gap_id", geo.haversine(F.col("start_lat"), F.col("start_lon"), F.col("end_lat"), F.col("end_lon")).alias("straight_line_m"))
-    for e in ("start", "end"):
-        at = gaps.select("gap_id", F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")).where("lat is not null and lon is not null")
-        close = nearest(at, n, "gap_id", 300, ["node"]).select("gap_id", "node")
-        far = nearest(at.join(close, "gap_id", "left_anti"), n, "gap_id", 1500, ["node"]).select("gap_id", "node")
-        snapped = snapped.join(close.unionByName(far).withColumnRenamed("node", e), "gap_id", "left")
-    snapped = checkpoint(snapped.withColumn("pair_id", F.xxhash64("gap_id")))
-    ask = snapped.where("start is not null and end is not null and start <> end").select("pair_id", F.col("start").alias("source"), F.col("end").alias("target"))
-    paths = checkpoint(shortest_paths(roads, ask, weight))
-    steps = paths.select("pair_id", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("u"), F.slice("path", 2, F.size("path") - 1).alias("v"))).alias("seq", "s"))
-    steps = steps.select("pair_id", "seq", F.least("s.u", "s.v").alias("a"), F.greatest("s.u", "s.v").alias("b"))
-    segments = steps.join(roads.select("a", "b", "length_m", "lts", "recommended"), ["a", "b"])
-    rolled = roll_up(segments, "pair_id")
-    out = snapped.join(rolled, "pair_id", "left").withColumn("found", F.col("total_length_m").isNotNull()).withColumn("fallback", F.lit(False))
-    note = F.when(F.col("start").isNull() | F.col("end").isNull(), "no road node near an end").when(F.col("start") == F.col("end"), "both ends at one road node").when(~F.col("found"), "no path")
-    return with_quality(out).withColumn("note", note).withColumn("strategy", F.lit(strategy)).drop("pair_id", "start", "end")
-
-
-def compare_strategies(gaps: DataFrame, roads: DataFrame) -> DataFrame:
-    """(gap_id, length_ratio, verdict) of the comfortable against the shortest routes."""
-    return compare(route_gaps(gaps, roads), route_gaps(gaps, roads, "length_m", "shortest"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lowstress.plans import network_queries, scoring_queries
+from lowstress.plans import network_queries, route_queries, scoring_queries
 
-_PARTS = (network_queries, scoring_queries)
+_PARTS = (network_queries, route_queries, scoring_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -264,22 +264,35 @@ def review_filters(spark, d):
     return out
 
 
-@query("final_table", gsql(f"""select gap_id, gap_type, cast(row_number() over (order by composite desc, ord) as int) as rank, composite as composite_score, round(len_m, 3) as straight_line_m, recommended as recommended_facility, crosses_barrier
+_SHORT_NAME = """case recommended when 'grade_separated_path' then 'Multi-use path (grade separated)' when 'protected_cycle_track' then 'Protected cycle track (physically separated)' when 'painted_cycle_lane' then 'Painted cycle lane'
+  when 'shared_roadway' then 'Signed shared roadway / neighbourhood greenway' else 'Barrier crossing \u2014 engineering review required' end"""
+_ACHIEVABLE = "case when recommended in ('painted_cycle_lane', 'shared_roadway') then 2 else 1 end"
+_TIER = "case recommended when 'grade_separated_path' then 'high' when 'protected_cycle_track' then 'medium-high' when 'barrier_crossing' then 'very high' else 'low' end"
+_BASIS = f"""case recommended when 'barrier_crossing' then 'Barrier crossing \u2014 OTM Book 18 Section 3.5' when 'grade_separated_path' then 'OTM Book 18 Fig 3-1: Speed >60 km/h or AADT >8,000 \u2192 grade-separated path'
+  when 'protected_cycle_track' then case when {_SPD} >= 50 or aadt >= 3000 then 'OTM Book 18 Fig 3-1: Speed 50-60 km/h or AADT 3,000-8,000 \u2192 protected cycle track'
+    else 'OTM Book 18 Fig 3-1: Speed 40-50 km/h + endpoint context (connecting to protected track) \u2192 protected cycle track recommended' end
+  when 'painted_cycle_lane' then 'OTM Book 18 Fig 3-1: Speed 40-50 km/h, AADT <3,000 \u2192 painted cycle lane' else 'OTM Book 18 Fig 3-1: Speed \u226430 km/h, low volume \u2192 shared roadway' end"""
+
+
+@query("final_table", gsql(f"""select cast(row_number() over (order by composite desc, ord) as int) as rank, gap_id, gap_type, '' as from_street, '' as to_street, composite as composite_score, round(len_m, 0) as straight_line_m,
+  {_SHORT_NAME} as recommended_facility, {_ACHIEVABLE} as lts_achievable, {_TIER} as cost_tier, crosses_barrier
   from comp left join {_DISMISSED} x using (gap_id) where x.reason is null""", "comp", "fx_decisions"))
 def final_table(spark, d):
     from lowstress.sources.sinks import final_table as f
 
-    return f(_ranked(spark, d)).select("gap_id", "gap_type", F.col("rank").cast("int").alias("rank"), "composite_score", r(F.col("straight_line_m")).alias("straight_line_m"), "recommended_facility", "crosses_barrier")
+    return f(_ranked(spark, d)).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query("gap_table", gsql("""select gap_id, rank, composite as composite_score, round(conn_base, 4) as score_connectivity, round(build_score, 6) as score_buildability, coalesce(connector_class, '') as connector_class, '' as from_street,
-  context as lts_context, c as corridor_lts, plan_match as master_plan_match, 'AADT proxy used \u2014 verify with municipal traffic model' as aadt_note from comp""", "comp"))
+@query("gap_table", gsql(f"""select rank, gap_id, gap_type, coalesce(connector_class, '') as connector_class, '' as from_street, '' as to_street, composite as composite_score,
+  round((0.55::double * conn_base + 0.20::double * spine_score + 0.25::double * sep_score) * 100, 1) as score_connectivity, round(build_score * 100, 1) as score_buildability, round(dest_score * 100, 1) as score_destination,
+  case context when 'completes_low_stress' then 100.0::double when 'reduces_stress' then 65.0::double else 30.0::double end as score_lts, round(equity_score * 100, 1) as score_equity,
+  start_lat, start_lon, end_lat, end_lon, round(len_m, 0) as straight_line_m, detour_factor, case when isinf(separation_ratio) then 'inf' else cast(round(separation_ratio, 2) as varchar) end as separation_ratio,
+  cast(null as double) as current_network_m, {_SHORT_NAME} as recommended_facility, {_ACHIEVABLE} as lts_achievable, {_TIER} as cost_tier, {_BASIS} as otm18_basis, start_facility, end_facility, context as lts_context,
+  c as corridor_lts, crosses_barrier, plan_match as master_plan_match, plan_match as plan_bonus_applied, 'AADT proxy used \u2014 verify with municipal traffic model' as aadt_note from comp""", "comp"))
 def gap_table(spark, d):
     from lowstress.sources.sinks import gap_table as f
 
-    out = f(scored(spark, d))
-    assert len(out.columns) == 32
-    return out.select("gap_id", "rank", "composite_score", r(F.col("score_connectivity"), 4).alias("score_connectivity"), r(F.col("score_buildability"), 6).alias("score_buildability"), "connector_class", "from_street", "lts_context", "corridor_lts", "master_plan_match", "aadt_note")
+    return f(scored(spark, d))
 
 
 @query("dismissal_advice", gsql(f"""select reason, n, case reason when 'Already connected' then coalesce(printf('raise the connected ratio to %.2f', ratio + 0.05::double), 'no values of these gaps')
@@ -379,22 +392,6 @@ def dedup(spark, d):
     return refine.number_gaps(refine.greedy_dedup(gaps(spark, d))).select("gap_id", "ord", "gap_type", "prio")
 
 
-@query("detour_gaps")
-def detour_gaps(spark, d):
-    from lowstress.operators.separation import detour_gaps as f
-    from lowstress.plans.network_queries import net
-
-    return f(net(spark, d)).select("source", "target", r(F.col("straight_m")).alias("straight_m"), r(F.col("network_m")).alias("network_m"), r(F.col("detour_factor"), 6).alias("detour_factor"))
-
-
-@query("separation")
-def separation(spark, d):
-    from lowstress.operators.separation import separation as f
-    from lowstress.plans.network_queries import net
-
-    return f(gaps(spark, d), net(spark, d)).select("gap_id", r(F.col("network_m")).alias("network_m"), r(F.col("separation_ratio"), 6).alias("separation_ratio"), "keep")
-
-
 @query("corridor_gaps")
 def corridor_gaps(spark, d):
     from lowstress.operators.corridor import corridor_gaps as f
@@ -402,20 +399,6 @@ def corridor_gaps(spark, d):
     return f(roads(spark, d)).select("name", "chain", "hole", "a", "b", r(F.col("length_m")).alias("length_m"))
 
 
-@query("lts_routes")
-def lts_routes(spark, d):
-    from lowstress.operators.separation import route_gaps
-
-    return route_gaps(gaps(spark, d), roads(spark, d)).select("gap_id", "found", "note", r(F.col("total_length_m"), 2).alias("total_length_m"), "worst_lts", "problem_pct", "complexity", "quality")
-
-
-@query("compared_routes")
-def compared_routes(spark, d):
-    from lowstress.operators.separation import compare_strategies
-
-    return compare_strategies(gaps(spark, d), roads(spark, d))
-
-
 @query("topology_clean")
 def topology_clean(spark, d):
     from lowstress.operators.clean import clean_topology

@@ -64,29 +64,42 @@ def write_csv(rows: DataFrame, path: str, order: str = "rank") -> None:
     rows.orderBy(order).write.csv(path, header=True)
 
 
-def _pick(rows: DataFrame, columns: tuple[str, ...], names: dict[str, str], fixed: dict[str, Column]) -> DataFrame:
-    """The columns in the given order, from those of other names or as null text where the rows have none."""
-    have = set(rows.columns)
-    value = lambda c: fixed[c] if c in fixed else F.col(c) if c in have else F.col(names[c]) if names.get(c) in have else F.lit(None).cast("string")
-    return rows.select(*[value(c).alias(c) for c in columns])
+def _pick(rows: DataFrame, columns: tuple[str, ...], values: dict[str, Column], optional: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in the given order, by ``values`` or the column of that name; those in ``optional`` are null text where the rows have none, others are an error."""
+    missing = [c for c in columns if c not in values and c not in rows.columns and c not in optional]
+    if missing:
+        raise ValueError(f"the rows lack {', '.join(missing)}")
+    return rows.select(*[(values[c] if c in values else F.col(c) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in columns])
 
 
-SCORES = {
-    "composite_score": "composite", "score_connectivity": "conn_base", "score_buildability": "build_score", "score_destination": "dest_score", "score_lts": "lts_score",
-    "score_equity": "equity_score", "straight_line_m": "len_m", "recommended_facility": "recommended", "lts_context": "context", "master_plan_match": "plan_match",
-}
+#: What some detectors do not find out.
+OPTIONAL = ("connector_class", "from_street", "to_street", "detour_factor")
+
+
+def _hundred(score: str) -> Column:
+    return F.round(F.col(score) * 100, 1)
+
+
+def _gap_values(scored: DataFrame) -> dict[str, Column]:
+    ratio = F.col("separation_ratio") if "separation_ratio" in scored.columns else F.lit(None).cast("double")
+    walked = F.col("current_network_m") if "current_network_m" in scored.columns else F.lit(None).cast("double")
+    return {
+        "composite_score": F.col("composite"), "score_connectivity": _hundred("conn_score"), "score_buildability": _hundred("build_score"), "score_destination": _hundred("dest_score"),
+        "score_lts": _hundred("lts_score"), "score_equity": _hundred("equity_score"), "straight_line_m": F.round("len_m", 0), "recommended_facility": F.col("facility_short"), "lts_context": F.col("context"),
+        "master_plan_match": F.col("plan_match"), "plan_bonus_applied": F.col("plan_match"), "current_network_m": F.round(walked, 0),
+        "separation_ratio": F.when(ratio == float("inf"), "inf").otherwise(F.round(ratio, 2).cast("string")), "aadt_note": F.lit(L.AADT_NOTE),
+    }
 
 
 def gap_table(scored: DataFrame) -> DataFrame:
-    """The gap table: 32 columns in a fixed order, the note on traffic volumes in each row; missing labels are empty."""
-    rows = _pick(scored, L.GAP_COLUMNS, SCORES, {"aadt_note": F.lit(L.AADT_NOTE)})
-    return rows.fillna("", subset=["connector_class", "from_street", "to_street"])
+    """The gap table: 32 columns in a fixed order (scores from 0 to 100), the note on traffic volumes in each row; missing labels are empty."""
+    return _pick(scored, L.GAP_COLUMNS, _gap_values(scored), OPTIONAL).fillna("", subset=["connector_class", "from_street", "to_street"])
 
 
 def final_table(scored: DataFrame) -> DataFrame:
     """Reviewed gaps: what is active, by active rank, in 11 columns."""
     active = scored.where("not dismissed").drop("rank").withColumnRenamed("active_rank", "rank")
-    return _pick(active, L.FINAL_COLUMNS, SCORES, {})
+    return _pick(active, L.FINAL_COLUMNS, _gap_values(active), OPTIONAL).fillna("", subset=["from_street", "to_street"])
 
 
 def final_features(scored: DataFrame) -> DataFrame:
@@ -95,27 +108,48 @@ def final_features(scored: DataFrame) -> DataFrame:
 
 
 def route_table(routes: DataFrame) -> DataFrame:
-    """The routes' summary rows; the columns of a comparison only if there is one."""
+    """The summary rows of ``routing.route_gaps``; the columns of a comparison only if there is one."""
     columns = L.ROUTE_COLUMNS + tuple(c for c in L.COMPARE_COLUMNS if c in routes.columns)
-    rows = _pick(routes, columns, {"route_found": "found", "fallback_route": "fallback", "estimated_cost_cad": "cost"}, {})
-    kinds = dict(rows.dtypes)
-    for c, d in (("total_length_m", 1), ("straight_line_m", 1), ("detour_ratio", 2), ("lts_problem_length_m", 1)):
-        rows = rows.withColumn(c, F.round(c, d)) if kinds[c] == "double" else rows
-    return rows.withColumn("notes", F.array_join("notes", "; ")) if kinds["notes"].startswith("array") else rows
+    digits = {"total_length_m": 1, "straight_line_m": 1, "detour_ratio": 2, "lts_problem_length_m": 1}
+    values = {c: F.round(c, d) for c, d in digits.items()} | {
+        "route_found": F.col("found"), "fallback_route": F.col("fallback"), "estimated_cost_cad": F.round("estimated_cost", 0).cast("long"), "notes": F.array_join("notes", "; "),
+    }
+    return _pick(routes, columns, values)
 
 
 def route_features(points: DataFrame, routes: DataFrame) -> DataFrame:
     """(feature): the gaps' points as they came, then a line for each route that was found.
 
-    ``routes`` has ``parts``, array<array<struct<lat, lon>>>: one part is a LineString, several a MultiLineString.
+    A route of one segment is a LineString, one of several a MultiLineString with a part for each.
     """
     coords = F.transform("parts", lambda p: F.transform(p, lambda q: F.array(q["lon"], q["lat"])))
-    names = [c for c in routes.columns if c != "parts"]
-    feature = lambda kind, c: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), c.alias("coordinates")).alias("geometry"), F.struct(*names).alias("properties")))
+    compared = [F.struct(*[F.col(c).alias(c.removeprefix("compare_")) for c in L.COMPARE_COLUMNS]).alias("compare")] if L.COMPARE_COLUMNS[-1] in routes.columns else []
+    properties = F.struct(
+        "gap_id", "gap_type", "strategy", "from_street", "to_street", "found", "fallback", F.round("total_length_m", 1).alias("total_length_m"), F.round("straight_line_m", 1).alias("straight_line_m"),
+        F.round("detour_ratio", 2).alias("detour_ratio"), "worst_lts", F.round("lts_problem_length_m", 1).alias("lts_problem_length_m"), "lts_problem_pct", "upgrade_complexity", "dominant_facility",
+        F.round("estimated_cost", 0).cast("long").alias("estimated_cost"), "route_quality", *compared, "notes", "segments",
+    )
+    feature = lambda kind, c: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), c.alias("coordinates")).alias("geometry"), properties.alias("properties")))
     lines = routes.where("found").select(F.when(F.size("parts") == 1, feature("LineString", coords[0])).otherwise(feature("MultiLineString", coords)).alias("feature"))
     return points.select("feature").unionByName(lines)
 
 
+#: Strategy -> what its files' names end with.
+SUFFIX = {"lts": "", "shortest": "_shortest", "compare": "_compare"}
+
+
+def write_routes(gaps: DataFrame, routes: DataFrame, folder: str, region: str, strategy: str = "lts") -> dict[str, str]:
+    """Writes the routes of ``routing.route_gaps``: features (with the gaps' points), summary rows and the map; returns the paths by name."""
+    base = f"{folder.rstrip('/')}/{region.lower().replace(' ', '_')}_routes{SUFFIX[strategy]}"
+    paths = {"geojson": f"{base}.geojson", "csv": f"{base}_summary.csv", "map": f"{base}_map.html"}
+    points = gap_features(gaps).where("part = 0").select("feature")
+    write_geojson(route_features(points, routes), paths["geojson"])
+    write_csv(route_table(routes), paths["csv"], "gap_id")
+    page = routes_page(routes, f"{region} routes")
+    gaps.sparkSession.createDataFrame([(page,)], "value string").coalesce(1).write.text(paths["map"])
+    return paths
+
+
 def destination_features(places: DataFrame, *names: str) -> DataFrame:
     return places.select(F.to_json(F.struct(F.lit("Feature").alias("type"), _point(F.col("lat"), F.col("lon")).alias("geometry"), F.struct(*names).alias("properties"))).alias("feature"))
 
@@ -171,9 +205,9 @@ rows.forEach((r, i) => {{
 
 def routes_page(routes: DataFrame, title: str) -> str:
     """The map of found routes, with the number of each quality and the total cost."""
-    got = routes.where("found").groupBy("route_quality").agg(F.count("*").alias("n"), F.sum("cost").alias("cost")).orderBy("route_quality").collect()
+    got = routes.where("found").groupBy("route_quality").agg(F.count("*").alias("n"), F.sum("estimated_cost").alias("cost")).orderBy("route_quality").collect()
     counts = {r["route_quality"]: r["n"] for r in got} | {"total cost": round(sum(r["cost"] or 0 for r in got))}
-    return map_page(routes.where("found"), title, "gap_id", counts)
+    return map_page(routes.where("found").drop("parts", "segments"), title, "gap_id", counts)
 
 
 def dismissed_sidecar(decisions: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lowstress import lookups as L
+from lowstress.functions import geo
+from lowstress.operators import routing
 from lowstress.sources import readers, sinks
 
 
@@ -65,14 +67,20 @@ def test_fetching_tries_all_mirrors(spark):
 def scored(spark):
     rows = [("GAP-001", "island", 70.0, 1, "<A>", 43.0, -80.0, 43.1, -80.1, True, 1), ("GAP-002", "dangling", 50.0, 2, "B", 43.2, -80.0, 43.3, -80.1, False, None)]
     out = spark.createDataFrame(rows, "gap_id string, gap_type string, composite double, rank int, from_street string, start_lat double, start_lon double, end_lat double, end_lon double, crosses_barrier boolean, active_rank int")
-    return out.withColumn("dismissed", F.col("active_rank").isNull()).withColumn("len_m", F.lit(12.0)).withColumn("band", F.lit("high"))
+    out = out.withColumn("dismissed", F.col("active_rank").isNull()).withColumn("len_m", F.lit(12.4)).withColumn("band", F.lit("high"))
+    scores = {c: F.lit(0.1234) for c in ("conn_score", "build_score", "dest_score", "lts_score", "equity_score")}
+    words = {c: F.lit(c) for c in ("facility_short", "cost_tier", "otm18_basis", "start_facility", "end_facility", "context")}
+    return out.withColumns(scores | words | {"lts_achievable": F.lit(1), "corridor_lts": F.lit(3), "plan_match": F.lit(True), "separation_ratio": F.lit(float("inf"))})
 
 
 def test_tables(spark, tmp_path):
     t = sinks.gap_table(scored(spark))
     assert tuple(t.columns) == L.GAP_COLUMNS and len(t.columns) == 32
     r = t.where("rank = 1").first()
-    assert (r.composite_score, r.straight_line_m, r.to_street, r.aadt_note) == (70.0, 12.0, "", L.AADT_NOTE)
+    assert (r.composite_score, r.straight_line_m, r.to_street, r.aadt_note, r.score_lts, r.separation_ratio, r.recommended_facility) == (70.0, 12.0, "", L.AADT_NOTE, 12.3, "inf", "facility_short")
+    assert [c for c in t.columns if r[c] is None] == ["detour_factor", "current_network_m"]
+    with pytest.raises(ValueError, match="the rows lack otm18_basis"):
+        sinks.gap_table(scored(spark).drop("otm18_basis"))
     sinks.write_csv(t, str(tmp_path / "csv"))
     back = spark.read.csv(str(tmp_path / "csv"), header=True)
     assert back.columns == list(L.GAP_COLUMNS) and back.count() == 2
@@ -81,24 +89,56 @@ def test_tables(spark, tmp_path):
     assert sinks.final_features(scored(spark)).count() == 2
 
 
-def test_routes(spark, tmp_path):
-    p = "struct<lat: double, lon: double>"
-    rows = [("a", True, 10.04, [[(43.0, -80.0), (43.1, -80.0)]], ["x", "y"], "good", 5.0), ("b", True, 1.0, [[(1.0, 2.0), (3.0, 4.0)], [(5.0, 6.0), (7.0, 8.0)]], [], "poor", 2.0), ("c", False, 0.0, [], ["no path"], "", 0.0)]
-    routes = spark.createDataFrame(rows, f"gap_id string, found boolean, total_length_m double, parts array<array<{p}>>, notes array<string>, route_quality string, cost double")
-    t = sinks.route_table(routes)
-    assert tuple(t.columns) == L.ROUTE_COLUMNS
-    assert [(r.gap_id, r.route_found, r.total_length_m, r.notes) for r in t.orderBy("gap_id").collect()] == [("a", True, 10.0, "x; y"), ("b", True, 1.0, ""), ("c", False, 0.0, "no path")]
-    assert sinks.route_table(routes.withColumn("compare_verdict", F.lit("v"))).columns[-1] == "compare_verdict"
-    points = spark.createDataFrame([('{"type":"Feature"}',)], "feature string")
-    features = sinks.route_features(points, routes)
-    kinds = sorted(json.loads(r.feature).get("geometry", {"type": ""})["type"] for r in features.collect())
-    assert kinds == ["", "LineString", "MultiLineString"]
-    sinks.write_geojson(features.coalesce(1), str(tmp_path / "g"))
-    files = [x for x in (tmp_path / "g").iterdir() if x.name.startswith("part")]
-    assert sum(len(json.loads(x.read_text())["features"]) for x in files) == 3
-    ends = routes.withColumns({f"{e}_{c}": F.lit(43.0) for e in ("start", "end") for c in ("lat", "lon")})
-    page = sinks.routes_page(ends, "R & S")
-    assert "R &amp; S" in page and "total cost: 7" in page and "good: 1" in page
+def street(spark):
+    """A street west to east (quiet, then a trunk road, then quiet), a way around the trunk road, and a street far away."""
+    at = [(43.0, -80.0), (43.0, -79.99), (43.0, -79.98), (43.0, -79.97), (43.004, -79.985), (44.0, -80.0), (44.0, -79.99)]
+    ways = [(1, 0, 1, "residential", "A"), (2, 1, 2, "trunk", "T"), (3, 2, 3, "residential", None), (4, 1, 4, "residential", "N"), (5, 4, 2, "residential", "N"), (6, 5, 6, "residential", "B")]
+    rows = [(w, *at[a], *at[b], h, n) for w, a, b, h, n in ways]
+    e = spark.createDataFrame(rows, "way_id long, lat1 double, lon1 double, lat2 double, lon2 double, highway string, name string")
+    one, two = geo.node_key(F.col("lat1"), F.col("lon1")), geo.node_key(F.col("lat2"), F.col("lon2"))
+    return e.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"), "way_id", geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("length_m"), "highway", F.lit(0).alias("maxspeed"), F.lit(1).alias("lanes"), "name", F.lit("").alias("cycleway"), F.lit("<1000").alias("aadt_proxy"))
+
+
+def test_a_route_run_from_gaps_to_files(spark, tmp_path):
+    rows = [
+        ("g1", "island", "X", 43.0, -80.0, 43.0, -79.97, None, None), ("g2", "detour", None, None, None, 43.0, -79.97, 43.0, -80.0), ("g3", "dangling", "", 43.0, -80.0, None, None, 43.0, -80.0),
+        ("g4", "dangling", "", 43.0, -80.0, 43.0, -80.0, None, None), ("g5", "dangling", "", 43.0, -80.0, 44.0, -80.0, None, None), ("g6", "dangling", "", 43.0, -80.0, 50.0, 10.0, None, None),
+    ]
+    gaps = spark.createDataFrame(rows, "gap_id string, gap_type string, from_street string, start_lat double, start_lon double, end_lat double, end_lon double, lat double, lon double")
+    compared = routing.checkpoint(routing.route_gaps(gaps, street(spark), "compare"))
+    out = {r.gap_id: r for r in compared.collect()}
+    assert [out[g].found for g in sorted(out)] == [True, True, False, False, False, False]
+    assert [out[g].notes for g in ("g3", "g4", "g5", "g6")] == [[L.ROUTE_NOTES[n]] for n in ("no_end", "same_node", "no_path", "not_snapped")]
+    g = out["g1"]
+    assert [s.road_name for s in g.segments] == ["A", "N", "N", "Unnamed road"] and len(g.parts) == 4 and g.worst_lts == 2  # around the trunk road
+    assert g.parts[0][0].lon == -80.0 and g.parts[-1][-1].lon == -79.97 and out["g2"].start_lat == 43.0  # a gap without a start begins at its point
+    assert (g.compare_verdict, g.compare_shortest_worst_lts) == ("detour_buys_comfort" if g.compare_length_ratio > 1.1 else "comfort_for_free", 4)
+    assert (out["g5"].compare_verdict, out["g5"].total_length_m, out["g5"].route_quality, out["g5"].worst_lts) == ("incomplete", 0.0, "", 1)
+    # an edge without a cost cuts the comfortable way: the shortest one steps in, and says so
+    holes = routing.road_graph(street(spark)).withColumn("lts_cost", F.when(F.col("way_id") != 6, F.col("lts_cost")))
+    comp = routing.connected_components(holes)
+    far = routing.snap_ends(routing.route_ends(spark.createDataFrame([("h", 44.0, -80.0, 44.0, -79.99)], "gap_id string, start_lat double, start_lon double, end_lat double, end_lon double")), holes)
+    assert [r.fallback for r in routing.find_paths(far, holes, comp, "lts_cost").collect()] == [True]
+    h = routing._routes(far, holes, comp, "lts").first()
+    assert (h.found, h.fallback, h.route_quality, h.notes) == (True, True, "poor", [L.ROUTE_NOTES["fallback"]])
+
+    for strategy, routes in (("shortest", routing.route_gaps(gaps, street(spark), "shortest")), ("lts", compared.drop(*L.COMPARE_COLUMNS)), ("compare", compared)):
+        paths = sinks.write_routes(gaps, routes, str(tmp_path), "My Region", strategy)
+        assert paths["csv"].endswith({"lts": "my_region_routes_summary.csv", "shortest": "my_region_routes_shortest_summary.csv", "compare": "my_region_routes_compare_summary.csv"}[strategy])
+        table = spark.read.csv(paths["csv"], header=True)
+        assert tuple(table.columns) == L.ROUTE_COLUMNS + (L.COMPARE_COLUMNS if strategy == "compare" else ())
+        assert [r.route_found for r in table.orderBy("gap_id").collect()] == ["true", "true", "false", "false", "false", "false"]
+        made = json.loads("".join(r.value for r in spark.read.text(paths["geojson"], wholetext=True).collect()))["features"]
+        lines = [f for f in made if f["geometry"]["type"] == "MultiLineString"]
+        assert len([f for f in made if f["geometry"]["type"] == "Point"]) == 4 and len(lines) == 2
+        assert all(len(f["geometry"]["coordinates"]) == len(f["properties"]["segments"]) and ("compare" in f["properties"]) == (strategy == "compare") for f in lines)
+        page = spark.read.text(paths["map"], wholetext=True).first().value
+        assert "My Region routes" in page and "total cost" in page and "g1" in page and "g5" not in page
+    s = routing.route_summary(routes).first()
+    assert (s.gaps, s.found, s.fallback, s.excellent + s.good + s.fair + s.poor_or_not_found) == (6, 2, 0, 6)
+    assert routing.route_gaps(gaps.limit(0), street(spark)).count() == 0
+    with pytest.raises(ValueError, match="unknown strategy"):
+        routing.route_gaps(gaps, street(spark), "fast")
 
 
 def test_pages(spark):
