@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowstress.functions import geo
 from lowstress.functions.tags import lookup
+from lowstress.graph.chains import chain_order, joints_of
 from lowstress.graph.components import connected_components
 from lowstress.lookups import FACILITY_RANK, Thresholds
 from lowstress.operators.network import _coords, degrees, nodes
@@ -79,29 +79,6 @@ def _kept_nodes(chains: DataFrame, inner: DataFrame) -> DataFrame:
     return inside.withColumn("rn", rn).where("rn <= keep").select("node")
 
 
-def _walk(table: pa.Table) -> pa.Table:
-    """A chain's edges as one: its nodes and the ids of its ways in order (from the smaller outer node), its length."""
-    at: dict[int, list[int]] = {}
-    rows = table.to_pylist()
-    for i, r in enumerate(rows):
-        at.setdefault(r["a"], []).append(i)
-        at.setdefault(r["b"], []).append(i)
-    node = min(n for n, of in at.items() if len(of) == 1)
-    path, ways, seen = [node], [], set()
-    while len(seen) < len(rows):
-        i = next(i for i in at[node] if i not in seen)
-        seen.add(i)
-        node = rows[i]["b"] if rows[i]["a"] == node else rows[i]["a"]
-        path.append(node)
-        if rows[i]["way_id"] not in ways:
-            ways.append(rows[i]["way_id"])
-    kind = table.schema.field("way_id").type
-    return pa.table(
-        [pa.array([path[0]]), pa.array([path[-1]]), pa.array([ways], pa.list_(kind)), pa.array([rows[0]["facility"]]), pa.array([sum(r["length_m"] for r in rows)]), pa.array([path], pa.list_(pa.int64()))],
-        names=["a", "b", "way_ids", "facility", "length_m", "path"],
-    )
-
-
 def dissolve(edges: DataFrame) -> DataFrame:
     """Chains through nodes of degree 2 with one facility become one edge: (a, b, way_ids, facility, length_m, path).
 
@@ -114,13 +91,16 @@ def dissolve(edges: DataFrame) -> DataFrame:
     inner = ends.groupBy("node").agg(F.count("*").alias("d"), F.count_distinct("facility").alias("f"), F.min("eid").alias("e1"), F.max("eid").alias("e2")).where("d = 2 and f = 1 and e1 <> e2")
     inner = checkpoint(inner)
     kept = checkpoint(_kept_nodes(_chains(e, inner), inner))
-    chains = _chains(e, inner.join(kept, "node", "left_anti"))
-    size = chains.groupBy("g").agg(F.count("*").alias("size"))
-    sized = chains.join(size, "g")
-    way = edges.schema["way_id"].dataType.simpleString()
-    merged = sized.where("size > 1").select("g", "a", "b", "way_id", "facility", "length_m").groupBy("g").applyInArrow(lambda key, t: _walk(t), f"a long, b long, way_ids array<{way}>, facility string, length_m double, path array<long>")
-    merged = merged.withColumn("path", F.when(F.col("a") <= F.col("b"), F.col("path")).otherwise(F.reverse("path"))).withColumn("way_ids", F.when(F.col("a") <= F.col("b"), F.col("way_ids")).otherwise(F.reverse("way_ids")))
-    merged = merged.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+    left = inner.join(kept, "node", "left_anti")
+    chains = _chains(e, left)
+    sized = chains.join(chains.groupBy("g").agg(F.count("*").alias("size")), "g")
+    long = checkpoint(sized.where("size > 1").withColumn("num", F.monotonically_increasing_id()))
+    numbered = long.select("num", "a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).cast("long").alias("s")), F.struct(F.col("b").alias("node"), F.lit(1).cast("long").alias("s")))).alias("p"))
+    joints = joints_of(numbered.select("p.node", F.col("num").alias("eid"), "p.s").join(left.select("node"), "node", "left_semi"), ["node"])
+    order = chain_order(long.select(F.col("num").alias("eid"), "a", "b"), checkpoint(joints)).select(F.col("eid").alias("num"), "pos", "u", "v")
+    placed = long.drop("a", "b").join(order, "num").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("pos", "u", "v", "way_id"))).alias("s"), F.min("facility").alias("facility"), F.sum("length_m").alias("length_m"))
+    path = F.concat(F.transform("s", lambda x: x["u"]), F.array(F.element_at("s", -1)["v"]))
+    merged = placed.withColumn("path", path).select(F.get("path", F.lit(0)).alias("a"), F.element_at("path", -1).alias("b"), F.array_distinct(F.transform("s", lambda x: x["way_id"])).alias("way_ids"), "facility", "length_m", "path")
     single = sized.where("size = 1").select("a", "b", F.array("way_id").alias("way_ids"), "facility", "length_m", F.array("a", "b").alias("path"))
     return merged.unionByName(single)
 

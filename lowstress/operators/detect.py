@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lowstress.lookups import ENDPOINT_PRIORITY, Thresholds
 from lowstress.operators import network as N
-from lowstress.operators.spatial import grid_join, nearest
+from lowstress.operators.spatial import grid_join, nearest, within
 from lowstress.storage import checkpoint
 
 T = Thresholds()
@@ -148,14 +148,13 @@ def pairs_as_gaps(pairs: DataFrame, kind: str, src: int) -> DataFrame:
 
 
 def corridor_ends(holes: DataFrame, net: Network) -> DataFrame:
-    """Corridor holes (a, b, length_m) both of whose ends have a node of a qualifying facility within 35 m, as pairs with those facilities."""
-    out = holes.withColumnRenamed("a", "node").withColumnRenamed("b", "r_node").withColumnRenamed("length_m", "straight_line_m").withColumn("crosses_barrier", F.lit(False))
-    right = net.nodes.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("node").alias("near"), F.col("facility").alias("f"))
-    for end, name in (("node", "facility"), ("r_node", "r_facility")):
+    """Corridor holes (a, b, length_m) with qualifying facilities on both sides and a node of the cycling network within 35 m of each end, as pairs."""
+    out = holes.where(F.col("start_facility").isin(*ENDPOINT_PRIORITY) & F.col("end_facility").isin(*ENDPOINT_PRIORITY))
+    out = out.withColumnsRenamed({"a": "node", "b": "r_node", "length_m": "straight_line_m", "start_facility": "facility", "end_facility": "r_facility"}).withColumn("crosses_barrier", F.lit(False))
+    right = net.nodes.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    for end in ("node", "r_node"):
         lat, lon = N._coords(F.col(end))
-        points = out.select(end).distinct().select(end, lat.alias("lat"), lon.alias("lon"))
-        best = nearest(points, right, end, T.corridor_near_cycling, ["near"]).select(end, F.col("f").alias(name))
-        out = out.join(best.where(F.col(name).isin(*ENDPOINT_PRIORITY)), end)
+        out = out.join(within(out.select(end).distinct().select(end, lat.alias("lat"), lon.alias("lon")), right, end, T.corridor_near_cycling), end)
     return out
 
 

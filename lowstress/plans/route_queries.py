@@ -82,6 +82,46 @@ def separation(spark, d):
     return f(gaps(spark, d), net(spark, d)).select("gap_id", r(F.col("network_m")).alias("network_m"), r(F.col("separation_ratio"), 6).alias("separation_ratio"), "keep")
 
 
+# --- streets -----------------------------------------------------------------------------------------------------------------
+
+_STREETS = [
+    "streets as (select name, a, b, length_m, cycleway in ('track', 'lane') as cycled, case cycleway when 'track' then 'protected_track' when 'lane' then 'cycle_lane' end as fac from roads where name <> '')",
+    "corners as (select name, node, count(*) as n from (select name, a as node from streets union all select name, b from streets) group by all)",
+    "steps as (select name, a, b, a as u, b as v, length_m, cycled, fac from streets union all select name, a, b, b, a, length_m, cycled, fac from streets)",
+    """street_walk as (
+  select s.*, s.u as start, s.a as first_a, s.b as first_b, 0 as pos from steps s join corners c on c.name = s.name and c.node = s.u where c.n <> 2
+  union all
+  select s.*, w.start, w.first_a, w.first_b, w.pos + 1 from street_walk w join corners c on c.name = w.name and c.node = w.v and c.n = 2 join steps s on s.name = w.name and s.u = w.v and (s.a <> w.a or s.b <> w.b))""",
+    "walked as (select *, arg_max(v, pos) over (partition by name, start, first_a, first_b) as finish from street_walk)",
+]
+
+
+@query("street_chains", _with("select name, start, pos, u as a, v as b, round(length_m, 3) as length_m, cycled from walked where start < finish", _STREETS, "roads"))
+def street_chains(spark, d):
+    """Chains with two different outer nodes (those of a loop may run either way)."""
+    from lowstress.operators.corridor import street_chains as f
+
+    out = f(roads(spark, d))
+    ends = out.groupBy("chain").agg(F.min_by("a", "pos").alias("start"), F.max_by("b", "pos").alias("finish")).where("start <> finish")
+    return out.join(ends, "chain").select("name", "start", "pos", "a", "b", r(F.col("length_m")).alias("length_m"), "cycled")
+
+
+@query("corridor_gaps", _with(f"""select distinct name, least(h.a, h.b) as a, greatest(h.a, h.b) as b, round(length_m, 3) as length_m, case when h.a < h.b then f1 else f2 end as start_facility, case when h.a < h.b then f2 else f1 end as end_facility from (
+    select name, start, first_a, first_b, run, arg_min(u, pos) as a, arg_max(v, pos) as b, sum(length_m) as length_m, arg_min(coalesce(before, ''), pos) as f1, arg_max(coalesce(after, ''), pos) as f2 from (
+      select *, sum(turn) over (partition by name, start, first_a, first_b order by pos) as run from (
+        select *, case when lag(cycled) over w <> cycled then 1 else 0 end as turn, lag(fac) over w as before, lead(fac) over w as after from walked window w as (partition by name, start, first_a, first_b order by pos)))
+    where not cycled group by name, start, first_a, first_b, run) h
+  join (select name, count(*) as n, sum(case when cycled then length_m else 0 end) / sum(length_m) as part from streets group by name) using (name)
+  where n >= 3 and part >= 0.3 and f1 <> '' and f2 <> '' and length_m between 20 and 800 and {hav('floor(h.a / 100000000)::double / 1e5', '((h.a % 100000000) - 18000000)::double / 1e5', 'floor(h.b / 100000000)::double / 1e5', '((h.b % 100000000) - 18000000)::double / 1e5')} > 30""",
+    _STREETS, "roads"))
+def corridor_gaps(spark, d):
+    from lowstress.operators.corridor import corridor_gaps as f
+
+    forth = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(forth, F.col(x)).otherwise(F.col(y))
+    return f(roads(spark, d)).select("name", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), r(F.col("length_m")).alias("length_m"), pick("start_facility", "end_facility").alias("start_facility"), pick("end_facility", "start_facility").alias("end_facility"))
+
+
 # --- routes ------------------------------------------------------------------------------------------------------------------
 
 _FAC = case("cycleway", L.CYCLEWAY_FACILITY, "'none'")

@@ -392,13 +392,6 @@ def dedup(spark, d):
     return refine.number_gaps(refine.greedy_dedup(gaps(spark, d))).select("gap_id", "ord", "gap_type", "prio")
 
 
-@query("corridor_gaps")
-def corridor_gaps(spark, d):
-    from lowstress.operators.corridor import corridor_gaps as f
-
-    return f(roads(spark, d)).select("name", "chain", "hole", "a", "b", r(F.col("length_m")).alias("length_m"))
-
-
 @query("topology_clean")
 def topology_clean(spark, d):
     from lowstress.operators.clean import clean_topology

@@ -1,15 +1,17 @@
 """Kernels against tiny brute-force versions."""
 
 import itertools
+import math
 import random
 
 import pytest
 
+from lowstress.graph.chains import chain_order, joints_of
 from lowstress.graph.components import connected_components
 from lowstress.graph.greedy import greedily_dropped
 from lowstress.graph.paths import betweenness, shortest_paths
 from lowstress.lookups import Thresholds
-from lowstress.operators import refine
+from lowstress.operators import corridor, refine
 
 
 def _graph(seed, n=18, m=24):
@@ -120,3 +122,45 @@ def test_greedy_pass_over_tiles_of_any_size(spark):
         tiles = spark.createDataFrame([(i, i // size if i >= n else i % (n // min(n, size))) for i in range(n + 61)], "node long, tile long")
         assert {r.node for r in greedily_dropped(df, tiles, one_task).collect()} == gone
     assert greedily_dropped(df.limit(0), tiles).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_chain_order_of_chains_forks_and_rings(spark, one_task):
+    rnd = random.Random(11)
+    lists = [[rnd.sample(range(1000 * k, 1000 * k + 999), n)] for k, n in enumerate((2, 3, 9, 40))]  # nodes of chains in any order
+    pairs = [(p, q) for (c,) in lists for p, q in itertools.pairwise(c)]
+    ring = [5000, 5003, 5001, 5002]
+    pairs += list(zip(ring, ring[1:] + ring[:1], strict=True))
+    pairs += [(6000, 6001), (6000, 6002), (6000, 6003), (6003, 6004), (6010, 6011), (6011, 6012), (6012, 6010), (6010, 6013)]  # a fork; a loop on a stem
+    pairs = [tuple(p) if rnd.random() < 0.5 else p[::-1] for p in pairs]
+    rnd.shuffle(pairs)
+    edges = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "eid long, a long, b long").repartition(5)
+    ends = edges.selectExpr("eid", "a as node", "0L as s").unionByName(edges.selectExpr("eid", "b as node", "1L as s"))
+    got = {}
+    for r in chain_order(edges, joints_of(ends, ["node"]), one_task).collect():
+        assert {r.u, r.v} == set(pairs[r.eid])
+        got.setdefault(r.chain, []).append((r.pos, r.u, r.v))
+    walks = []
+    for steps in got.values():
+        steps.sort()
+        assert [s[0] for s in steps] == list(range(len(steps))) and all(p[2] == q[1] for p, q in itertools.pairwise(steps))
+        walks.append((steps[0][1], *(s[2] for s in steps)))
+    want = [tuple(c if c[0] < c[-1] else c[::-1]) for (c,) in lists] + [(6000, 6001), (6000, 6002), (6000, 6003, 6004), (6010, 6013)]
+    loop = [w for w in walks if w[0] == w[-1]]
+    assert sorted(w for w in walks if w not in loop) == sorted(want) and len(loop) == 1 and set(loop[0]) == {6010, 6011, 6012}
+
+
+def test_corridor_holes_lie_between_cycled_edges_of_one_chain(spark):
+    spots = {i: (43.0, -80.0 + 0.002 * i) for i in range(8)} | {20: (43.002, -79.996), 21: (43.004, -79.996)}
+    key = lambda n: int(math.floor(spots[n][0] * 1e5 + 0.5)) * 10**8 + int(math.floor(spots[n][1] * 1e5 + 0.5)) + 18 * 10**6
+    # west to east: track, hole, lane, hole up to a fork, lane; a side street of the same name at the fork
+    rows = [(0, 1, "track"), (1, 2, ""), (2, 3, "lane"), (3, 4, ""), (4, 5, ""), (5, 6, "lane"), (6, 7, "")]
+    e = [(k, *sorted((key(a), key(b))), 163.0, "residential", "A", c, "") for k, (a, b, c) in enumerate(rows)]
+    e += [(50, *sorted((key(4), key(20))), 220.0, "residential", "A", "", ""), (51, *sorted((key(20), key(21))), 220.0, "residential", "A", "", "track"), (60, key(0), key(7), 10.0, "residential", "", "track", "")]
+    df = spark.createDataFrame(e, "way_id long, a long, b long, length_m double, highway string, name string, cycleway string, cycleway_left string")
+    got = [(r.a, r.b, round(r.length_m), r.start_facility, r.end_facility) for r in corridor.corridor_gaps(df).collect()]
+    # 3-4-5 is cut by the fork at 4, so only the first hole lies between cycled edges of one chain
+    assert got == [(key(1), key(2), 163, "protected_track", "cycle_lane")] or got == [(key(2), key(1), 163, "cycle_lane", "protected_track")]
+    no_fork = df.where("way_id < 50")
+    assert sorted(round(r.length_m) for r in corridor.corridor_gaps(no_fork, one_task=0).collect()) == [163, 326]
+    assert corridor.corridor_gaps(df.limit(0)).count() == 0
