@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FX = {}
 FX["fx_ways"] = """
-select way_id, name, highway, cycleway, bicycle, segregated, maxspeed, lanes, junction, horiz, tile,
+select way_id, name, highway, cycleway, cycleway_left, cycleway_both, bicycle, foot, segregated, maxspeed, lanes, junction, horiz, tile,
   lat0, lon0,
   lat0 + (case when way_id % 17 = 0 then cast(0.6 as double) else cast(1.0 as double) end) * (tlat - lat0) as lat1,
   lon0 + (case when way_id % 17 = 0 then cast(0.6 as double) else cast(1.0 as double) end) * (tlon - lon0) as lon1
@@ -17,10 +17,13 @@ select way_id, tile, horiz,
   cast(43.0 as double) + tile * cast(0.25 as double) + (gy + 1 - horiz) * cast(0.0020 as double) + (ck % 2) * cast(0.00003 as double) as tlat,
   cast(-80.6 as double) + (gx + horiz) * cast(0.0027 as double) + (ck % 2) * cast(0.00003 as double) as tlon,
   case when pct >= 92 then '' when horiz = 1 then concat('Street ', tile, '-', gy) else concat('Avenue ', tile, '-', gx) end as name,
-  case when pct < 14 then 'cycleway' when pct < 20 then 'path' when pct < 32 then 'primary' when pct < 52 then 'secondary'
+  case when pct < 14 then 'cycleway' when pct < 18 then 'path' when pct < 20 then 'footway' when pct < 32 then 'primary' when pct < 52 then 'secondary'
        when pct < 66 then 'tertiary' when pct < 67 then 'motorway' when pct < 92 then 'residential' else 'service' end as highway,
-  case when pct < 20 then '' when pct < 26 then 'track' when pct < 44 then 'lane' when pct < 47 then 'shared_lane' else '' end as cycleway,
-  case when pct >= 14 and pct < 20 then 'designated' when pct >= 88 then 'yes' else '' end as bicycle,
+  case when pct < 20 then '' when pct < 26 then 'track' when pct < 44 then 'lane' when pct < 47 then 'shared_lane' when pct < 49 then 'opposite_lane' when pct in (72, 73) then 'lane' else '' end as cycleway,
+  case when pct in (48, 70) then 'lane' when pct = 30 then 'no' else '' end as cycleway_left,
+  case when pct in (60, 88) then 'track' else '' end as cycleway_both,
+  case when pct in (15, 16) then 'designated' else '' end as foot,
+  case when pct in (16, 17) then 'yes' when pct >= 14 and pct < 20 then 'designated' when pct >= 88 then 'yes' else '' end as bicycle,
   case when pct = 14 then 'yes' else '' end as segregated,
   case way_id % 6 when 0 then '50' when 1 then '60 km/h' when 2 then '30 mph' when 3 then 'CA:urban' when 4 then 'signals' else '' end as maxspeed,
   case way_id % 5 when 0 then '2' when 1 then '4' when 2 then '1' when 3 then '' else '2;3' end as lanes,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowstress import lookups as L
@@ -34,14 +34,43 @@ def way_edges(ways: DataFrame, vertices: DataFrame, first: bool = True) -> DataF
     return s.groupBy("a", "b").agg(best.alias("e")).select("a", "b", "e.way_id", "e.facility", "e.length_m")
 
 
+def _tag(ways: DataFrame, name: str) -> Column:
+    """A tag's column; empty where it is null or the ways do not have it."""
+    return F.coalesce(F.col(name), F.lit("")) if name in ways.columns else F.lit("")
+
+
+def _sides(ways: DataFrame) -> list[Column]:
+    return [_tag(ways, f"cycleway_{s}") for s in ("left", "right", "both")]
+
+
+def is_cycling_way(ways: DataFrame) -> Column:
+    """What counts as drawn for cycling: cycleways, designated paths and footways (or merely allowed ones that are no designated footpaths), main roads with a facility on any side."""
+    highway, bicycle = _tag(ways, "highway"), _tag(ways, "bicycle")
+    path, main = highway.rlike("path|footway"), highway.rlike("primary|secondary|tertiary")
+    side = _tag(ways, "cycleway").rlike("track|lane|opposite_lane")
+    for s in _sides(ways):
+        side = side | s.rlike("track|lane")
+    return (highway == "cycleway") | (path & (bicycle == "designated")) | (path & (bicycle == "yes") & (_tag(ways, "foot") != "designated")) | (main & side)
+
+
+def is_road_way(ways: DataFrame) -> Column:
+    """What counts as a road: the classes of roads, and whatever has a cycleway tag, be it for one side."""
+    out = _tag(ways, "highway").rlike("|".join(ROADS)) | _tag(ways, "cycleway").rlike("track|lane|opposite_lane|shared_lane")
+    for s in _sides(ways):
+        out = out | s.rlike("track|lane")
+    return out
+
+
 def cycling_edges(ways: DataFrame, vertices: DataFrame) -> DataFrame:
-    return way_edges(with_facility(ways).where(F.col("highway").isin("cycleway", "path")), vertices)
+    return way_edges(with_facility(ways).where(is_cycling_way(ways)), vertices)
 
 
 def road_attribute_edges(ways: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Edges of roads that carry a track or lane themselves."""
-    roads = with_facility(ways).where(~F.col("highway").isin("cycleway", "path") & F.col("cycleway").isin("track", "lane"))
-    return way_edges(roads, vertices)
+    """Edges of roads that carry a track or lane themselves, on any side; the class of their facility must qualify."""
+    left, right, both = _sides(ways)
+    sided = [F.when(s != "", s).otherwise(both) for s in (left, right)]
+    carries = _tag(ways, "cycleway").isin("track", "lane") | sided[0].isin("track", "lane") | sided[1].isin("track", "lane")
+    return way_edges(with_facility(ways).where(is_road_way(ways) & carries), vertices)
 
 
 def merged_edges(primary: DataFrame, secondary: DataFrame) -> DataFrame:
@@ -56,7 +85,7 @@ def road_edges(ways: DataFrame, vertices: DataFrame) -> DataFrame:
     ends = vertices.groupBy("way_id").agg(
         F.min_by(F.struct("lat", "lon"), "seq").alias("p"), F.max_by(F.struct("lat", "lon"), "seq").alias("q"),
     )
-    roads = ways.where(F.col("highway").isin(*ROADS) | (F.col("cycleway") != ""))
+    roads = ways.where(is_road_way(ways))
     out = roads.join(ends, "way_id").join(length, "way_id")
     p, q = geo.node_key(F.col("p.lat"), F.col("p.lon")), geo.node_key(F.col("q.lat"), F.col("q.lon"))
     out = out.select(

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lowstress import lookups as L
 from lowstress.functions import geo, tags
 from lowstress.graph.cells import CELL_NODES, curve
+from lowstress.graph.components import connected_components
 from lowstress.graph.greedy import ONE_TASK, greedily_dropped
 from lowstress.lookups import Thresholds
+from lowstress.operators.network import segments
 from lowstress.operators.ranking import ranked
 from lowstress.operators.spatial import grid_join, grid_join_limit
 from lowstress.storage import checkpoint
@@ -18,11 +20,21 @@ T = Thresholds()
 
 
 def roundabout_circles(ways: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(way_id, lat, lon, radius) of each roundabout way: mean of its vertices and the largest distance from it."""
-    v = vertices.join(ways.where("junction in ('roundabout', 'circular')").select("way_id"), "way_id", "left_semi").select("way_id", "lat", "lon")
-    centre = v.groupBy("way_id").agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
-    far = v.join(centre, "way_id").groupBy("way_id", "c_lat", "c_lon").agg(F.max(geo.haversine(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon"))).alias("m"))
-    return far.select("way_id", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"), F.greatest(F.lit(float(T.roundabout_floor)), F.col("m")).alias("radius"))
+    """(cluster, lat, lon, radius) of each roundabout: ways that touch are one, whatever the number of ways it is drawn as.
+
+    A way counts with its two ends, as a road edge does, a closed one with all its vertices. The centre is the mean of the cluster's
+    nodes, the radius the largest distance from it, 12 m at least; the cluster is named by its smallest node.
+    """
+    v = vertices.join(ways.where("junction in ('roundabout', 'circular')").select("way_id"), "way_id", "left_semi")
+    v = checkpoint(v.select("way_id", "seq", "lat", "lon", geo.node_key(F.col("lat"), F.col("lon")).alias("node")))
+    ends = v.groupBy("way_id").agg(F.min_by("node", "seq").alias("a"), F.max_by("node", "seq").alias("b"))
+    closed = ends.where("a = b").select("way_id")
+    around = segments(v.drop("node").join(closed, "way_id", "left_semi")).select("a", "b")
+    comp = checkpoint(connected_components(ends.select("a", "b").unionByName(around)))
+    at = v.groupBy("node").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon")).join(comp, "node")
+    centre = at.groupBy("component").agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
+    far = at.join(centre, "component").groupBy("component", "c_lat", "c_lon").agg(F.max(geo.haversine(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon"))).alias("m"))
+    return far.select(F.col("component").alias("cluster"), F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"), F.greatest(F.lit(float(T.roundabout_floor)), F.col("m")).alias("radius"))
 
 
 def with_midpoint(gaps: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from lowstress.lookups import Thresholds
 from lowstress.operators import attach, clean, corridor, detect, refine, score
 from lowstress.operators import network as N
 from lowstress.operators import separation as SEP
+from lowstress.operators.spines import detect_spines, spines_by_name
 from lowstress.storage import checkpoint, materialize
 
 T = Thresholds()
@@ -46,19 +47,23 @@ def find_gaps(net: detect.Network, roads: DataFrame, connectors: bool = True, da
 
 
 def refine_gaps(gaps: DataFrame, net: detect.Network, ways: DataFrame, vertices: DataFrame, plan: DataFrame) -> DataFrame:
-    """Cross-method deduplication, roundabouts, separation by the network, plans, numbers; islands keep theirs whatever the ratio."""
+    """Cross-method deduplication, roundabouts, separation by the network, plans, numbers. A gap with an end that is no longer near the network goes, unless it has no length."""
     g = checkpoint(refine.number_gaps(refine.cross_method_dedup(gaps)))
     g = g.join(refine.roundabout_hits(g, refine.roundabout_circles(ways, vertices)), "gap_id", "left_anti")
     apart = SEP.separation(g, net.edges).withColumnRenamed("network_m", "current_network_m")
-    g = g.join(apart, "gap_id", "left").where("coalesce(keep, true)").drop("keep")
+    g = g.join(apart, "gap_id", "left").where(F.coalesce("keep", refine.gap_length() <= 0)).drop("keep")
     planned = refine.plan_match(g, plan).select("gap_id", F.lit(True).alias("plan_match"))
     g = g.join(planned, "gap_id", "left").withColumn("plan_match", F.coalesce("plan_match", F.lit(False)))
     return checkpoint(refine.number_gaps(g.drop("gap_id")))
 
 
-def gap_analysis(ways: DataFrame, vertices: DataFrame, places: DataFrame, areas: DataFrame, spines: DataFrame, plan: DataFrame, connectors: bool = True, dangling_cap: int | None = None) -> DataFrame:
-    """Ranked gaps with all scores."""
+def gap_analysis(
+    ways: DataFrame, vertices: DataFrame, places: DataFrame, areas: DataFrame, plan: DataFrame, wanted_spines: list[str] | None = None, connectors: bool = True, dangling_cap: int | None = None,
+) -> DataFrame:
+    """Ranked gaps with all scores. Spines are those of the network itself, or the roads of the names that the user wants as spines."""
     net = detect.prepare(build_network(ways, vertices))
     roads = materialize(N.road_edges(ways, vertices), "roads")
+    found = spines_by_name(roads, wanted_spines) if wanted_spines else detect_spines(net.edges, roads)
+    spines = checkpoint(found.select(F.xxhash64("name", "lat", "lon").alias("ord"), "name", "lat", "lon"))
     gaps = refine_gaps(find_gaps(net, roads, connectors, dangling_cap), net, ways, vertices, plan)
     return score.score_gaps(gaps, places, areas, spines)

@@ -10,7 +10,7 @@ from lowstress.functions import geo, tags
 from lowstress.lookups import Thresholds
 from lowstress.operators import network as N
 from lowstress.operators import spatial as S
-from lowstress.plans.sqltext import FACILITY, LANES, SPEED, case, cell, hav, key, lts, sql
+from lowstress.plans.sqltext import DRAWN, FACILITY, LANES, SPEED, case, cell, circles_sql, hav, key, lts, sql
 from lowstress import lookups as L
 
 T = Thresholds()
@@ -243,14 +243,12 @@ def bbox_ways(spark, d):
 
 @query(
     "roundabouts",
-    sql(f"""select way_id, round(lat, 6) as lat, round(lon, 6) as lon, round(greatest(12::double, max({hav('lat', 'lon', 'plat', 'plon')})), 3) as radius from (
-      select way_id, avg(lat) over (partition by way_id) as lat, avg(lon) over (partition by way_id) as lon, lat as plat, lon as plon
-      from fx_vertices where way_id in (select way_id from fx_ways where junction = 'roundabout')) group by way_id, lat, lon""", "fx_vertices"),
+    circles_sql("select cluster, round(lat, 6) as lat, round(lon, 6) as lon, round(radius, 3) as radius from circles"),
 )
 def roundabouts(spark, d):
     from lowstress.operators.refine import roundabout_circles
 
-    return roundabout_circles(ways(spark, d), vertices(spark, d)).select("way_id", r(F.col("lat"), 6).alias("lat"), r(F.col("lon"), 6).alias("lon"), r(F.col("radius")).alias("radius"))
+    return roundabout_circles(ways(spark, d), vertices(spark, d)).select("cluster", r(F.col("lat"), 6).alias("lat"), r(F.col("lon"), 6).alias("lon"), r(F.col("radius")).alias("radius"))
 
 
 # --- detectors --------------------------------------------------------------------------------------
@@ -403,13 +401,13 @@ def sql_functions(spark, d):
     )
 
 
-@query("display_layer", sql("select way_id, highway, cycleway from fx_ways where highway in ('cycleway', 'path') or cycleway in ('track', 'lane', 'opposite_lane')", "fx_ways"))
+@query("display_layer", sql("select way_id, highway, cycleway from fx_ways where " + DRAWN + " or cycleway in ('track', 'lane', 'opposite_lane')", "fx_ways"))
 def display_layer(spark, d):
     from lowstress.sources.sinks import display_ways
 
-    w = ways(spark, d).select("way_id", "highway", "cycleway")
-    cycling = F.col("highway").isin("cycleway", "path")
-    return display_ways(w.where(cycling), w.where(~cycling))
+    w = ways(spark, d)
+    drawn = N.is_cycling_way(w)
+    return display_ways(w.where(drawn), w.where(~drawn & N.is_road_way(w))).select("way_id", "highway", "cycleway")
 
 
 __all__ = ["DataFrame", "ORACLES", "QUERIES", "S", "SparkSession"]

@@ -10,7 +10,7 @@ from lowstress.lookups import Thresholds
 from lowstress.operators import refine, review, route, score
 from lowstress.operators import spatial as S
 from lowstress.plans.network_queries import r, roads, vertices, ways
-from lowstress.plans.sqltext import case, hav, lts, sql
+from lowstress.plans.sqltext import CIRCLE_PARTS, case, hav, lts, sql
 
 T = Thresholds()
 QUERIES: dict = {}
@@ -334,10 +334,8 @@ _SEGD = """sqrt(pow(px - t * bx, 2) + pow(py - t * by_, 2))"""
 @query(
     "roundabout_filter",
     gsql(f"""select gap_id from ctx where gap_id not in (select gap_id from (select *, case when bx * bx + by_ * by_ = 0 then 0 else least(1, greatest(0, (px * bx + py * by_) / (bx * bx + by_ * by_))) end as t from (
-      select gap_id, rad, (g.end_lon - g.start_lon) * 111320 * cos(radians(g.start_lat)) as bx, (g.end_lat - g.start_lat) * 110540 as by_, (c.lon - g.start_lon) * 111320 * cos(radians(g.start_lat)) as px, (c.lat - g.start_lat) * 110540 as py
-      from ctx g, circ c where g.len_m <= 300)) where {_SEGD} <= rad + 25)""".replace("from ctx g, circ c", f"""from ctx g, (select way_id, lat, lon, greatest(12::double, max({hav('lat', 'lon', 'plat', 'plon')})) as rad from (
-      select way_id, avg(lat) over (partition by way_id) as lat, avg(lon) over (partition by way_id) as lon, lat as plat, lon as plon
-      from fx_vertices where way_id in (select way_id from fx_ways where junction = 'roundabout')) group by way_id, lat, lon) c"""), "ctx", "fx_vertices", "fx_ways"),
+      select gap_id, radius as rad, (g.end_lon - g.start_lon) * 111320 * cos(radians(g.start_lat)) as bx, (g.end_lat - g.start_lat) * 110540 as by_, (c.lon - g.start_lon) * 111320 * cos(radians(g.start_lat)) as px, (c.lat - g.start_lat) * 110540 as py
+      from ctx g, circles c where g.len_m <= 300)) where {_SEGD} <= rad + 25)""", "ctx", "rounds").replace("\nselect gap_id from ctx where", ",\n" + ",\n".join(CIRCLE_PARTS) + "\nselect gap_id from ctx where").replace("with ", "with recursive ", 1),
 )
 def roundabout_filter(spark, d):
     hits = refine.roundabout_hits(gaps(spark, d), refine.roundabout_circles(ways(spark, d), vertices(spark, d)))
@@ -477,7 +475,7 @@ def gap_analysis(spark, d):
     """From ways to ranked gaps: snapped and cleaned network, all detectors, refinement, scores."""
     from lowstress.plans.analysis import gap_analysis as f
 
-    found = f(ways(spark, d), vertices(spark, d), view(spark, d, "fx_destinations"), view(spark, d, "fx_da"), spines(spark, d), view(spark, d, "fx_plan"))
+    found = f(ways(spark, d), vertices(spark, d), view(spark, d, "fx_destinations"), view(spark, d, "fx_da"), view(spark, d, "fx_plan"))
     return found.select("gap_id", "gap_type", "src_ord", "composite", "rank", "band", "from_street", "to_street", "crosses_barrier", "recommended", r(F.col("len_m")).alias("len_m"))
 
 

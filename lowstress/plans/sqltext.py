@@ -47,10 +47,16 @@ SEGS = f"""select way_id, seq, lat, lon, lat2, lon2, least({key('lat', 'lon')},
 _EDGES = """select a, b, arg_min({{'way_id': way_id, 'facility': facility, 'length_m': length_m}}, (way_id, seq)) as e
   from segs join (select way_id, {facility} as facility from fx_ways where {which}) w using (way_id)
   where facility not in ('shared_roadway', 'signed_route', 'unknown') and a <> b group by a, b"""
+_SIDE = "regexp_matches(cycleway_left, 'track|lane') or regexp_matches(cycleway_both, 'track|lane')"
+#: Ways drawn for cycling, and road ways.
+DRAWN = f"""(highway = 'cycleway' or (highway in ('path', 'footway') and (bicycle = 'designated' or (bicycle = 'yes' and foot <> 'designated')))
+  or (highway in ('primary', 'secondary', 'tertiary') and (cycleway in ('track', 'lane', 'opposite_lane', 'shared_lane') or {_SIDE})))"""
+ROAD = f"(highway in ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'unclassified', 'residential', 'living_street', 'service') or cycleway in ('track', 'lane', 'opposite_lane', 'shared_lane') or {_SIDE})"
+_CARRIES = "(cycleway in ('track', 'lane') or cycleway_left in ('track', 'lane') or cycleway_both in ('track', 'lane'))"
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "segs": (SEGS, ("fx_vertices",)),
-    "cyc": ("select a, b, e.way_id, e.facility, e.length_m from (" + _EDGES.format(facility=FACILITY, which="highway in ('cycleway', 'path')") + ")", ("segs",)),
-    "attr": ("select a, b, e.way_id, e.facility, e.length_m from (" + _EDGES.format(facility=FACILITY, which="highway not in ('cycleway', 'path') and cycleway in ('track', 'lane')") + ")", ("segs",)),
+    "cyc": ("select a, b, e.way_id, e.facility, e.length_m from (" + _EDGES.format(facility=FACILITY, which=DRAWN) + ")", ("segs",)),
+    "attr": ("select a, b, e.way_id, e.facility, e.length_m from (" + _EDGES.format(facility=FACILITY, which=f"{ROAD} and {_CARRIES}") + ")", ("segs",)),
     "net": ("select *, 'way' as source from cyc union all select *, 'road_attribute' from attr where not exists (select 1 from cyc where cyc.a = attr.a and cyc.b = attr.b)", ("cyc", "attr")),
     "ends": ("select a as node, facility, length_m, a, b from net union all select b, facility, length_m, a, b from net", ("net",)),
     "nodes": ("select node, floor(node / 100000000)::double / 1e5::double as lat, ((node % 100000000) - 18000000)::double / 1e5::double as lon from (select distinct node from ends)", ("ends",)),
@@ -61,10 +67,11 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         name, junction, cycleway, {case('highway', L.AADT_PROXY, "'unknown'")} as aadt_proxy, la1, lo1, la2, lo2
       from fx_ways join (select way_id, arg_min(lat, seq) as la1, arg_min(lon, seq) as lo1, arg_max(lat, seq) as la2, arg_max(lon, seq) as lo2 from fx_vertices group by way_id) using (way_id)
       join (select way_id, sum(length_m) as length_m from segs group by way_id) using (way_id)
-      where highway in ('motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'unclassified', 'residential', 'living_street', 'service') or cycleway <> '')
+      where {ROAD})
       where a <> b group by a, b)""",
         ("segs", "fx_ways"),
     ),
+    "rounds": ("select w.way_id, arg_min(lat, seq) as la1, arg_min(lon, seq) as lo1, arg_max(lat, seq) as la2, arg_max(lon, seq) as lo2 from fx_vertices join (select way_id from fx_ways where junction = 'roundabout') w using (way_id) group by w.way_id", ("fx_vertices", "fx_ways")),
     "cc": (
         """select node, comp as component from cc_run""", ("cc_run",)),
     "cc_run": ("", ("net",)),
@@ -104,3 +111,20 @@ def sql(body: str, *parts: str) -> str:
         return body
     recursive = "recursive " if "cc_run" in dict(order) else ""
     return f"with {recursive}" + ",\n".join(CC_RUN if n == "cc_run" else f"{n} as ({t})" for n, t in order) + "\n" + body
+
+
+_ROUND_ENDS = f"select {key('la1', 'lo1')} as a, {key('la2', 'lo2')} as b, la1, lo1, la2, lo2 from rounds"
+#: Common tables up to ``circles``: clusters of touching roundabout ways (none of the fixture's is closed).
+CIRCLE_PARTS = [
+    f"round_ends as ({_ROUND_ENDS})",
+    "round_nodes as (select node, min(lat) as lat, min(lon) as lon from (select a as node, la1 as lat, lo1 as lon from round_ends where a <> b union all select b, la2, lo2 from round_ends where a <> b) group by node)",
+    "round_walk as (select node, node as seen from round_nodes union select w.node, case when e.a = w.seen then e.b else e.a end from round_walk w join round_ends e on e.a = w.seen or e.b = w.seen)",
+    "round_of as (select node, min(seen) as cluster from round_walk group by node)",
+    f"circles as (select cluster, clat as lat, clon as lon, greatest(12::double, max({hav('clat', 'clon', 'lat', 'lon')})) as radius from (select cluster, lat, lon, avg(lat) over (partition by cluster) as clat, avg(lon) over (partition by cluster) as clon from round_nodes join round_of using (node)) group by cluster, clat, clon)",
+]
+
+
+def circles_sql(body: str) -> str:
+    """A statement that sees ``circles``."""
+    text = sql("@@", "rounds").replace("\n@@", ",\n" + ",\n".join(CIRCLE_PARTS) + "\n" + body)
+    return text.replace("with ", "with recursive ", 1)

@@ -41,21 +41,27 @@ def _tag(key: str):
     return F.coalesce(F.try_element_at("tags", F.lit(key)), F.lit(""))
 
 
+def _any_side():
+    """A track or lane on one side of the road or on both."""
+    return _tag("cycleway:left").rlike("track|lane") | _tag("cycleway:right").rlike("track|lane") | _tag("cycleway:both").rlike("track|lane")
+
+
 def select_cycling(w: DataFrame) -> DataFrame:
     hw, path = _tag("highway"), _tag("highway").rlike("path|footway")
-    side = _tag("cycleway").rlike("track|lane|opposite_lane")
-    for s in ("left", "right", "both"):
-        side = side | _tag(f"cycleway:{s}").rlike("track|lane")
+    side = _tag("cycleway").rlike("track|lane|opposite_lane") | _any_side()
     return w.where((hw == "cycleway") | (path & (_tag("bicycle") == "designated")) | (path & (_tag("bicycle") == "yes") & (_tag("foot") != "designated") & F.col("tags").isNotNull()) | (hw.rlike("primary|secondary|tertiary") & side))
 
 
 def select_roads(w: DataFrame) -> DataFrame:
-    return w.where(_tag("highway").rlike("motorway|trunk|primary|secondary|tertiary|unclassified|residential|service|living_street") | _tag("cycleway").rlike("track|lane|opposite_lane|shared_lane"))
+    return w.where(_tag("highway").rlike("motorway|trunk|primary|secondary|tertiary|unclassified|residential|service|living_street") | _tag("cycleway").rlike("track|lane|opposite_lane|shared_lane") | _any_side())
+
+
+KEYS = ("highway", "cycleway", "cycleway:left", "cycleway:right", "cycleway:both", "bicycle", "foot", "segregated", "route", "maxspeed", "lanes", "name", "junction")
 
 
-def flat_tags(w: DataFrame, keys=("highway", "cycleway", "bicycle", "segregated", "route", "maxspeed", "lanes", "name", "junction")) -> DataFrame:
-    """Ways with one column per tag (missing: empty), as the network operators read them."""
-    return w.select("way_id", "ord", "coords", *[_tag(k).alias(k) for k in keys])
+def flat_tags(w: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Ways with one column per tag (missing: empty; a colon in its name becomes an underscore), as the network operators read them."""
+    return w.select("way_id", "ord", "coords", *[_tag(k).alias(k.replace(":", "_")) for k in keys])
 
 
 def vertices(w: DataFrame) -> DataFrame:
