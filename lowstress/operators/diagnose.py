@@ -10,6 +10,7 @@ from lowstress.lookups import Thresholds
 from lowstress.operators import network as N
 from lowstress.operators.detect import Network, _right, closest_to_main, prepare
 from lowstress.operators.spatial import grid_join
+from lowstress.storage import checkpoint
 
 T = Thresholds()
 
@@ -36,11 +37,13 @@ def nodes_near(edges: DataFrame | Network, box: Box, k: int = 10) -> DataFrame:
 
 
 def build_counts(parts: dict[str, DataFrame]) -> DataFrame:
-    """(step, nodes, edges) of the networks of each step of the build, in order."""
+    """(step, nodes, edges, components) of the networks of each step of the build, in order."""
     out = None
     for i, (name, e) in enumerate(parts.items()):
-        one = e.select(F.explode(F.array("a", "b")).alias("n")).agg(F.count_distinct("n").alias("nodes"), (F.count("*") / 2).cast("long").alias("edges"))
-        one = one.select(F.lit(i).alias("step_no"), F.lit(name).alias("step"), "nodes", "edges")
+        e = checkpoint(e.select("a", "b"))
+        found = N.components(e).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
+        one = found.join(F.broadcast(e.agg(F.count("*").alias("edges"))))  # one row each
+        one = one.select(F.lit(i).alias("step_no"), F.lit(name).alias("step"), "nodes", "edges", "components")
         out = one if out is None else out.unionByName(one)
     return out.orderBy("step_no")
 

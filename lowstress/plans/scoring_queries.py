@@ -385,7 +385,18 @@ def route_verdict(spark, d):
 # --- loops and kernels: no single SQL statement says the same; tests/test_operators.py and tests/test_paths.py hold them against brute force on small inputs ----
 
 
-@query("dedup")
+#: A greedy pass by rounds: who meets a better one that stays goes, who has only better ones that go stays.
+_GREEDY = ["""ordered as (select *, row_number() over (order by case gap_type when 'island' then 4 when 'corridor' then 3 when 'detour' then 2 else 1 end desc, detour_factor desc, len_m desc, ord) as prio from ctx)""",
+  f"""clash as (select a.prio as hi, b.prio as lo from ordered a join ordered b on a.prio < b.prio and abs(a.lat - b.lat) < 0.02 and abs(a.lon - b.lon) < 0.03 and ({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 300
+    or least({", ".join(hav(f'a.{e}_lat', f'a.{e}_lon', f'b.{f}_lat', f'b.{f}_lon') for e in ('start', 'end') for f in ('start', 'end'))}) < 150))""",
+  """verdict(prio, s) using key (prio) as (
+  select prio, case when exists (select 1 from clash where lo = prio) then 0 else 1 end from ordered
+  union
+  select l.prio, case when bool_or(h.s = 1) then -1 else 1 end from (select distinct c.lo from verdict v join clash c on c.hi = v.prio where v.s <> 0) t join recurring.verdict l on l.prio = t.lo and l.s = 0
+    join clash c on c.lo = l.prio join recurring.verdict h on h.prio = c.hi group by l.prio having bool_or(h.s = 1) or bool_and(h.s = -1))"""]
+
+
+@query("dedup", gsql("""select printf('GAP-%03d', row_number() over (order by prio)) as gap_id, ord, gap_type, prio from ordered join verdict v using (prio) where v.s = 1""", "ctx").replace("\nselect printf", ",\n" + ",\n".join(_GREEDY) + "\nselect printf").replace("with ", "with recursive ", 1))
 def dedup(spark, d):
     return refine.number_gaps(refine.greedy_dedup(gaps(spark, d))).select("gap_id", "ord", "gap_type", "prio")
 
@@ -495,10 +506,35 @@ def diagnose_summary(spark, d):
     return summary(net(spark, d), BOX)
 
 
-@query("build_counts")
+def _counts_sql() -> str:
+    one = lambda i, name, part: f"select {i} as step_no, '{name}' as step, (select count(*) from {part}_label) as nodes, (select count(*) from {part}) as edges, (select count(distinct c) from {part}_label) as components"
+    more = []
+    for p in ("cyc", "attr", "net", "roads"):
+        more.append(f"{p}_links as (select a as u, b as v from {p} union all select b, a from {p})")
+        more.append(f"""{p}_label(n, c) using key (n) as (select distinct u, u from {p}_links union
+  select k.n, min(x.c) from {p}_label x join {p}_links l on l.u = x.n join recurring.{p}_label k on k.n = l.v where x.c < k.c group by k.n)""")
+    body = " union all ".join([one(0, "cycling", "cyc"), one(1, "road attributes", "attr"), one(2, "merged", "net"), one(3, "roads", "roads")])
+    return sql("@@", "net", "roads").replace("\n@@", ",\n" + ",\n".join(more) + "\n" + body).replace("with ", "with recursive ", 1)
+
+
+@query("build_counts", _counts_sql())
 def build_counts(spark, d):
     from lowstress.operators import network as N
     from lowstress.operators.diagnose import build_counts as f
 
     w, v = ways(spark, d), vertices(spark, d)
     return f({"cycling": N.cycling_edges(w, v), "road attributes": N.road_attribute_edges(w, v), "merged": N.merged_edges(N.cycling_edges(w, v), N.road_attribute_edges(w, v)), "roads": N.road_edges(w, v)})
+
+
+@query("cleaned_counts")
+def cleaned_counts(spark, d):
+    """The snapped network before and after its topology is cleaned, step by step."""
+    from lowstress.operators import clean
+    from lowstress.operators import network as N
+    from lowstress.operators.diagnose import build_counts as f
+    from lowstress.plans.network_queries import net
+    from lowstress.storage import checkpoint
+
+    snapped = checkpoint(N.snapped_edges(net(spark, d).drop("source"), T.snap))
+    joined = clean.snap_dead_ends(snapped)
+    return f({"snapped": snapped, "dead ends joined": joined, "chains dissolved": clean.dissolve(joined)})
