@@ -139,34 +139,31 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def cut(batches):
         for batch in batches:
-            for i, key, t in zip(*batch.columns, strict=True):
+            for i, key, times, t in zip(*batch.columns, strict=True):
                 text = t.as_py()
                 spans = chunks_of(len(text), chunk, overlap)
                 for k, (s, e) in enumerate(spans):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i.as_py()], batch.schema[0].type), pa.array([key.as_py()]), pa.array([k], pa.int32()), pa.array([s], pa.int64()), pa.array([k == len(spans) - 1]), pa.array([text[s:e]])],
-                        names=["id", "key", "k", "start", "last", "text"],
+                        [pa.array([i.as_py()], batch.schema[0].type), pa.array([key.as_py()]), pa.array([times.as_py()]), pa.array([k], pa.int32()), pa.array([s], pa.int64()), pa.array([k == len(spans) - 1]), pa.array([text[s:e]])],
+                        names=["id", "key", "times", "k", "start", "last", "text"],
                     )
 
     def split(batches):
         enc = encoder(path, pattern)
         for batch in batches:
-            for i, key, k, s, last, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, key, times, k, s, last, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pieces, bounds = split_chunk(enc, t, s, last)
                 ids, counts = enc.ids(pieces)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i], batch.schema[0].type), pa.array([key]), pa.array([k], pa.int32()), pa.array([t[: chunk] if not last else t]),
+                        pa.array([i], batch.schema[0].type), pa.array([key]), pa.array([times]), pa.array([k], pa.int32()), pa.array([t[: chunk] if not last else t]),
                         pa.array([bounds.tolist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([ids], pa.list_(pa.int32())),
                     ],
-                    names=["id", "key", "k", "text", "bounds", "counts", "ids"],
+                    names=["id", "key", "times", "k", "text", "bounds", "counts", "ids"],
                 )
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("k")
-        chunk_of = table["k"].to_numpy()
-        times = int((chunk_of == 0).sum())  # equal rows have one key, and each chunk as often as there are rows
-        table = table.take(np.flatnonzero(np.diff(chunk_of, prepend=-1)))
         bounds = [np.asarray(x.values) for x in table["bounds"]]
         takes = stitch(bounds)
         if takes is None:
@@ -180,13 +177,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 until = int(np.searchsorted(b, takes[j + 1])) if j + 1 < len(takes) else len(b) - 1
                 ids.append(np.asarray(table["ids"][j].values)[counts[first] : counts[until]])
             ids = np.concatenate(ids)
-        return pa.Table.from_batches([_batch(pa.array([table["id"][0].as_py()] * times, table.schema.field("id").type), np.tile(ids, times), np.arange(times + 1) * len(ids))])
+        out = pa.Table.from_batches([_batch(pa.array([table["id"][0].as_py()], table.schema.field("id").type), np.asarray(ids), np.array([0, len(ids)]))])
+        return out.append_column("times", table["times"].slice(0, 1))
 
     one = rows.where(F.length("text") <= chunk).mapInArrow(lean(short), schema)
     key = F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.xxhash64("text"), F.xxhash64("text", F.lit(1)))
-    parts = rows.where(F.length("text") > chunk).select("id", key.alias("key"), "text").mapInArrow(lean(cut), f"id {kind}, key string, k int, start long, last boolean, text string")
-    parts = parts.repartition("key", "k").mapInArrow(lean(split), f"id {kind}, key string, k int, text string, bounds array<long>, counts array<int>, ids array<int>")
-    whole = parts.groupBy("key").applyInArrow(join, schema)
+    # equal rows are one from here to the end, however many there are
+    long = rows.where(F.length("text") > chunk).groupBy("id", "text").agg(F.count("*").alias("times"))
+    parts = long.select("id", key.alias("key"), "times", "text").mapInArrow(lean(cut), f"id {kind}, key string, times long, k int, start long, last boolean, text string")
+    parts = parts.repartition("key", "k").mapInArrow(lean(split), f"id {kind}, key string, times long, k int, text string, bounds array<long>, counts array<int>, ids array<int>")
+    whole = parts.groupBy("key").applyInArrow(join, f"{schema}, times long")
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("id", "n_tokens", "ids")
     return one.unionByName(whole).withColumnRenamed("id", id_col)
 
 
