@@ -36,13 +36,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def rest(spark: SparkSession) -> None:
-    """Between two long steps: let driver and executors collect their garbage, so that one step's heap and classes do not add to the next one's."""
-    release(spark)
-    n = 2 * spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') as done").write.format("noop").mode("overwrite").save()
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Within this, batches that go to Python workers have at most so many rows (texts may be long)."""
