@@ -1,6 +1,7 @@
 """Readers and writers on small files made here."""
 
 import json
+import math
 import struct
 
 import pytest
@@ -87,3 +88,38 @@ def test_sinks(spark, tmp_path):
     assert next((tmp_path / "c").glob("part*")).read_text().startswith("gap_id,")
     d = spark.createDataFrame([("G1", "Data error", "2024")], "gap_id string, reason string, ts string")
     assert json.loads(sinks.dismissed_sidecar(d).first().value)["G1"]["reason"] == "Data error"
+
+
+def test_ways_with_a_facility_on_one_side_and_footways(spark):
+    from lowstress.operators import network as N
+
+    tags = {
+        1: {"highway": "residential", "cycleway:left": "lane"}, 2: {"highway": "secondary", "cycleway:both": "track"}, 3: {"highway": "footway", "bicycle": "designated"}, 4: {"highway": "footway", "bicycle": "yes", "foot": "designated"},
+        5: {"highway": "path", "bicycle": "yes"}, 6: {"highway": "bridleway", "cycleway:right": "track"}, 7: {"highway": "footway"}, 8: {"highway": "tertiary", "cycleway": "opposite_lane", "cycleway:left": "no", "cycleway:both": "track"},
+        9: {"highway": "residential", "cycleway": "lane"}, 10: {"highway": "residential", "cycleway": "opposite_lane", "cycleway:left": "lane"}, 11: {"highway": "residential", "cycleway": "opposite_lane"},
+    }
+    rows = [(str(i), i, [(43.0 + i / 100, -80.0), (43.0 + i / 100, -79.99)], t) for i, t in tags.items()]
+    w = spark.createDataFrame(rows, "way_id string, ord int, coords array<struct<lat: double, lon: double>>, tags map<string, string>")
+    ids = lambda df: {int(r.way_id) for r in df.collect()}
+    assert ids(osm_json.select_cycling(w)) == {2, 3, 5, 8} and ids(osm_json.select_roads(w)) == {1, 2, 6, 8, 9, 10, 11}
+    flat, v = osm_json.flat_tags(w), osm_json.vertices(w)
+    assert ids(flat.where(N.is_cycling_way(flat))) == {2, 3, 5, 8} and ids(flat.where(N.is_road_way(flat))) == {1, 2, 6, 8, 9, 10, 11}
+    assert ids(N.cycling_edges(flat, v)) == {3, 8}  # a tag of one side says that there is something, not what
+    assert ids(N.road_attribute_edges(flat, v)) == {8, 9, 10} and ids(N.road_edges(flat, v)) == {1, 2, 6, 8, 9, 10, 11}
+
+
+def test_a_roundabout_of_several_ways_is_one_circle(spark):
+    from lowstress.operators import refine
+
+    spot = lambda k: (43.0 + 0.0002 * math.sin(math.radians(k)), -80.0 + 0.00027 * math.cos(math.radians(k)))
+    arcs = {1: (0, 60, 120), 2: (120, 180, 240), 3: (240, 300, 360)}
+    rows = [(w, i, *spot(k % 360)) for w, ks in arcs.items() for i, k in enumerate(ks)]
+    rows += [(9, i, 44.0 + 0.001 * math.sin(math.radians(k % 360)), -80.0) for i, k in enumerate(range(0, 361, 40))]  # closed
+    rows += [(20, 0, 45.0, -80.0), (20, 1, 45.001, -80.0)]
+    v = spark.createDataFrame(rows, "way_id long, seq int, lat double, lon double")
+    ways = spark.createDataFrame([(1, "roundabout"), (2, "roundabout"), (3, "circular"), (9, "roundabout"), (20, "")], "way_id long, junction string")
+    got = sorted((r.lat, r.lon, r.radius) for r in refine.roundabout_circles(ways, v).collect())
+    assert len(got) == 2
+    ends = [spot(k) for k in (0, 120, 240)]
+    assert abs(got[0][0] - sum(p[0] for p in ends) / 3) < 1e-9 and abs(got[0][1] - sum(p[1] for p in ends) / 3) < 1e-9 and 15 < got[0][2] < 25
+    assert refine.roundabout_circles(ways, v.limit(0)).count() == 0
