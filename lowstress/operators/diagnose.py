@@ -9,6 +9,7 @@ from lowstress.functions import geo
 from lowstress.lookups import Thresholds
 from lowstress.operators import network as N
 from lowstress.operators.detect import Network, _right, closest_to_main, prepare
+from lowstress.operators.ranking import ranked
 from lowstress.operators.spatial import grid_join
 from lowstress.storage import checkpoint
 
@@ -89,7 +90,7 @@ def summary(edges: DataFrame | Network, box: Box) -> DataFrame:
     return c.crossJoin(net.edges.agg(F.count("*").alias("edges"))).crossJoin(ends).crossJoin(near)  # one row each
 
 
-def dangling_trace(edges: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+def dangling_trace(edges: DataFrame | Network, box: Box) -> DataFrame:
     """(node, checked, same_component, not_qualifying, candidates) of the dead ends inside the box."""
     net = prepare(edges)
     nodes = net.nodes
@@ -99,3 +100,65 @@ def dangling_trace(edges: DataFrame, box: tuple[float, float, float, float]) ->
     return near.groupBy("node").agg(
         F.count("*").alias("checked"), F.count_if(same).alias("same_component"), F.count_if(~same & bad).alias("not_qualifying"), F.count_if(~same & ~bad & (F.col("dist") > T.same_road)).alias("candidates")
     )
+
+
+def ways_in(ways: DataFrame, vertices: DataFrame, box: Box) -> DataFrame:
+    """(way_id, facility, highway, cycleway, name, length_m, vertices, start_lat, ..., end_lon) of the ways with a vertex inside the box."""
+    inside = vertices.where(geo.in_bbox(F.col("lat"), F.col("lon"), *box)).select("way_id").distinct()
+    v = vertices.join(inside, "way_id", "left_semi")
+    point = F.struct("lat", "lon")
+    ends = v.groupBy("way_id").agg(F.min_by(point, "seq").alias("p"), F.max_by(point, "seq").alias("q"), F.count("*").alias("vertices"))
+    length = N.segments(v).groupBy("way_id").agg(F.sum("length_m").alias("length_m"))
+    out = N.with_facility(ways).join(ends, "way_id").join(length, "way_id", "left")
+    return out.select(
+        "way_id", "facility", "highway", N.cycleway_of(ways).alias("cycleway"), "name", F.coalesce("length_m", F.lit(0.0)).alias("length_m"), "vertices",
+        F.col("p.lat").alias("start_lat"), F.col("p.lon").alias("start_lon"), F.col("q.lat").alias("end_lat"), F.col("q.lon").alias("end_lon"),
+    )
+
+
+TITLES = {
+    1: "DATA", 2: "CYCLING WAYS INSIDE THE BOX", 3: "ROAD WAYS WITH CYCLEWAY TAGS INSIDE THE BOX", 4: "BUILDING THE CYCLING NETWORK", 5: "NODES INSIDE THE BOX", 6: "COMPONENTS THAT TOUCH THE BOX",
+    7: "DEAD ENDS INSIDE THE BOX", 8: "NEAR MISSES INSIDE THE BOX", 9: "SUMMARY",
+}
+
+
+def report(ways: DataFrame, vertices: DataFrame, steps: dict[str, DataFrame], box: Box, region: str) -> DataFrame:
+    """(place, section, line): the diagnostic report of a box in nine sections, lines numbered from 1.
+
+    ``steps`` are the networks of the build in order; the last one is what gaps are found on. Every section lists all that it
+    found; an empty one says so.
+    """
+    net = prepare(list(steps.values())[-1])
+    rows, drawn = checkpoint(ways_in(ways, vertices, box)), ways.where(N.is_cycling_way(ways)).select("way_id")
+    tagged = rows.where("cycleway <> ''").join(ways.where(N.is_road_way(ways)).select("way_id"), "way_id", "left_semi")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(float("nan"))).cast("double")
+    # lines of a section stand in the order of a number, then of a text
+    say = lambda df, order, text_order, form, *cols: df.select((F.col(order) if isinstance(order, str) else order).cast("double").alias("k"), text_order.alias("t"), F.concat(F.lit("  "), F.format_string(form, *cols)).alias("line"))
+    data = ways.agg(F.count("*").alias("ways"), F.count_if(N.is_cycling_way(ways)).alias("cycling"), F.count_if(N.is_road_way(ways)).alias("roads"))
+    none, node = F.lit(""), F.concat_ws(" ", "node", "r_node")
+    parts = {
+        1: say(data, "ways", none, f"{region}, box {box}: %d ways, %d for cycling, %d roads", "ways", "cycling", "roads"),
+        2: say(rows.join(drawn, "way_id", "left_semi"), F.lit(0), text("way_id"), "%s  %s  %.0f m  (%.5f,%.5f) to (%.5f,%.5f)  %s", text("way_id"), "facility", "length_m", "start_lat", "start_lon", "end_lat", "end_lon", text("name")),
+        3: say(tagged, F.lit(0), text("way_id"), "%s  %s  %s  %s  %.0f m", text("way_id"), text("highway"), "cycleway", "facility", "length_m"),
+        4: say(build_counts(steps), "step_no", none, "%s: %d nodes, %d edges, %d components", "step", "nodes", "edges", "components"),
+        5: say(nodes_in(net, box), "node", none, "%d  (%.5f,%.5f)  degree %d  component %d  %s  [%s]", "node", "lat", "lon", "degree", "component", "facility", F.array_join("facilities", ", ")),
+        6: say(island_trace(net, box), -F.col("size"), text("component"), "component %d: %d nodes, %.0f m, nearest pair to the largest %.0f m: %s", "component", "size", "length_m", number("dist"), "reason"),
+        7: say(dangling_trace(net, box), "node", none, "%d: %d checked, %d of the same component, %d not qualifying, %d candidates", "node", "checked", "same_component", "not_qualifying", "candidates"),
+        8: say(near_miss_trace(net, box), "dist", node, "%.0f m  component %d to %d  %s to %s: %s", "dist", "component", "r_component", "facility", "r_facility", "status"),
+        9: say(summary(net, box), "nodes", none, "%d nodes, %d edges, %d components, the largest of %d nodes; %d short islands; %d dead ends and %d near misses in the box", "nodes", "edges", "components", "main_nodes", "short_islands", "dangling_in_box", "near_miss_in_box"),
+    }
+    spark, out = net.edges.sparkSession, None
+    for n, lines in parts.items():
+        head = spark.createDataFrame([(float("-inf"), "", f"[{n}] {TITLES[n]}")], "k double, t string, line string")
+        one = head.unionByName(lines).withColumn("section", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    out = checkpoint(out)
+    found = out.groupBy("section").agg(F.count("*").alias("n")).where("n = 1")
+    nothing = found.select(F.lit(0.0).alias("k"), F.lit("").alias("t"), F.lit("  (nothing)").alias("line"), "section")
+    return ranked(out.unionByName(nothing), "place", "section", "k", "t", "line").select("place", "section", "line")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The report as text, in order."""
+    lines.orderBy("place").select("line").write.text(path)

@@ -43,6 +43,14 @@ def _sides(ways: DataFrame) -> list[Column]:
     return [_tag(ways, f"cycleway_{s}") for s in ("left", "right", "both")]
 
 
+def cycleway_of(ways: DataFrame) -> Column:
+    """The cycleway tag, or else that of the left, the right or both sides."""
+    out = F.lit("")
+    for c in reversed([_tag(ways, "cycleway"), _tag(ways, "cycleway_left"), _tag(ways, "cycleway_right"), _tag(ways, "cycleway_both")]):
+        out = F.when(c != "", c).otherwise(out)
+    return out
+
+
 def is_cycling_way(ways: DataFrame) -> Column:
     """What counts as drawn for cycling: cycleways, designated paths and footways (or merely allowed ones that are no designated footpaths), main roads with a facility on any side."""
     highway, bicycle = _tag(ways, "highway"), _tag(ways, "bicycle")

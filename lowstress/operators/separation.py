@@ -9,6 +9,7 @@ from lowstress.functions import geo
 from lowstress.graph.paths import shortest_paths
 from lowstress.lookups import Thresholds
 from lowstress.operators import network as N
+from lowstress.operators.refine import is_micro_gap
 from lowstress.operators.spatial import grid_join, nearest
 from lowstress.storage import checkpoint
 
@@ -39,7 +40,7 @@ def detour_gaps(edges: DataFrame) -> DataFrame:
     pairs = checkpoint(pairs.select(F.xxhash64("source", "target").alias("pair_id"), "source", "target", F.col("dist").alias("straight_m")))
     found = shortest_paths(edges, pairs.select("pair_id", "source", "target"), comp=inside)
     out = pairs.join(found.select("pair_id", F.col("cost").alias("network_m")), "pair_id").withColumn("detour_factor", F.col("network_m") / F.col("straight_m"))
-    return out.where(F.col("detour_factor") >= T.detour_min).drop("pair_id")
+    return out.where((F.col("detour_factor") >= T.detour_min) & ~is_micro_gap(F.col("straight_m"))).drop("pair_id")
 
 
 def separation(gaps: DataFrame, edges: DataFrame) -> DataFrame:

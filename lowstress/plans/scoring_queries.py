@@ -131,6 +131,18 @@ def priority_bands(spark, d):
 _DISMISSED = "(select gap_id, arg_max(reason, (ts, event_id)) as reason from (select 'GAP-' || cast(substr(gap_id, 5) as int) as gap_id, reason, ts, event_id from fx_decisions) group by gap_id)"
 
 
+@query("run_summary", gsql("""select cast(place as int) as place, line from (select unnest(range(11)) as place, unnest([printf('Total gaps: %d', count(*)), printf('Island: %d', count_if(gap_type = 'island')), printf('Detour: %d', count_if(gap_type = 'detour')),
+  printf('Dangling: %d', count_if(gap_type = 'dangling')), printf('Corridor: %d', count_if(gap_type = 'corridor')), printf('Connector: %d', count_if(gap_type = 'connector')), printf('High priority: %d', count_if(band = 'high')),
+  printf('Medium priority: %d', count_if(band = 'medium')), printf('Low priority: %d', count_if(band = 'low')), printf('Barrier crossings: %d', count_if(crosses_barrier)), printf('Master plan matches: %d', count_if(plan_match))]) as line from comp)
+  union all select cast(rank + 10 as int), printf('#%d %s: %.1f/100, %s, %.0f m%s%s', rank, gap_id, composite, case recommended when 'grade_separated_path' then 'Multi-use path (grade separated)' when 'protected_cycle_track' then 'Protected cycle track (physically separated)'
+    when 'painted_cycle_lane' then 'Painted cycle lane' when 'shared_roadway' then 'Signed shared roadway / neighbourhood greenway' else 'Barrier crossing \u2014 engineering review required' end, len_m,
+    case when plan_match then ' [PLAN MATCH]' else '' end, case when crosses_barrier then ' [BARRIER]' else '' end) from comp where rank <= 5""", "comp"))
+def run_summary(spark, d):
+    from lowstress.sources.sinks import run_summary as f
+
+    return f(scored(spark, d))
+
+
 def dismissed(spark, d):
     x = view(spark, d, "fx_decisions")
     return review.latest_decisions(x.withColumn("gap_id", F.concat(F.lit("GAP-"), F.substring("gap_id", 5, 9).cast("int").cast("string"))))
@@ -538,3 +550,13 @@ def cleaned_counts(spark, d):
     snapped = checkpoint(N.snapped_edges(net(spark, d).drop("source"), T.snap))
     joined = clean.snap_dead_ends(snapped)
     return f({"snapped": snapped, "dead ends joined": joined, "chains dissolved": clean.dissolve(joined)})
+
+
+@query("diagnose_report")
+def diagnose_report(spark, d):
+    from lowstress.operators import network as N
+    from lowstress.operators.diagnose import report
+
+    w, v = ways(spark, d), vertices(spark, d)
+    cycling, along = N.cycling_edges(w, v), N.road_attribute_edges(w, v)
+    return report(w, v, {"cycling": cycling, "road attributes": along, "merged": N.merged_edges(cycling, along)}, BOX, "Region")

@@ -102,6 +102,18 @@ def final_table(scored: DataFrame) -> DataFrame:
     return _pick(active, L.FINAL_COLUMNS, _gap_values(active), OPTIONAL).fillna("", subset=["from_street", "to_street"])
 
 
+def run_summary(scored: DataFrame, top: int = 5) -> DataFrame:
+    """(place, line): gaps by type and band, barriers, plan matches, and the ``top`` gaps, as lines of text."""
+    kinds = ("island", "detour", "dangling", "corridor", "connector")
+    count = [F.count("*").alias("total"), *[F.count_if(F.col("gap_type") == k).alias(k) for k in kinds], *[F.count_if(F.col("band") == b).alias(b) for b in ("high", "medium", "low")]]
+    one = scored.agg(*count, F.count_if("crosses_barrier").alias("barriers"), F.count_if("plan_match").alias("planned"))
+    names = {"total": "Total gaps", **{k: k.capitalize() for k in kinds}, "high": "High priority", "medium": "Medium priority", "low": "Low priority", "barriers": "Barrier crossings", "planned": "Master plan matches"}
+    counts = one.select(F.posexplode(F.array(*[F.format_string(f"{label}: %d", c) for c, label in names.items()])).alias("place", "line"))
+    marks = F.concat(F.when(F.col("plan_match"), " [PLAN MATCH]").otherwise(""), F.when(F.col("crosses_barrier"), " [BARRIER]").otherwise(""))
+    best = scored.where(F.col("rank") <= top).select((F.col("rank") + len(names) - 1).cast("int").alias("place"), F.format_string("#%d %s: %.1f/100, %s, %.0f m%s", F.col("rank").cast("int"), "gap_id", "composite", "facility_short", "len_m", marks).alias("line"))
+    return counts.unionByName(best)
+
+
 def final_features(scored: DataFrame) -> DataFrame:
     """The features of active gaps (points with their active rank, and lines)."""
     return gap_features(scored.where("not dismissed"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lowstress.functions import geo, tags
 from lowstress.operators import attach, clean, detect, refine, review, score
+from lowstress.operators import network as N
 from lowstress.operators import separation as sep
 from lowstress.operators.ranking import ranked
 from lowstress.operators.spatial import grid_join, grid_join_limit
@@ -255,6 +256,26 @@ def test_near_miss_trace_summary_and_nearest_nodes(spark):
     assert {r.reason for r in diagnose.island_trace(net, box).collect()} == {"largest component", "candidate"}
 
 
+def test_report_has_nine_sections_in_order(spark, tmp_path):
+    from lowstress.operators import diagnose
+
+    rows = [("w1", "cycleway", "", "A", 0, 43.0, -80.0), ("w1", "cycleway", "", "A", 1, 43.0, -79.99), ("w2", "residential", "lane", None, 0, 43.0, -79.9895), ("w2", "residential", "lane", None, 1, 43.0, -79.98), ("w3", "primary", "", "B", 0, 50.0, 1.0), ("w3", "primary", "", "B", 1, 50.0, 1.1)]
+    v = spark.createDataFrame(rows, "way_id string, highway string, cycleway string, name string, seq int, lat double, lon double")
+    ways = v.select("way_id", "highway", "cycleway", F.lit("").alias("bicycle"), F.lit("").alias("segregated"), "name").distinct()
+    cycling, along = N.cycling_edges(ways, v), N.road_attribute_edges(ways, v)
+    steps = {"cycling": cycling, "road attributes": along, "merged": N.merged_edges(cycling, along)}
+    lines = diagnose.report(ways, v, steps, (42.99, -80.01, 43.01, -79.97), "Here")
+    diagnose.write_report(lines.coalesce(1), str(tmp_path / "report"))
+    got = [r.value for r in sorted(spark.read.text(str(tmp_path / "report")).withColumn("i", F.monotonically_increasing_id()).collect(), key=lambda r: r.i)]
+    assert [x for x in got if x.startswith("[")] == [f"[{n}] {t}" for n, t in diagnose.TITLES.items()]
+    at = {n: got.index(f"[{n}] {t}") for n, t in diagnose.TITLES.items()}
+    assert "3 ways, 1 for cycling, 2 roads" in got[1] and got[at[2] + 1].startswith("  w1  protected_track") and at[3] == at[2] + 2 and "lane  cycle_lane" in got[at[3] + 1]
+    assert got[at[4] + 3] == "  merged: 4 nodes, 2 edges, 2 components" and at[6] == at[5] + 5 and "would create a gap" in got[at[8] + 1]
+    assert got[-1].startswith("  4 nodes, 2 edges, 2 components") and "4 dead ends and 1 near misses" in got[-1]
+    empty = [r.line for r in diagnose.report(ways, v, steps, (10.0, 10.0, 11.0, 11.0), "Nowhere").orderBy("place").collect()]
+    assert empty.count("  (nothing)") == 6
+
+
 def test_json_of_a_page_is_escaped():
     from lowstress.sources.sinks import embed
 
