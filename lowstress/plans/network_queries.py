@@ -10,8 +10,8 @@ from lowstress.functions import geo, tags
 from lowstress.lookups import Thresholds
 from lowstress.operators import network as N
 from lowstress.operators import spatial as S
+from lowstress.plans import sqlvalues as V
 from lowstress.plans.sqltext import DRAWN, FACILITY, LANES, SPEED, case, cell, circles_sql, hav, key, lts, sql
-from lowstress import lookups as L
 
 T = Thresholds()
 QUERIES: dict = {}
@@ -75,7 +75,7 @@ def parse_speed_lanes(spark, d):
     return ways(spark, d).select("way_id", tags.parse_speed(F.col("maxspeed")).alias("speed"), tags.parse_lanes(F.col("lanes")).alias("lanes"))
 
 
-@query("aadt_proxy", sql(f"""select way_id, {case('highway', L.AADT_PROXY, "'unknown'")} as aadt_proxy from fx_ways""", "fx_ways"))
+@query("aadt_proxy", sql(f"""select way_id, {case('highway', V.TRAFFIC, "'unknown'")} as aadt_proxy from fx_ways""", "fx_ways"))
 def aadt_proxy(spark, d):
     return ways(spark, d).select("way_id", tags.aadt_proxy(F.col("highway")).alias("aadt_proxy"))
 
@@ -116,7 +116,7 @@ def with_lts(edges: DataFrame) -> DataFrame:
     return edges.withColumn("lts", tags.segment_lts(F.col("highway"), F.col("maxspeed"), F.col("lanes"), F.col("cycleway")))
 
 
-_FAC = case("cycleway", L.CYCLEWAY_FACILITY, "'none'")
+_FAC = case("cycleway", V.CYCLEWAY_FACILITY, "'none'")
 
 
 @query("segment_lts", sql(f"select a, b, way_id, {lts('highway', 'maxspeed', 'lanes', f'({_FAC})')} as lts from roads", "roads"))
@@ -387,7 +387,7 @@ def facility_tags(spark, d):
 
 @query(
     "sql_functions",
-    sql(f"""select way_id, {FACILITY} as facility, {SPEED} as speed, {LANES} as lanes, {case('highway', L.AADT_PROXY, "'unknown'")} as aadt, {lts('highway', SPEED, LANES, FACILITY)} as stress, round({hav('lat0', 'lon0', 'lat1', 'lon1')}, 3) as length_m from fx_ways""", "fx_ways"),
+    sql(f"""select way_id, {FACILITY} as facility, {SPEED} as speed, {LANES} as lanes, {case('highway', V.TRAFFIC, "'unknown'")} as aadt, {lts('highway', SPEED, LANES, FACILITY)} as stress, round({hav('lat0', 'lon0', 'lat1', 'lon1')}, 3) as length_m from fx_ways""", "fx_ways"),
 )
 def sql_functions(spark, d):
     """The scalar functions through SQL text (temporary functions of the session)."""

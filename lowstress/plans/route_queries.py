@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lowstress import lookups as L
 from lowstress.lookups import Thresholds
+from lowstress.plans import sqlvalues as V
 from lowstress.plans.network_queries import net, r, roads
 from lowstress.plans.scoring_queries import gaps
 from lowstress.plans.sqltext import case, cell, hav, lts, sql
@@ -124,12 +124,12 @@ def corridor_gaps(spark, d):
 
 # --- routes ------------------------------------------------------------------------------------------------------------------
 
-_FAC = case("cycleway", L.CYCLEWAY_FACILITY, "'none'")
+_FAC = case("cycleway", V.CYCLEWAY_FACILITY, "'none'")
 _SPD = "(case when coalesce(maxspeed, 0) = 0 then 50 else maxspeed end)"
 _ROADS = [
     f"""graph as (select *, length_m * case lts when 1 then 1.0::double when 2 then 1.5::double when 3 then 3.0::double else 8.0::double end as lts_cost,
     case when {_SPD} > 60 or aadt > 8000 then 'grade_separated_path' when {_SPD} >= 50 or aadt >= 3000 then 'protected_cycle_track' when {_SPD} >= 40 or aadt >= 1000 then 'painted_cycle_lane' else 'shared_roadway' end as recommended
-    from (select *, {lts('highway', 'maxspeed', 'lanes', f'({_FAC})')} as lts, {case('aadt_proxy', L.AADT_MIDPOINT, '2500')} as aadt from roads))""",
+    from (select *, {lts('highway', 'maxspeed', 'lanes', f'({_FAC})')} as lts, {case('aadt_proxy', V.VEHICLES, '2500')} as aadt from roads))""",
     f"road_nodes as (select node, {_COORD} from (select a as node from graph union select b from graph))",
     f"s_end as ({_near('fx_gaps', 'start', 1500, 'road_nodes')})",
     f"e_end as ({_near('fx_gaps', 'end', 1500, 'road_nodes')})",
@@ -139,7 +139,7 @@ _ROADS = [
 
 def _routed(name: str, weight: str) -> list[str]:
     """Common tables up to ``name``: the routes that minimise a weight, rolled up."""
-    cost = case("recommended", L.COST_PER_METRE, "500")
+    cost = case("recommended", V.METRE_COST, "500")
     return [
         f"{name}_links as (select a as u, b as v, {weight} as w from graph union all select b, a, {weight} from graph)",
         _walk(f"{name}_walk", "select s from ends where s <> e", f"{name}_links"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lowstress import lookups as L
 from lowstress.fixtures import view
 from lowstress.lookups import Thresholds
 from lowstress.operators import refine, review, route, score
 from lowstress.operators import spatial as S
+from lowstress.plans import sqlvalues as V
 from lowstress.plans.network_queries import r, roads, vertices, ways
 from lowstress.plans.sqltext import CIRCLE_PARTS, case, hav, lts, sql
 
@@ -38,14 +38,14 @@ def spines(spark, d):
 _LEN = hav("start_lat", "start_lon", "end_lat", "end_lon")
 _LTS = f"case when road_highway is null then 4 else {lts('road_highway', 'road_maxspeed', 'road_lanes', chr(39) + 'none' + chr(39))} end"
 _CTX = f"""select *, case when s <= 2 and e <= 2 and c <= 2 then 'completes_low_stress' when s <= 2 and e <= 2 and c = 3 then 'reduces_stress' when c = 4 then 'high_stress_barrier' else 'reduces_stress' end as context
-  from (select *, {_LEN} as len_m, (start_lat + end_lat) / 2 as lat, (start_lon + end_lon) / 2 as lon, {_LTS} as c, {case('start_facility', L.ENDPOINT_LTS, '3')} as s, {case('end_facility', L.ENDPOINT_LTS, '3')} as e from fx_gaps)"""
+  from (select *, {_LEN} as len_m, (start_lat + end_lat) / 2 as lat, (start_lon + end_lon) / 2 as lon, {_LTS} as c, {case('start_facility', V.ENDPOINT_STRESS, '3')} as s, {case('end_facility', V.ENDPOINT_STRESS, '3')} as e from fx_gaps)"""
 _SPD = "(case when coalesce(road_maxspeed, 0) = 0 then 50 else road_maxspeed end)"
-_PROXY = case("road_highway", L.AADT_PROXY, "'unknown'")
-_AADT = case(f"({_PROXY})", L.AADT_MIDPOINT, "2500")
+_PROXY = case("road_highway", V.TRAFFIC, "'unknown'")
+_AADT = case(f"({_PROXY})", V.VEHICLES, "2500")
 _REC = f"""select *, case when crosses_barrier then 'barrier_crossing' when {_SPD} > 60 or aadt > 8000 then 'grade_separated_path' when {_SPD} >= 50 or aadt >= 3000 then 'protected_cycle_track'
   when {_SPD} >= 40 or aadt >= 1000 then case when start_facility in ('protected_track', 'shared_path') or end_facility in ('protected_track', 'shared_path') then 'protected_cycle_track' else 'painted_cycle_lane' end
   else 'shared_roadway' end as recommended from (select *, {_AADT} as aadt from ctx)"""
-_BUILD = f"""select *, least(1::double, greatest(0::double, (0.5 + 0.5 * greatest(0::double, 1 - len_m / 800)) * {case('recommended', L.COMPLEXITY, '0.5::double')} * case when crosses_barrier then 0.3::double else 1::double end
+_BUILD = f"""select *, least(1::double, greatest(0::double, (0.5 + 0.5 * greatest(0::double, 1 - len_m / 800)) * {case('recommended', V.EASE, '0.5::double')} * case when crosses_barrier then 0.3::double else 1::double end
   * case when road_highway is not null then 1.15::double else 1::double end)) as build_score from rec"""
 _BASE = """select coalesce(max(case when gap_type = 'island' then component_size end), 50) as max_island_size, coalesce(max(case when gap_type = 'detour' and detour_factor <> 0 then detour_factor end), 5.0::double) as max_detour_factor,
   coalesce(avg(case when gap_type = 'detour' and detour_factor <> 0 then detour_factor end), 2.5::double) as mean_detour_factor,
@@ -55,7 +55,7 @@ _CONN = f"""select *, case gap_type when 'island' then least(1::double, componen
   else round(least(1::double, case when gap_type = 'corridor' then least(1::double, {_SHORT} + 0.1::double) else {_SHORT} end), 4) end as conn_base,
   case when separation_ratio is null then 0.5::double when isinf(separation_ratio) then 1::double else least(1::double, greatest(0::double, (separation_ratio - 1) / 3)) end as sep_score from build, base"""
 _DEST = f"""select gap_id, least(1::double, coalesce(sum(case when dist <= 500 then w when dist <= 1000 then w * 0.5 else 0 end), 0::double) / 5) as dest_score from (
-  select g.gap_id, {case('p.type', L.DESTINATION_WEIGHT, '0.3::double')} as w, {hav('g.lat', 'g.lon', 'p.lat', 'p.lon')} as dist from ctx g left join fx_destinations p on p.lat between g.lat - 0.01 and g.lat + 0.01 and p.lon between g.lon - 0.02 and g.lon + 0.02) group by gap_id"""
+  select g.gap_id, {case('p.type', V.PLACE_WEIGHT, '0.3::double')} as w, {hav('g.lat', 'g.lon', 'p.lat', 'p.lon')} as dist from ctx g left join fx_destinations p on p.lat between g.lat - 0.01 and g.lat + 0.01 and p.lon between g.lon - 0.02 and g.lon + 0.02) group by gap_id"""
 _EQ = f"""select gap_id, greatest(0.1::double, (6 - arg_min(quintile, (dist, da_id))) / 5::double) as equity_score from (select g.gap_id, a.da_id, a.quintile, {hav('g.lat', 'g.lon', 'a.lat', 'a.lon')} as dist from ctx g, fx_da a) group by gap_id"""
 _SPINE = f"""select gap_id, case when safe then least(1::double, d * 1.25::double) else d end as spine_score from (select gap_id, safe, greatest(0.1::double, 1 - min(dist) / 2000) as d from (
   select g.gap_id, g.start_facility in ('protected_track', 'shared_path') or g.end_facility in ('protected_track', 'shared_path') as safe, {hav('g.lat', 'g.lon', 'a.lat', 'a.lon')} as dist from ctx g, (select * from fx_plan where pt = 1) a) group by gap_id, safe)"""
@@ -357,10 +357,10 @@ def roundabout_filter(spark, d):
 # --- routes: each street stands for the route of a gap ----------------------------------------------
 
 _SEG_REC = f"""case when {_SPD} > 60 or aadt > 8000 then 'grade_separated_path' when {_SPD} >= 50 or aadt >= 3000 then 'protected_cycle_track' when {_SPD} >= 40 or aadt >= 1000 then 'painted_cycle_lane' else 'shared_roadway' end""".replace("road_maxspeed", "maxspeed")
-_FAC = case("cycleway", L.CYCLEWAY_FACILITY, "'none'")
-_SEGROUTE = f"select name as gap_id, length_m, lts, {_SEG_REC} as recommended from (select *, {lts('highway', 'maxspeed', 'lanes', f'({_FAC})')} as lts, {case('aadt_proxy', L.AADT_MIDPOINT, '2500')} as aadt from roads) where name <> ''"
+_FAC = case("cycleway", V.CYCLEWAY_FACILITY, "'none'")
+_SEGROUTE = f"select name as gap_id, length_m, lts, {_SEG_REC} as recommended from (select *, {lts('highway', 'maxspeed', 'lanes', f'({_FAC})')} as lts, {case('aadt_proxy', V.VEHICLES, '2500')} as aadt from roads) where name <> ''"
 _ROLL = f"""select *, case when worst_lts <= 2 then 'straightforward' when problem_pct <= 30 then 'moderate' else 'complex' end as complexity from (select gap_id, sum(m) as total_length_m, max(w) as worst_lts, sum(p) as problem_m, round(100 * sum(p) / sum(m), 1) as problem_pct, 100 * sum(p4) / sum(m) as lts4_pct, sum(c) as estimated_cost, arg_max(recommended, (m, recommended)) as dominant_facility
-  from (select gap_id, recommended, sum(length_m) as m, max(lts) as w, sum(case when lts >= 3 then length_m else 0 end) as p, sum(case when lts >= 4 then length_m else 0 end) as p4, sum(length_m * {case('recommended', L.COST_PER_METRE, '500')}) as c from ({_SEGROUTE}) group by gap_id, recommended) group by gap_id)"""
+  from (select gap_id, recommended, sum(length_m) as m, max(lts) as w, sum(case when lts >= 3 then length_m else 0 end) as p, sum(case when lts >= 4 then length_m else 0 end) as p4, sum(length_m * {case('recommended', V.METRE_COST, '500')}) as c from ({_SEGROUTE}) group by gap_id, recommended) group by gap_id)"""
 
 
 def _routes(spark, d):

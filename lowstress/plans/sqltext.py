@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lowstress import lookups as L
 from lowstress.fixtures import ctes
+from lowstress.plans import sqlvalues as V
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -35,10 +35,11 @@ LANES = "coalesce(cast(trunc(try_cast(trim(lanes) as double)) as int), 1)"
 
 
 def lts(highway: str, speed: str, lanes: str, facility: str) -> str:
-    used = f"(case when {speed} > 0 then {speed} else {case(highway, L.DEFAULT_SPEED, '50')} end)"
-    table = lambda t: "least(" + ", ".join(f"case when {used} <= {s} and {lanes} <= {n} then {v} else 4 end" for (s, n), v in t.items()) + ")"
-    motor = ", ".join(f"'{x}'" for x in L.MOTOR_ONLY)
-    return f"case when {facility} in ('protected_track', 'shared_path') then 1 when {highway} in ({motor}) then 4 when {facility} = 'cycle_lane' then {table(L.LTS_PAINTED)} else {table(L.LTS_MIXED)} end"
+    used = f"(case when {speed} > 0 then {speed} else {case(highway, V.USUAL_SPEED, '50')} end)"
+    row = lambda t: f"case when {lanes} <= 1 then {t[0]} when {lanes} <= 2 then {t[1]} when {lanes} <= 99 then {t[2]} else 4 end"
+    table = lambda t: "(case " + " ".join(f"when {used} <= {s} then {row(x)}" for s, x in t.items()) + " else 4 end)"
+    motor = ", ".join(f"'{x}'" for x in V.MOTOR_ONLY)
+    return f"case when {facility} in ('protected_track', 'shared_path') then 1 when {highway} in ({motor}) then 4 when {facility} = 'cycle_lane' then {table(V.PAINTED)} else {table(V.MIXED)} end"
 
 
 SEGS = f"""select way_id, seq, lat, lon, lat2, lon2, least({key('lat', 'lon')}, {key('lat2', 'lon2')}) as a, greatest({key('lat', 'lon')}, {key('lat2', 'lon2')}) as b,
@@ -64,7 +65,7 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         f"""select a, b, e.* from (select a, b, arg_max({{'way_id': way_id, 'length_m': length_m, 'highway': highway, 'maxspeed': maxspeed, 'lanes': lanes, 'name': name, 'junction': junction,
       'cycleway': cycleway, 'aadt_proxy': aadt_proxy, 'mid_lat': (la1 + la2) / 2, 'mid_lon': (lo1 + lo2) / 2, 'lat1': la1, 'lon1': lo1, 'lat2': la2, 'lon2': lo2}}, way_id) as e from (
       select way_id, least({key('la1', 'lo1')}, {key('la2', 'lo2')}) as a, greatest({key('la1', 'lo1')}, {key('la2', 'lo2')}) as b, length_m, highway, {SPEED} as maxspeed, {LANES} as lanes,
-        name, junction, cycleway, {case('highway', L.AADT_PROXY, "'unknown'")} as aadt_proxy, la1, lo1, la2, lo2
+        name, junction, cycleway, {case('highway', V.TRAFFIC, "'unknown'")} as aadt_proxy, la1, lo1, la2, lo2
       from fx_ways join (select way_id, arg_min(lat, seq) as la1, arg_min(lon, seq) as lo1, arg_max(lat, seq) as la2, arg_max(lon, seq) as lo2 from fx_vertices group by way_id) using (way_id)
       join (select way_id, sum(length_m) as length_m from segs group by way_id) using (way_id)
       where {ROAD})
