@@ -141,7 +141,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id.
 
     Rows and queries meet in blocks: every block of queries is sent to every block of rows of the same
-    number of dimensions, nothing is broadcast, and a block yields k rows per query. A block's rows get
+    number of dimensions, a block of rows is sent and indexed once and the queries stream past it, nothing is
+    broadcast, and a block yields k rows per query. A block's rows get
     a bit-sliced index; the sum over all but the lowest slices bounds every score, slices are read from
     the top to find the k-th bound, and rows that can still reach it are resolved exactly. Equal vectors
     (a common one may hold a third of all rows) are spread over blocks by a hash of the id.
@@ -157,8 +158,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     # where two rows share an id, a random but repeatable split is not needed: they land in one block
     asks = asks.withColumn("dims", F.size("q")).join(n_blocks, "dims").withColumn("qb", F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.col("blocks") * int(BLOCK_ROWS / BLOCK_QUERIES / 50) + 1)).cast("int"))
     q_blocks = asks.groupBy("dims", "qb", "blocks").agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("asks"))
-    q_blocks = q_blocks.select("dims", "qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "asks")
-    r_blocks = rows.groupBy("dims", "block").agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("rows"))
+    q_blocks = q_blocks.select("dims", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "qb", F.col("asks").alias("cells"))
+    r_blocks = rows.groupBy("dims", "block").agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("cells")).select("dims", "block", F.lit(0).alias("kind"), F.lit(0).alias("qb"), "cells")
 
     def unpack(cell, dims):
         ids, lists = cell.values.flatten()
@@ -166,25 +167,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return np.asarray(ids), flat.reshape(len(ids), dims) if dims else np.zeros((len(ids), 1), np.int64)
 
     def search(batches):
-        index: tuple = ()
+        """Every block comes once, before the queries that look through it."""
+        ids = vals = index = held = None
+        most = 0
         for batch in batches:
             for i in range(batch.num_rows):
-                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                if not index or index[0] != key:
-                    ids, vals = unpack(batch.column(3)[i], key[0])
+                dims, block = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if batch.column(2)[i].as_py() == 0:
+                    ids, vals = unpack(batch.column(4)[i], dims)
                     most = max(map(abs, (int(vals.min(initial=0)), int(vals.max(initial=0)))))
-                    index = (key, ids, SlicedBlock(vals) if most < 1 << 40 else None, vals, most)
-                q_ids, qs = unpack(batch.column(2)[i], key[0])
+                    index, held = SlicedBlock(vals) if most < 1 << 40 else None, (dims, block)
+                    continue
+                if held != (dims, block):  # a block without rows
+                    continue
+                q_ids, qs = unpack(batch.column(4)[i], dims)
                 out = []
                 for a, q in zip(q_ids, qs, strict=True):
-                    sums = 2 * index[4] * sum(map(abs, q.tolist()))  # a block's values are shifted to be positive
-                    t = index[2].top(q, k, index[1], a) if index[2] is not None and sums < 1 << 62 else exact_top(index[3], q, k, index[1], a)
+                    sums = 2 * most * sum(map(abs, q.tolist()))  # a block's values are shifted to be positive
+                    t = index.top(q, k, ids, a) if index is not None and sums < 1 << 62 else exact_top(vals, q, k, ids, a)
                     out.append((np.repeat(a, len(t[0])), *t))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    met = q_blocks.join(r_blocks, ["dims", "block"]).select("dims", "block", "asks", "rows")
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+    met = r_blocks.unionByName(q_blocks).repartition("dims", "block").sortWithinPartitions("dims", "block", "kind", "qb")
+    found = met.select("dims", "block", "kind", "qb", "cells").mapInArrow(search, "query_id long, vec_id long, score long")
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))

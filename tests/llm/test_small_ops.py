@@ -165,3 +165,18 @@ def test_topk_of_huge_components(spark):
     for q in (0, 50):
         scored = sorted((-max(-far - 1, min(far, sum(a * b for a, b in zip(whole[q], whole[j], strict=True)))), j) for j in whole if j != q)[:5]
         assert sorted(got[q]) == [(n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+
+
+def test_topk_with_blocks_that_have_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(bitsliced_topk, "BLOCK_ROWS", 1)  # as many blocks as rows: some stay empty
+    rows = [(i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(60)] + [(100 + i, [float(i), 1.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in bitsliced_topk.top_k(df, df.where("vec_id % 10 = 0"), k=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = {}
+    for q, x in rows:
+        if q % 10 == 0:
+            best = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(y) == len(x))[:3]
+            want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert {q: sorted(v) for q, v in got.items()} == want
