@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowstress.llm import byte_bpe, decontaminate, line_dedup, ngram_join, toxicity
-from lowstress.storage import materialize
+from lowstress.storage import materialize, rest
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,6 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is scored as one without words. With no labelled row the model is the neutral one of
     ``toxicity.fit``.
     """
+    rest(spark)
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows, text = _numbered(docs)
     return toxicity.score(rows, model, text_col=text).where("score < 0.5").drop("score").toDF(*docs.columns)
@@ -47,6 +48,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document without lines to compare (null, empty, blank) loses none and stays.
     """
+    rest(spark)
     rows, text = _numbered(docs)
     out = line_dedup.dedup_lines(rows, f"c{docs.columns.index('doc_id')}", text)
     out = out.where((F.size("dropped") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
@@ -61,6 +63,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are linked with nothing and stay; of rows that are equal in all columns one stays if they have words.
     """
+    rest(spark)
     rows, text = _numbered(docs)
     own = f"c{docs.columns.index('doc_id')}"
     keyed = materialize(rows.select(_row_key(rows).alias("key"), F.col(own).alias("own"), F.col(text).alias("text")), "pipeline-keys")
@@ -78,6 +81,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of ``benchmark`` go. Null and empty texts contain none; an empty benchmark takes nothing."""
+    rest(spark)
     rows, text = _numbered(docs)
     keyed = rows.withColumn("key", _row_key(rows))
     leaks = decontaminate.find_leaks(keyed.select("key", text), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", text).select("key").distinct()
@@ -86,6 +90,7 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): the ids of each text (null: empty), and the digest of the bytes they decode to."""
+    rest(spark)
     path = public_tokenizers.path(TOKENIZER)
     encoded = byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return byte_bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
