@@ -281,3 +281,41 @@ def test_json_of_a_page_is_escaped():
 
     text = embed({"a": "</script>& "})
     assert "<" not in text and "&" not in text and " " not in text and json.loads(text) == {"a": "</script>& "}
+
+
+def test_boxes_of_degrees_and_folded_places_against_plain_loops(spark):
+    """Far north a distance spans more degrees than a box allows; beyond a pole a coordinate names a place on the other side."""
+    import math
+
+    from lowstress.operators.spatial import grid_join
+
+    def hav(a, b, c, d):
+        x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 12742000.0 * math.atan2(math.sqrt(x), math.sqrt(1 - x))
+
+    spots = [(lat + i * 0.004, -80.6 + j * 0.013) for lat in (43.0, 79.5, 89.9, 97.5, 403.0) for i in range(3) for j in range(4)]
+    left = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "k long, lat double, lon double")
+    right = left.selectExpr("k as r", "lat as r_lat", "lon as r_lon").withColumnRenamed("r", "r_k")
+    near = {(i, j) for i, p in enumerate(spots) for j, q in enumerate(spots) if hav(*p, *q) <= 1000}
+    boxed = {(i, j) for i, j in near if abs(spots[i][0] - spots[j][0]) <= 0.01 and abs(spots[i][1] - spots[j][1]) <= 0.02}
+    assert boxed < near
+    assert {(x.k, x.r_k) for x in grid_join(left, right, 1000, box=(0.01, 0.02)).collect()} == boxed
+    assert {(x.k, x.r_k) for x in grid_join(left, right, 1000, fold=True).collect()} == near
+
+
+def test_gap_queries_keep_to_the_degrees_of_their_statements(spark, tmp_path):
+    """Customers and orders of one tile at 79 degrees, where a kilometre is wider than the statements' boxes, against SQL."""
+    import oracle
+
+    from lowstress.plans import catalogue
+
+    src, out = "/root/testdata/sf0.1", str(tmp_path)
+    one = {"customer": ("c_custkey", 410), "orders": ("o_orderkey", 4096), "lineitem": ("l_orderkey", 4096), "supplier": ("s_suppkey", 28)}
+    for name, (key, size) in one.items():
+        t = spark.read.parquet(f"{src}/{name}.parquet").where(f"{key} < {size}")
+        t.withColumn(key, (t[key] + 146 * size).cast(t.schema[key].dataType)).coalesce(1).write.parquet(f"{out}/{name}.parquet")
+    for name in ("part", "events", "nation"):
+        spark.read.parquet(f"{src}/{name}.parquet").limit(50).coalesce(1).write.parquet(f"{out}/{name}.parquet")
+    con = oracle.connect(out)
+    for name in ("destination_score", "barrier_flag", "street_labels", "cycling_within_35m", "nearest_cycling_node", "follows_road"):
+        assert oracle.assert_same(catalogue.queries()[name](spark, out), con, catalogue.oracle_sql()[name]) > 0, name
