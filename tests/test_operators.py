@@ -319,3 +319,15 @@ def test_gap_queries_keep_to_the_degrees_of_their_statements(spark, tmp_path):
     con = oracle.connect(out)
     for name in ("destination_score", "barrier_flag", "street_labels", "cycling_within_35m", "nearest_cycling_node", "follows_road"):
         assert oracle.assert_same(catalogue.queries()[name](spark, out), con, catalogue.oracle_sql()[name]) > 0, name
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    """Spark takes an exploded side for as small as its source, so its estimate must not choose a broadcast."""
+    from lowstress.operators.attach import follows_road
+    from lowstress.operators.spatial import grid_join
+
+    g = spark.range(10).selectExpr("id as ord", "43.0D as start_lat", "-80.0D as start_lon", "43.001D as end_lat", "-80.0D as end_lon", "43.0D + id / 1e6D as lat", "-80.0D as lon").withColumn("start_lat", F.col("lat"))
+    x = spark.range(10).selectExpr("43.0D + id / 1e6D as lat1", "-80.0D as lon1", "43.01D as lat2", "-80.0D as lon2", "43.0D + id / 1e6D as r_lat", "-80.0D as r_lon")
+    for df in (follows_road(g, x), grid_join(g, x, 100)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() > 0
