@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lowstress.graph.chains import chain_order, joints_of
@@ -164,3 +165,45 @@ def test_corridor_holes_lie_between_cycled_edges_of_one_chain(spark):
     no_fork = df.where("way_id < 50")
     assert sorted(round(r.length_m) for r in corridor.corridor_gaps(no_fork, one_task=0).collect()) == [163, 326]
     assert corridor.corridor_gaps(df.limit(0)).count() == 0
+
+
+def test_components_by_ranges_of_placed_nodes(spark, tmp_path):
+    """Groups that cross the borders of ranges come together again; only those take part in rounds."""
+    from lowstress.graph.components import forest
+
+    rng = random.Random(5)
+    edges = [(i, i + rng.choice((1, 2, 7))) for i in range(0, 3000) if i % 10] + [(5, 2990), (10_000, 10_001)]
+    spark.createDataFrame(edges, "a long, b long").repartition(4).write.parquet(str(tmp_path / "e"))
+    got = {r["node"]: r["component"] for r in connected_components(spark.read.parquet(str(tmp_path / "e")), one_task=50, placed=True).collect()}
+    nodes, roots = forest(*(np.array(x) for x in zip(*edges, strict=True)))
+    assert got == dict(zip(nodes.tolist(), roots.tolist(), strict=True))
+
+
+def test_large_forest_of_one_partition_goes_on_in_pieces(monkeypatch):
+    """What a worker holds does not grow with its partition."""
+    import pyarrow as pa
+
+    from lowstress.graph import components as C
+
+    monkeypatch.setattr(C, "HELD", 100)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(s + 1, s + 51)), pa.array(range(s, s + 50))], names=["c", "p"]) for s in range(0, 1000, 50)]
+    seen, out = [], []
+    for b in C._contracted((seen.append(1) or x for x in batches), False):
+        out.append((len(seen), b))
+    assert out[0][0] < len(batches)
+    a, b = (np.concatenate([x.column(i).to_numpy() for _, x in out]) for i in (0, 1))
+    assert set(C.forest(a, b)[1].tolist()) == {0}
+
+
+def test_network_edges_are_the_merged_edges(spark):
+    from lowstress.fixtures import view
+    from lowstress.operators import network as N
+
+    d = "/root/testdata/sf0.001"
+    w, v = view(spark, d, "fx_ways"), view(spark, d, "fx_vertices")
+    key = lambda df: sorted(tuple(r) for r in df.select("a", "b", "way_id", "facility", "source").collect())
+    once = N.network_edges(w, v)
+    assert key(once) == key(N.merged_edges(N.cycling_edges(w, v), N.road_attribute_edges(w, v)))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1  # one pass over the vertices
+    assert once.where("drawn").count() == N.cycling_edges(w, v).count() and once.where("along").count() == N.road_attribute_edges(w, v).count()
