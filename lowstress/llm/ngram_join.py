@@ -49,19 +49,22 @@ def _plan(band: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def blocking_keys(sets: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, positions of the sets): two linked, unequal sets have at least one key in common.
+    """(keys, positions of the sets): two linked, unequal sets have at least one key in common."""
+    return banded_keys(sets, offs, num, den)[:2]
+
+
+def banded_keys(sets: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, positions of the sets, bands): two linked, unequal sets have at least one key of one band in common.
 
     A segment with more than c elements gives a key. A set with more than s poorer segments gives keys
     for those too, and one with more than s empty segments gives its prefix (the smallest elements, of
     which linked sets share one): if a pair's equal segments are all poor (or empty), both sets do so.
     """
     n = np.diff(offs)
-    keys, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    pick = np.flatnonzero(n > 0)
+    keys, where, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     band_of = np.searchsorted(_bands(num, den), n, "right") - 1
     mixed = T.mix(sets)
     owner = np.repeat(np.arange(len(n)), n)
-    bare = np.zeros(len(n), bool)
     for down in (0, 1):
         band = band_of - down
         m, s, c = _plan(np.maximum(band, 0), num, den)
@@ -78,17 +81,24 @@ def blocking_keys(sets: np.ndarray, offs: np.ndarray, num: int, den: int) -> tup
         number = (np.arange(total) - start[doc]).astype(np.uint64)
         poor = count <= c[doc]
         n_poor = np.bincount(doc, poor, len(n))
-        bare |= (np.bincount(doc, count == 0, len(n)) > s) & (m > 0)
+        bare = (np.bincount(doc, count == 0, len(n)) > s) & (m > 0)
         emit = ~poor | ((n_poor > s)[doc] & (count > 0))
         kind = np.where(poor, np.uint64(2), np.uint64(1)) * _K[3]
         key = T.mix(value * _K[0] + number * _K[1] + band[doc].astype(np.uint64) * _K[2] + kind)
         keys.append(key[emit])
         where.append(doc[emit])
-    for i in pick[bare[pick]]:
-        k = int(n[i] - -(-int(n[i]) * num // den) + 1)
-        keys.append(T.mix(sets[offs[i] : offs[i] + k] * _K[0] + _PREFIX_KEY))
-        where.append(np.full(k, i))
-    return np.concatenate(keys), np.concatenate(where)
+        bands.append(band[doc[emit]])
+        for i in np.flatnonzero(bare):
+            k = int(n[i] - -(-int(n[i]) * num // den) + 1)
+            keys.append(T.mix(sets[offs[i] : offs[i] + k] * _K[0] + np.uint64(band[i]) * _K[2] + _PREFIX_KEY))
+            where.append(np.full(k, i))
+            bands.append(np.full(k, band[i]))
+    return np.concatenate(keys), np.concatenate(where), np.concatenate(bands)
+
+
+def _in_band(node: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """64-bit names of sets among the pairs of one band: a set is in its own and the one below."""
+    return T.to_i64(T.mix(T.mix(node.astype(np.uint64)) + band.astype(np.uint64) * _K[2]))
 
 
 # --- the tree ---------------------------------------------------------------------------------------
@@ -199,7 +209,8 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     Rows with equal sets are one node, named by a 64-bit hash of the set (set_id), however many there
     are. Nodes get blocking keys that no linked pair can miss; nodes that share a key form candidate
-    groups (stars and connected components, never pairs of a group), and inside each group a signature
+    groups (stars and connected components, never pairs of a group; those of each band of sizes apart, so that
+    chance does not chain small sets to large ones), and inside each group a signature
     tree finds the links, verified on the whole sets. Ids are integers; a null id never names a
     component of rows that have ids; repeated ids stay separate rows; empty sets link with nothing;
     other columns are not read; an empty table gives no rows. Three tables in the shared folder cut the
@@ -230,14 +241,26 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                 seen.update(node[fresh].tolist())
                 keep = np.repeat(fresh, np.diff(offs))
                 new = np.concatenate([[0], np.cumsum(np.diff(offs)[fresh])])
-                key, where = blocking_keys(values[keep], new, num, den)
-                found.append((key, node[fresh][where]))
+                key, where, band = banded_keys(values[keep], new, num, den)
+                found.append((key, _in_band(node[fresh][where], band)))
             if found:
                 yield packed_keys(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), buckets)
 
     candidates = connected_components(candidate_links(rows.mapInArrow(lean(keys), KEY_SCHEMA)))
-    chosen = named.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    members = candidates.withColumnRenamed("component", "cluster").join(chosen, "node")
+    sized = named.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n"))
+    chosen = sized.select("node", "id")
+
+    def banded(batches):
+        for batch in batches:
+            node, size = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            band = np.searchsorted(_bands(num, den), size, "right") - 1
+            for down in (0, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_in_band(node, band - down)), pa.array(np.full(len(node), 1 - down))], names=["node", "id", "alias", "own"])
+
+    members = candidates.select(F.col("node").alias("alias"), F.col("component").alias("cluster")).join(sized.mapInArrow(banded, "node long, id long, alias long, own long"), "alias").drop("alias")
+    # pairs from the upper band alone are found among that band's own
+    members = materialize(members, "members")
+    members = members.join(members.groupBy("cluster").agg(F.max("own").alias("any")).where("any = 1"), "cluster", "left_semi").drop("own")
 
     def link(table: pa.Table, side: np.ndarray) -> list[tuple[int, int]]:
         column = table["text"].combine_chunks() if len(table) else pa.array([], pa.string())

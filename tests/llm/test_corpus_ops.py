@@ -339,3 +339,33 @@ def test_line_tables_do_not_depend_on_the_batch():
     assert [(r, n) for r, n, *_ in rows] == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (4, 0), (4, 2)]
     for i, t in enumerate(texts):
         assert [r[1:] for r in rows if r[0] == i] == [r[1:] for r in zip(*line_dedup.line_table(pa.array([t], pa.string())), strict=True)]
+
+
+def test_candidate_groups_of_the_join_stay_within_bands_of_sizes(spark, monkeypatch):
+    """Sets that share single shingles by chance do not chain small sets to large ones; linked ones still meet."""
+    from lowstress.llm import ngram_join as J
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((4, 6, 9, 14, 20, 30, 45, 70)))) for _ in range(400)]
+    texts += [t + " end" for t in texts[::5]] + [" ".join(t.split()[1:]) for t in texts[::7]]
+    seen = {}
+
+    def spy(members, loaded, link, name):
+        size = F.size(F.array_distinct(F.split("text", " ")))
+        seen.update({c["cluster"]: (c["low"], c["high"]) for c in loaded.groupBy("cluster").agg(F.min(size).alias("low"), F.max(size).alias("high")).collect()})
+        return plain(members, loaded, link, name)
+
+    plain = J.verified_components
+    monkeypatch.setattr(J, "verified_components", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in J.join_components(docs, k=1, num=80, den=100).collect()}
+    sets = [set(t.split()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert got == dict(enumerate(root))
+    assert seen and all(high <= 2 * low for low, high in seen.values())
