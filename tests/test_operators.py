@@ -331,3 +331,19 @@ def test_exploded_sides_are_not_broadcast(spark):
     for df in (follows_road(g, x), grid_join(g, x, 100)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         assert df.count() > 0
+
+
+def test_later_rounds_of_snapping_look_at_the_halves_only(spark, monkeypatch):
+    from lowstress.operators import clean
+
+    key = lambda lat, lon: (4_300_000 + lat) * 100_000_000 + 18_000_000 - 8_000_000 + lon
+    a, b = key(0, 0), key(0, 1000)
+    tails = [(key(4, x), key(200, x)) for x in (300, 600)]
+    far = [(key(2000 + 100 * i, 0), key(2000 + 100 * i, 80)) for i in range(40)]
+    rows = [(*sorted(e), i, "cycle_lane", 100.0) for i, e in enumerate([(a, b), *tails, *far])]
+    seen, before = [], clean._in_reach
+    monkeypatch.setattr(clean, "_in_reach", lambda ends, edges, tolerance: (seen.append(edges.count()), before(ends, edges, tolerance))[1])
+    got = clean.snap_dead_ends(spark.createDataFrame(rows, "a long, b long, way_id long, facility string, length_m double")).select("a", "b").collect()
+    n, m = tails[0][0], tails[1][0]
+    assert {tuple(r) for r in got} == {tuple(sorted(e)) for e in [(a, n), (n, m), (m, b), *tails, *far]} and len(got) == 45
+    assert seen == [43, 2, 2]
