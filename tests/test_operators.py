@@ -347,3 +347,33 @@ def test_later_rounds_of_snapping_look_at_the_halves_only(spark, monkeypatch):
     n, m = tails[0][0], tails[1][0]
     assert {tuple(r) for r in got} == {tuple(sorted(e)) for e in [(a, n), (n, m), (m, b), *tails, *far]} and len(got) == 45
     assert seen == [43, 2, 2]
+
+
+def test_pairs_of_detectors_are_not_sorted_whole(spark):
+    import random
+
+    from lowstress.operators import detect
+
+    rnd = random.Random(3)
+    key = lambda lat, lon: (4_300_000 + lat) * 100_000_000 + 18_000_000 - 8_000_000 + lon
+    at = [(rnd.randrange(1500), rnd.randrange(1500)) for _ in range(60)]
+    rows = [(key(x, y), key(x + 30, y + 20), i, rnd.choice(["cycle_lane", "unknown"]), 40.0) for i, (x, y) in enumerate(at)]
+    net = detect.prepare(spark.createDataFrame(rows, "a long, b long, way_id long, facility string, length_m double"))
+    out = detect.near_miss(net)
+    # the minimum of structures is sorted for; one row of a batch and pair of components is left before
+    assert "SortAggregate" not in out._jdf.queryExecution().toString()
+    n = [(r.node, r.component, r.facility) for r in net.nodes.collect()]
+    near = detect.node_join(net.nodes.select("node", "lat", "lon", "component"), detect._right(net.nodes), 300).where("dist >= 30 and component < r_component").collect()
+    best = {}
+    for r in sorted(near, key=lambda r: (r.dist, r.node, r.r_node)):
+        best.setdefault((r.component, r.r_component), (r.node, r.r_node))
+    kind = {x: f for x, _, f in n}
+    assert len(best) > 10 and {tuple(r) for r in out.select("c1", "c2", "node", "r_node", "facility", "r_facility").collect()} == {(*c, a, b, kind[a], kind[b]) for c, (a, b) in best.items()}
+
+
+def test_islands_far_from_the_largest_component_are_not_dealt_to_cells(spark):
+    from lowstress.operators.spatial import in_rows_of
+
+    left = spark.createDataFrame([(1, 43.0, -80.0), (2, 43.03, -80.0), (3, 43.25, -80.0), (4, 42.96, -80.0)], "id int, lat double, lon double")
+    right = spark.createDataFrame([(43.0, -80.0)], "r_lat double, r_lon double")
+    assert {r.id for r in in_rows_of(left, right, 3000).collect()} <= {1, 2, 4} and in_rows_of(left, right, 3000).where("id = 2").count() == 1 and in_rows_of(left, right, 600, exact=False).count() == 1
