@@ -163,3 +163,13 @@ def test_places_regions_and_missing_files(spark, tmp_path):
         infra.read_infra(spark, str(tmp_path / "none.geojson"))
     assert infra.projection(spark, put(tmp_path, "a.prj", 'PROJCS["x"]')) == "projected" and infra.projection(spark, put(tmp_path, "b.prj", "GEOGCS[]")) == "geographic"
     assert infra.projection(spark, str(tmp_path / "c.prj")) is None
+
+
+def test_scores_of_the_gap_table_are_rounded_as_sql_rounds_them(spark):
+    import duckdb
+
+    scores = [0.5245, 0.5285, 0.5385, 0.5244, 0.12345, 1.0, 0.0]
+    rows = scored(spark).limit(1).drop("conn_score").crossJoin(spark.createDataFrame([(s,) for s in scores], "conn_score double"))
+    got = sorted(r.score_connectivity for r in sinks.gap_table(rows).collect())
+    assert got == sorted(duckdb.sql(f"select round(s * 100, 1) from (select unnest({scores}::double[]) as s)").fetchall()[i][0] for i in range(len(scores)))
+    assert got.count(52.5) == 1 and got.count(52.4) == 1
