@@ -377,3 +377,21 @@ def test_islands_far_from_the_largest_component_are_not_dealt_to_cells(spark):
     left = spark.createDataFrame([(1, 43.0, -80.0), (2, 43.03, -80.0), (3, 43.25, -80.0), (4, 42.96, -80.0)], "id int, lat double, lon double")
     right = spark.createDataFrame([(43.0, -80.0)], "r_lat double, r_lon double")
     assert {r.id for r in in_rows_of(left, right, 3000).collect()} <= {1, 2, 4} and in_rows_of(left, right, 3000).where("id = 2").count() == 1 and in_rows_of(left, right, 600, exact=False).count() == 1
+
+
+def test_detours_of_the_analysis_look_at_every_node(spark, monkeypatch):
+    from lowstress.plans import analysis
+
+    class Seen(Exception):
+        pass
+
+    def seen(detours, net):
+        raise Seen({(r.source, r.target) for r in detours.collect()})
+
+    # a comb: 100 dead ends 57 m apart, joined 334 m away, so that all neighbours are detours
+    teeth = [[(43.0, -80.0 + i * 0.0007), (43.003, -80.0 + i * 0.0007)] for i in range(100)]
+    monkeypatch.setattr(analysis.detect, "detour_ends", seen)
+    with pytest.raises(Seen) as found:
+        analysis.find_gaps(detect.prepare(network(spark, [*teeth, [t[1] for t in teeth]])), None)
+    ends = [key(43.0, -80.0 + i * 0.0007) for i in range(100)]
+    assert {tuple(sorted(p)) for p in zip(ends, ends[1:], strict=False)} <= found.value.args[0]
