@@ -395,3 +395,17 @@ def test_detours_of_the_analysis_look_at_every_node(spark, monkeypatch):
         analysis.find_gaps(detect.prepare(network(spark, [*teeth, [t[1] for t in teeth]])), None)
     ends = [key(43.0, -80.0 + i * 0.0007) for i in range(100)]
     assert {tuple(sorted(p)) for p in zip(ends, ends[1:], strict=False)} <= found.value.args[0]
+
+
+def test_dissolving_walks_chains_without_rounds_of_tables(spark):
+    from lowstress import storage
+
+    line = [(43.0 + i * 0.0003, -80.0) for i in range(60)]
+    ring = [(44.0, -80.0), (44.0, -79.999), (44.001, -79.999), (44.001, -80.0), (44.0, -80.0)]
+    written = lambda: len(storage._written.get(spark.sparkContext.applicationId, []))
+    n = written()
+    rows = {r.a: r for r in clean.dissolve(network(spark, [line])).collect()}
+    assert written() - n <= 7
+    assert list(rows) == [key(*line[0])] and rows[key(*line[0])].path == [key(*p) for p in line] and abs(rows[key(*line[0])].length_m - sum(metres(*p, *q) for p, q in zip(line, line[1:], strict=False))) < 1e-6
+    both = clean.dissolve(network(spark, [line, ring])).collect()
+    assert len(both) == 4 and sum(len(r.path) - 1 for r in both) == 63
