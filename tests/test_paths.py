@@ -207,3 +207,24 @@ def test_network_edges_are_the_merged_edges(spark):
     plan = once._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") == 1  # one pass over the vertices
     assert once.where("drawn").count() == N.cycling_edges(w, v).count() and once.where("along").count() == N.road_attribute_edges(w, v).count()
+
+
+def test_spines_read_their_edges_once(spark):
+    from pyspark.sql import functions as F
+
+    from lowstress.operators import spines
+
+    # a square of long protected edges; every row that is read for the centralities is counted
+    at = [4_300_000_002_000_000 + i * 300_000_000_000 for i in range(4)]
+    rows = [(at[i], at[(i + 1) % 4], "protected_track", 300.0 + i) for i in range(4)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    edges = spark.createDataFrame(rows, "a long, b long, facility string, length_m double").mapInArrow(count, "a long, b long, facility string, length_m double")
+    roads = spark.createDataFrame([], "way_id long, name string, mid_lat double, mid_lon double")
+    found = spines.detect_spines(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "facility", "length_m"), roads).collect()
+    assert len(found) == 1 and found[0].n_nodes == 4 and abs(found[0].total_length_m - 1206) < 1e-6 and seen.value == 4
